@@ -15,8 +15,8 @@ from fleetfacts import constants as C
 
 # Characters removed by strip(): ASCII and Unicode white space.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -65,7 +65,7 @@ def normalise_newlines(text: Column) -> Column:
 def decode_ignore(content: Column) -> Column:
     """UTF-8 text with invalid bytes dropped."""
     text = content.cast("string")
-    cleaned = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    cleaned = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
     return normalise_newlines(F.when(F.is_valid_utf8(text), text).otherwise(cleaned))
 
 
