@@ -82,7 +82,7 @@ def lines(text: Column) -> Column:
 
 def manifest_lines(text: Column) -> Column:
     """Stripped lines of a manifest, also cut at the rarer Unicode line ends."""
-    parts = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]")
+    parts = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]")
     return F.transform(parts, strip)
 
 
