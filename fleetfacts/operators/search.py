@@ -96,25 +96,18 @@ def keyword_counts(texts: DataFrame, keys: list[str], text: Column) -> DataFrame
     no further shuffle, because both are per key.
     """
     words = F.filter(
-        X.extract_all(F.lower(text), "[a-z][a-z0-9_]{2,}", 0),
+        X.extract_all(F.lower("_text"), "[a-z][a-z0-9_]{2,}", 0),
         lambda w: ~w.isin(C.STOP_WORDS),
     )
     return (
         texts.select(*keys, text.alias("_text"))
         .repartition(*keys)
-        .select(*keys, F.posexplode(_on("_text", words, text)).alias("pos", "keyword"))
+        .select(*keys, F.posexplode(words).alias("pos", "keyword"))
         .groupBy(*keys, "keyword")
         .agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
     )
 
 
-def _on(column: str, words: Column, text: Column) -> Column:
-    return F.filter(
-        X.extract_all(F.lower(F.col(column)), "[a-z][a-z0-9_]{2,}", 0),
-        lambda w: ~w.isin(C.STOP_WORDS),
-    )
-
-
 def extract_keywords(
     texts: DataFrame, keys: list[str], text: Column, max_keywords: int = 20
 ) -> DataFrame:
