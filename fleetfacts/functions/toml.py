@@ -6,8 +6,11 @@ import tomllib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TOML_ENTRIES = "array<struct<section:string,name:string,spec:string>>"
+TOML_ENTRIES = T.ArrayType(
+    T.StructType([T.StructField(n, T.StringType()) for n in ("section", "name", "spec")])
+)
 
 
 def _entries(text: str | None) -> list[dict] | None:

@@ -45,6 +45,11 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.ISSUES).option("multiLine", False).json(path)
 
 
+def parse_issues(texts: DataFrame, column: str) -> DataFrame:
+    """Issues from a column of JSON objects, with the same schema as `read_issues`."""
+    return texts.select(F.from_json(column, S.ISSUES).alias("i")).select("i.*")
+
+
 def read_test_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TEST_LOGS).json(path)
 
@@ -62,6 +67,12 @@ def read_knowledge_docs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_knowledge_docs(texts: DataFrame, column: str) -> DataFrame:
+    """Project documents from a column of JSON objects, as `read_knowledge_docs`."""
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    return texts.select(F.from_json(column, S.KNOWLEDGE_DOC, options).alias("d")).select("d.*")
+
+
 def _bad_confidence(facts: str) -> Column:
     outside = lambda f: (f["confidence"] < 0) | (f["confidence"] > 1)
     return F.coalesce(F.exists(facts, outside), F.lit(False))
