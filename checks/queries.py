@@ -74,7 +74,7 @@ def open_issues(spark, sf):
     json = K.order_issues(spark, sf).select(F.to_json(F.struct("*")).alias("json"))
     opened = issues.drop_pull_requests(readers.parse_issues(json, "json"))
     return opened.select(
-        "repo_id", "number", "title", F.length("body").alias("body_length"),
+        "repo_id", "number", "title", F.coalesce(F.length("body"), F.lit(-1)).alias("body_length"),
         F.array_join("labels.name", ",").alias("labels"), "comments",
     )
 
@@ -144,7 +144,9 @@ def file_inventory(spark, sf):
 
 @query
 def important_files(spark, sf):
-    return inventory.file_inventory(K.manifest_files(spark, sf)).where("is_important")
+    return inventory.file_inventory(K.manifest_files(spark, sf)).where("is_important").select(
+        "repo_id", "path", "extension"
+    )
 
 
 @query

@@ -84,28 +84,29 @@ def last_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("session_id").agg(last.alias("r")).select("session_id", "r.*")
 
 
-def session_state(events: DataFrame, runs: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """Where each session stands, from its events and its last test run.
+def session_state(
+    events: DataFrame, runs: DataFrame, inventory: DataFrame | None = None
+) -> DataFrame:
+    """Where each session stands: the outcome of its last deciding event.
 
     Events: `start`, `branch_failed`, `test` (a test request) and `no_command` (a request in a
-    repository without a runner). A failed branch ends the session; a passing, timed-out or
+    repository without a runner). A failed branch fails the session; a passing, timed-out or
     impossible run completes it; a failing run returns it to guiding. `finished_at` is the
-    time of the last event that ended the session.
+    time of the event that ended the session.
     """
     is_run = F.col("event").isin("test", "no_command")
+    decides = is_run | (F.col("event") == "branch_failed")
     latest = events.groupBy("session_id").agg(
-        F.first("repo_id", ignorenulls=True).alias("repo_id"),
-        F.first("issue_number", ignorenulls=True).alias("issue_number"),
-        F.first("branch_name", ignorenulls=True).alias("branch_name"),
-        F.bool_or(F.col("event") == "branch_failed").alias("branch_failed"),
-        F.max(F.when(is_run, F.struct("ts", "event"))).alias("last"),
+        F.max("repo_id").alias("repo_id"),
+        F.max("issue_number").alias("issue_number"),
+        F.max("branch_name").alias("branch_name"),
+        F.max(F.when(decides, F.struct("ts", "event"))).alias("last"),
         F.max_by(F.size("changed_files"), F.when(is_run, F.col("ts"))).alias("files_modified"),
         F.min("ts").alias("started_at"),
-        F.max("ts").alias("last_ts"),
     )
     passed = F.col("timed_out") | ((F.col("failed") == 0) & (F.col("errors") == 0))
     state = (
-        F.when(F.col("branch_failed"), "FAILED")
+        F.when(F.col("last.event") == "branch_failed", "FAILED")
         .when(F.col("last.event") == "no_command", "DONE")
         .when((F.col("last.event") == "test") & passed, "DONE")
         .otherwise("GUIDING")
@@ -125,9 +126,7 @@ def session_state(events: DataFrame, runs: DataFrame, inventory: DataFrame | Non
         F.coalesce("files_analyzed", F.lit(0)).alias("files_analyzed"),
         F.coalesce("files_modified", F.lit(0)).alias("files_modified"),
         "started_at",
-        F.when(
-            F.col("state").isin(TERMINAL), F.coalesce("last.ts", "last_ts")
-        ).alias("finished_at"),
+        F.when(F.col("state").isin(TERMINAL), F.col("last.ts")).alias("finished_at"),
     )
 
 
