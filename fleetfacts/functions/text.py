@@ -91,18 +91,17 @@ def manifest_lines(text: Column) -> Column:
 
 def _dir_pattern(match_filename: bool) -> str:
     names = "|".join(n.replace(".", r"\.") for n in C.VENDORED_DIRS)
-    end = "(?:/|$)" if match_filename else "/"
-    return f"(?:^|/)(?:{names}){end}"
+    end = r"(?:[/\\]|$)" if match_filename else r"[/\\]"
+    return rf"(?:^|[/\\])(?:{names}){end}"
 
 
 def is_vendored(path: Column, match_filename: bool = True) -> Column:
     """Some part of the path is a vendored or build directory."""
-    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
-    return slashed.rlike(_dir_pattern(match_filename))
+    return path.rlike(_dir_pattern(match_filename))
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_extension(path: Column) -> Column:
@@ -110,17 +109,28 @@ def file_extension(path: Column) -> Column:
     return F.regexp_extract(file_name(path), r"^.+(\.[^.]+)$", 1)
 
 
+def has_extension(path: Column, *extensions: str) -> Column:
+    """As `file_extension(path).isin(...)`, in a form that file statistics can answer."""
+    found = F.lit(False)
+    for ext in extensions:
+        dot_file = (path == ext) | path.endswith("/" + ext)
+        found = found | (path.endswith(ext) & ~dot_file)
+    return found
+
+
 def is_important(path: Column) -> Column:
     return file_name(path).isin(C.IMPORTANT_FILENAMES) | path.startswith(C.WORKFLOW_PREFIX)
 
 
 def parent_dir(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.substr(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
 
 
-def resolve_relative(directory: Column, target: Column) -> Column:
-    """Fold '.' and '..' of target against a directory; null when it leaves the root."""
-    parts = F.split(F.concat(directory, F.lit("/"), target), "/")
+OUTSIDE = ".."
+
+
+def _fold_segments(path: Column) -> Column:
+    """Fold '.' and '..' segment by segment; null when the path leaves the root."""
 
     def step(acc: Column, part: Column) -> Column:
         return (
@@ -130,10 +140,31 @@ def resolve_relative(directory: Column, target: Column) -> Column:
             .otherwise(F.array_append(acc, part))
         )
 
-    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
     return F.array_join(folded, "/")
 
 
+def resolve_relative(directory: Column, target: Column) -> Column:
+    """A relative target seen from a directory; OUTSIDE when it leaves the root.
+
+    The usual target, `./` or some `../` before plain segments, is resolved by string
+    functions; any other is folded segment by segment.
+    """
+    ups = (F.length(F.regexp_extract(target, r"^(?:\./)*((?:\.\./)*)", 1)) / 3).cast("int")
+    rest = F.regexp_replace(target, r"^(?:\./)*(?:\.\./)*", "")
+    depth = F.when(directory == "", 0).otherwise(F.size(F.split(directory, "/")))
+    base = F.call_function("substring_index", directory, F.lit("/"), depth - ups)
+    quick = (
+        F.when(ups > depth, F.lit(None).cast("string"))
+        .when(ups == depth, rest)
+        .otherwise(F.concat(base, F.lit("/"), rest))
+    )
+    folded = _fold_segments(F.concat(directory, F.lit("/"), target))
+    unusual = rest.rlike(r"(?:^|/)\.{0,2}(?:/|$)")
+    # Never null, so that a join on it adds no null check that would evaluate it again.
+    return F.coalesce(F.when(unusual, folded).otherwise(quick), F.lit(OUTSIDE))
+
+
 # --- versions, requirements, types ---------------------------------------------------
 
 

@@ -423,10 +423,9 @@ def prisma_models(content: Column) -> Column:
 
 def schema_candidates(files: DataFrame) -> DataFrame:
     """Files worth parsing, with the parsers that apply. A file may pass both Python gates."""
-    extension = X.file_extension(F.col("path"))
-    is_sql = extension == ".sql"
+    is_sql = X.has_extension(F.col("path"), ".sql")
     is_prisma = ~is_sql & F.lower("path").endswith("schema.prisma")
-    is_python = ~is_sql & ~is_prisma & (extension == ".py")
+    is_python = ~is_prisma & X.has_extension(F.col("path"), ".py")
     gated = exclude_vendored(files).select(
         "repo_id",
         "path",

@@ -28,7 +28,7 @@ def python_imports(files: DataFrame) -> DataFrame:
     )
     return (
         exclude_vendored(files)
-        .where(X.file_extension(F.col("path")) == ".py")
+        .where(X.has_extension(F.col("path"), ".py"))
         .select("repo_id", "path", F.explode(modules).alias("module"))
     )
 
@@ -38,98 +38,122 @@ def ts_imports(files: DataFrame) -> DataFrame:
     targets = F.array_distinct(X.extract_all(F.col("content"), _TS_IMPORT))
     return (
         exclude_vendored(files)
-        .where(X.file_extension(F.col("path")).isin(C.SCRIPT_EXTENSIONS))
+        .where(X.has_extension(F.col("path"), *C.SCRIPT_EXTENSIONS))
         .select("repo_id", "path", F.explode(targets).alias("target"))
     )
 
 
-def _best_path(index: DataFrame) -> DataFrame:
-    """The preferred file per importable name; unique per (repo_id, name)."""
+def _ranked(files: DataFrame, keys: list[Column]) -> DataFrame:
+    """Best rank per importable name.
+
+    A name and a rank spell the file's path, so only the smallest rank is aggregated (a hash
+    aggregate over an integer) and no path is shuffled.
+    """
     return (
-        index.groupBy("repo_id", "import_key")
-        .agg(F.min(F.struct("rank", "to_component")).alias("best"))
-        .select("repo_id", "import_key", "best.to_component")
+        files.select("repo_id", F.explode(F.array(*keys)).alias("k"))
+        .where("k IS NOT NULL")
+        .groupBy("repo_id", F.col("k.import_key").alias("import_key"))
+        .agg(F.min("k.rank").alias("rank"))
     )
 
 
-def _key(key: Column, rank: int) -> Column:
-    return F.struct(key.alias("import_key"), F.lit(rank).alias("rank"))
+def _key(key: Column, rank: Column | int) -> Column:
+    rank = rank if isinstance(rank, Column) else F.lit(rank)
+    return F.struct(key.alias("import_key"), rank.cast("int").alias("rank"))
 
 
 def python_module_index(files: DataFrame) -> DataFrame:
     """Names under which a Python file can be imported: from the root and from `src`.
 
-    Preference: m.py, m/__init__.py, src/m.py, src/m/__init__.py.
+    Ranks in order of preference: m.py, m/__init__.py, src/m.py, src/m/__init__.py.
     """
     path = F.col("path")
     package = path.endswith("/__init__.py")
-    stem = F.regexp_replace(path, r"\.py$", "")
-    folder = F.regexp_replace(path, r"/__init__\.py$", "")
     in_src = path.startswith("src/")
+    stem = F.substr(path, F.lit(1), F.length(path) - len(".py"))
+    folder = F.substr(path, F.lit(1), F.length(path) - len("/__init__.py"))
 
     def below_src(text: Column) -> Column:
-        return F.regexp_replace(text, "^src/", "")
+        return F.substr(text, F.lit(len("src/") + 1))
 
-    keys = F.array(
+    keys = [
         _key(stem, 0),
         F.when(package, _key(folder, 1)),
         F.when(in_src, _key(below_src(stem), 2)),
         F.when(in_src & package & (folder != "src"), _key(below_src(folder), 3)),
-    )
-    return _best_path(
-        exclude_vendored(files)
-        .where(path.endswith(".py"))
-        .select("repo_id", path.alias("to_component"), F.explode(F.array_compact(keys)).alias("k"))
-        .select("repo_id", "to_component", "k.*")
+    ]
+    return _ranked(exclude_vendored(files).where(path.endswith(".py")), keys)
+
+
+def _python_path(key: Column, rank: Column) -> Column:
+    return F.concat(
+        F.when(rank >= 2, "src/").otherwise(""),
+        key,
+        F.when(rank % 2 == 1, "/__init__.py").otherwise(".py"),
     )
 
 
 def ts_target_index(files: DataFrame) -> DataFrame:
     """Paths under which a file can be imported: itself, without extension, as an index.
 
-    Preference: the exact path, then per extension the file before the directory's index
-    file. A bare directory resolves to its index file.
+    Rank 0 is the exact path; then each extension has a rank for the file (odd) before one
+    for the directory's index file (even). A bare directory resolves to its index file.
     """
-    path = F.col("path")
-    name = X.file_name(path)
-    keys = [_key(path, 0)]
-    for at, ext in enumerate(C.SCRIPT_EXTENSIONS):
-        stem = F.substr(path, F.lit(1), F.length(path) - len(ext))
-        keys.append(F.when(path.endswith(ext) & (name != ext), _key(stem, 1 + 2 * at)))
-        keys.append(F.when(name == "index" + ext, _key(X.parent_dir(path), 2 + 2 * at)))
-    return _best_path(
-        exclude_vendored(files)
-        .select(
-            "repo_id",
-            path.alias("to_component"),
-            F.explode(F.array_compact(F.array(*keys))).alias("k"),
-        )
-        .select("repo_id", "to_component", "k.*")
+    path, name, at = F.col("path"), F.col("name"), F.col("at")
+    extension = X.file_extension(path)
+    placed = exclude_vendored(files).select(
+        "repo_id",
+        "path",
+        X.file_name(path).alias("name"),
+        extension.alias("extension"),
+        F.array_position(X.string_array(C.SCRIPT_EXTENSIONS), extension).alias("at"),
+    )
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length("extension"))
+    keys = [
+        _key(path, 0),
+        F.when(at > 0, _key(stem, 2 * at - 1)),
+        F.when((at > 0) & (name == F.concat(F.lit("index"), "extension")), _key(X.parent_dir(path), 2 * at)),
+    ]
+    return _ranked(placed, keys)
+
+
+def _ts_path(key: Column, rank: Column) -> Column:
+    extension = F.element_at(X.string_array(C.SCRIPT_EXTENSIONS), F.expr("(rank + 1) div 2").cast("int"))
+    folder = F.when(key == "", "").otherwise(F.concat(key, F.lit("/")))
+    return (
+        F.when(rank == 0, key)
+        .when(rank % 2 == 1, F.concat(key, extension))
+        .otherwise(F.concat(folder, F.lit("index"), extension))
     )
 
 
-def _resolve(imports: DataFrame, index: DataFrame) -> DataFrame:
+def _resolve(imports: DataFrame, index: DataFrame, target: Column) -> DataFrame:
     return (
         imports.join(index, ["repo_id", "import_key"])
-        .where(F.col("path") != F.col("to_component"))
-        .select("repo_id", F.col("path").alias("from_component"), "import_key", "to_component")
+        .select("repo_id", F.col("path").alias("from_component"), target.alias("to_component"))
+        .where("from_component <> to_component")
     )
 
 
 def resolve_python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Edges to the file each module names; unresolved imports and self-edges drop out."""
     keyed = imports.withColumn("import_key", F.replace("module", F.lit("."), F.lit("/")))
-    return _resolve(keyed, python_module_index(files))
+    return _resolve(
+        keyed, python_module_index(files), _python_path(F.col("import_key"), F.col("rank"))
+    )
 
 
 def resolve_ts_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Edges of relative imports that stay inside the repository."""
     target = F.col("target")
     relative = target.startswith("./") | target.startswith("../")
-    keyed = imports.where(relative).withColumn(
-        "import_key", X.resolve_relative(X.parent_dir(F.col("path")), target)
+    placed = imports.where(relative).withColumn("directory", X.parent_dir(F.col("path")))
+    keyed = placed.withColumn("import_key", X.resolve_relative(F.col("directory"), target))
+    return _resolve(
+        keyed,
+        ts_target_index(files),
+        _ts_path(F.col("import_key"), F.col("rank")),
     )
-    return _resolve(keyed.where("import_key IS NOT NULL"), ts_target_index(files))
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def issue_type(labels: Column, title: Column) -> Column:
     return F.coalesce(by_label, by_title)
 
 
-def issue_scope(labels: Column, body: Column) -> Column:
-    length = F.length(body)
+def issue_scope(labels: Column, length: Column) -> Column:
+    """Size of an issue by its lower-case labels, else by the length of its body."""
     return (
         F.when(F.arrays_overlap(labels, X.string_array(C.SMALL_SCOPE_LABELS)), "small")
         .when(F.arrays_overlap(labels, X.string_array(C.LARGE_SCOPE_LABELS)), "large")
@@ -45,9 +45,10 @@ def issue_scope(labels: Column, body: Column) -> Column:
     )
 
 
-def issue_reasons(labels: Column, title: Column, body: Column, comments: Column) -> Column:
-    """Signs that an issue is approachable, in fixed order. `body` keeps its case."""
-    length = F.length(body)
+def issue_reasons(
+    labels: Column, title: Column, low_body: Column, length: Column, comments: Column
+) -> Column:
+    """Signs that an issue is approachable, in fixed order, on lower-case texts."""
     approachable = F.filter(labels, lambda l: l.isin(C.APPROACHABLE_LABELS))
     rules = F.array(
         F.when(
@@ -56,7 +57,7 @@ def issue_reasons(labels: Column, title: Column, body: Column, comments: Column)
         ),
         F.when(length > 0, "Issue includes a description."),
         F.when(
-            X.contains_any(F.lower(body), C.REPRODUCTION_WORDS),
+            X.contains_any(low_body, C.REPRODUCTION_WORDS),
             "Reproduction steps or expected vs actual behavior described.",
         ),
         F.when(
@@ -76,14 +77,25 @@ def issue_reasons(labels: Column, title: Column, body: Column, comments: Column)
     return F.array_compact(rules)
 
 
-def issue_concerns(labels: Column, body: Column, comments: Column) -> Column:
-    """Signs that an issue is risky, in fixed order. `body` keeps its case."""
-    length = F.length(body)
-    low = F.lower(body)
-    complex_labels = F.filter(labels, lambda l: l.isin(C.COMPLEX_LABELS))
-    topics = F.array_compact(
-        F.array(*[F.when(low.contains(w), F.lit(w)) for w in C.COMPLEX_BODY_WORDS])
+def complex_topics(low_body: Column) -> Column:
+    """Words of complex topics in a lower-case body, in reporting order."""
+    return F.array_compact(
+        F.array(*[F.when(low_body.contains(w), F.lit(w)) for w in C.COMPLEX_BODY_WORDS])
     )
+
+
+def _many_file_references(body: Column) -> Column:
+    """More than 15 `name.ext` references. Each needs a dot, so bodies with few dots skip the
+    pattern."""
+    dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
+    return (dots > 15) & (F.regexp_count(body, F.lit(r"(?U)\b\w+\.\w{1,5}\b")) > 15)
+
+
+def issue_concerns(
+    labels: Column, body: Column, topics: Column, length: Column, comments: Column
+) -> Column:
+    """Signs that an issue is risky, in fixed order. `labels` are lower-case."""
+    complex_labels = F.filter(labels, lambda l: l.isin(C.COMPLEX_LABELS))
     rules = F.array(
         F.when(X.strip(body) == "", "No description provided — scope is unclear."),
         F.when(
@@ -95,7 +107,7 @@ def issue_concerns(labels: Column, body: Column, comments: Column) -> Column:
             ),
         ),
         F.when(
-            X.contains_any(low, C.COMPLEX_BODY_WORDS),
+            F.size(topics) > 0,
             F.concat(
                 F.lit("Description mentions complex topics: "),
                 F.array_join(F.slice(topics, 1, 3), ", "),
@@ -108,7 +120,7 @@ def issue_concerns(labels: Column, body: Column, comments: Column) -> Column:
             "No description and no comments — issue may be abandoned.",
         ),
         F.when(
-            F.regexp_count(body, F.lit(r"(?U)\b\w+\.\w{1,5}\b")) > 15,
+            _many_file_references(body),
             "References many files/paths — may touch multiple modules.",
         ),
     )
@@ -127,17 +139,27 @@ def analyze_issues(issues: DataFrame) -> DataFrame:
         F.coalesce("comments", F.lit(0)).alias("comments"),
         F.coalesce("html_url", empty).alias("url"),
     )
-    low_labels = F.transform("labels", F.lower)
-    low_title = F.lower("title")
-    body, comments = F.col("body"), F.col("comments")
-    return prepared.select(
+    # Each stage is used several times by the next, so Spark keeps it as its own projection
+    # and every text is lower-cased once.
+    lowered = prepared.select(
+        "*",
+        F.transform("labels", F.lower).alias("low_labels"),
+        F.lower("title").alias("low_title"),
+        F.lower("body").alias("low_body"),
+        F.length("body").alias("length"),
+    ).withColumn("topics", complex_topics(F.col("low_body")))
+    labels, title, body, low_body, topics, length, comments = (
+        F.col(c)
+        for c in ("low_labels", "low_title", "body", "low_body", "topics", "length", "comments")
+    )
+    return lowered.select(
         "repo_id",
         "issue_number",
         "title",
-        issue_type(low_labels, low_title).alias("type"),
-        issue_scope(low_labels, body).alias("scope"),
-        issue_reasons(low_labels, low_title, body, comments).alias("reasons"),
-        issue_concerns(low_labels, body, comments).alias("concerns"),
+        issue_type(labels, title).alias("type"),
+        issue_scope(labels, length).alias("scope"),
+        issue_reasons(labels, title, low_body, length, comments).alias("reasons"),
+        issue_concerns(labels, body, topics, length, comments).alias("concerns"),
         "labels",
         "url",
     )

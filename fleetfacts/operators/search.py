@@ -188,9 +188,12 @@ def keyword_runs(runs: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def file_postings(files: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(repo_id, path, keyword, in_path, in_content) for keywords of the file's repository."""
-    asked = keywords.select("repo_id").distinct()
-    runs = file_runs(files.join(asked, "repo_id", "left_semi"))
+    """(repo_id, path, keyword, in_path, in_content) for keywords of the file's repository.
+
+    Contents never leave the task that reads them; their distinct runs are shuffled. Files
+    are not first joined to the repositories that have issues, as that would shuffle contents.
+    """
+    runs = file_runs(files)
     return (
         runs.join(keyword_runs(runs, keywords), ["repo_id", "run"])
         .groupBy("repo_id", "path", "keyword")

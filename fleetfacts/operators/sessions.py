@@ -80,8 +80,12 @@ def session_attempts(runs: DataFrame) -> DataFrame:
 
 
 def last_runs(runs: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("attempt", "passed", "failed", "errors", "timed_out"), "attempt")
-    return runs.groupBy("session_id").agg(last.alias("r")).select("session_id", "r.*")
+    """Outcome of each session's last run; fixed-width buffers keep this a hash aggregate."""
+    fields = ["passed", "failed", "errors", "timed_out"]
+    return runs.groupBy("session_id").agg(
+        F.max("attempt").alias("attempt"),
+        *[F.max_by(f, "attempt").alias(f) for f in fields],
+    )
 
 
 def session_state(

@@ -70,10 +70,10 @@ def write_facts(
             .join(repos, "repo_id", "left_anti")
         )
         result = result.unionByName(kept.select(*columns))
-    spread = F.pmod(F.xxhash64(*[c for c in columns if c != "repo_bucket"]), F.lit(8))
     (
-        # Each bucket is written by several tasks, so a huge repository is not one writer.
-        result.repartition("repo_bucket", spread)
+        # Rebalancing by bucket joins small buckets' rows per file and splits a bucket that
+        # holds a huge repository over many writers, from measured sizes.
+        result.hint("rebalance", F.col("repo_bucket"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo_bucket")
