@@ -295,7 +295,7 @@ def test_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").selectExpr(
         "concat('s', user_id) AS session_id",
-        "CAST(event_id AS INT) AS attempt",
+        "event_id AS attempt",
         "CASE event_id % 5 WHEN 0 THEN 'python -m pytest -v' WHEN 1 THEN 'npm test'"
         " WHEN 2 THEN 'cargo test' WHEN 3 THEN 'go test ./...' ELSE 'make check' END AS command",
         f"{output} AS output",

@@ -160,9 +160,9 @@ TECHNOLOGIES = _merged(ALL_EVIDENCE)
 ORACLES["detect_technologies"] = TECHNOLOGIES
 LINEITEM_EVIDENCE = """(
   SELECT 's' || l_suppkey AS repo_id, l_returnflag || l_linestatus AS name,
-    CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS version,
-    'o' || l_orderkey AS source, l_discount AS confidence,
-    (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS seq
+    CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_orderkey % 50 AS VARCHAR) END AS version,
+    'o' || l_orderkey AS source, (l_orderkey % 7 + l_linenumber) / 20 AS confidence,
+    l_orderkey * 10 + l_linenumber AS seq
   FROM lineitem)"""
 ORACLES["merge_evidence"] = _merged(LINEITEM_EVIDENCE)
 ORACLES["unique_technologies"] = f"""
@@ -610,7 +610,7 @@ FROM {PLANNED}"""
 # --- sessions ------------------------------------------------------------------------
 
 RUNS = """(
-  SELECT 's' || user_id AS session_id, CAST(event_id AS INTEGER) AS attempt,
+  SELECT 's' || user_id AS session_id, event_id AS attempt,
     ['python -m pytest -v', 'npm test', 'cargo test', 'go test ./...', 'make check'][1 + event_id % 5] AS command,
     CASE WHEN event_id % 5 < 4 THEN event_id % 17 ELSE 0 END AS passed,
     CASE WHEN event_id % 5 < 4 AND event_type = 'error' THEN 1 + event_id % 3 ELSE 0 END AS failed,
@@ -733,3 +733,21 @@ ORACLES["knowledge_rejects"] = """
 SELECT CASE p_partkey % 10 WHEN 3 THEN 'unknown status' WHEN 4 THEN 'confidence outside [0, 1]' ELSE 'unreadable' END AS reason,
   count(*) AS documents
 FROM part WHERE p_partkey % 10 IN (3, 4, 5) GROUP BY 1"""
+
+# --- written and read back -----------------------------------------------------------
+
+ORACLES["read_issues"] = f"""
+SELECT repo_id, issue_number AS number, comments, url AS html_url FROM {ORDER_ISSUES} WHERE issue_number % 11 <> 0"""
+ORACLES["read_test_logs"] = f"""
+SELECT session_id, attempt, command, duration_seconds, timed_out FROM {RUNS}"""
+ORACLES["read_session_events"] = """
+SELECT 's' || user_id AS session_id,
+  CASE WHEN event_id % 1009 = 0 THEN 'branch_failed' WHEN event_type = 'view' THEN 'start'
+    WHEN event_type = 'purchase' THEN 'no_command' ELSE 'test' END AS event,
+  epoch_us(ts) AS micros, array_to_string(['a.py', 'b.py', 'c.py'][1:event_id % 4], '|') AS changed_files
+FROM events"""
+ORACLES["read_knowledge_docs"] = ORACLES["knowledge_technologies"]
+ORACLES["write_facts"] = """
+SELECT 'pkg' || p_partkey AS repo_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS name, p_type AS version
+FROM part WHERE p_partkey % 3 <> 0 OR p_size > 10"""
+ORACLES["incremental_dependencies"] = ORACLES["extract_dependencies"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,8 @@ from fleetfacts.operators import (
     sessions,
     technologies,
 )
-from fleetfacts.sources import readers
+from fleetfacts.sources import readers, writers
+from fleetfacts.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -79,7 +82,7 @@ def open_issues(spark, sf):
     )
 
 
-def _knowledge(spark, sf):
+def _knowledge_text(spark, sf):
     part = K.table(spark, sf, "part")
     doc = F.struct(
         F.struct(
@@ -101,7 +104,11 @@ def _knowledge(spark, sf):
     )
     text = F.to_json(doc)
     text = F.when(F.col("p_partkey") % 10 == 5, F.substring(text, 1, 40)).otherwise(text)
-    return readers.parse_knowledge_docs(part.select(text.alias("json")), "json")
+    return part.select(text.alias("json"))
+
+
+def _knowledge(spark, sf):
+    return readers.parse_knowledge_docs(_knowledge_text(spark, sf), "json")
 
 
 @query
@@ -124,6 +131,77 @@ def knowledge_rejects(spark, sf):
     return rejects.groupBy("reason").agg(F.count("*").alias("documents"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for a written table, below the cluster's checkpoint folder if it names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetfacts-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_issues(spark, sf):
+    path = _folder(spark, "issues")
+    K.order_issues(spark, sf).write.json(path)
+    opened = issues.drop_pull_requests(readers.read_issues(spark, path))
+    return opened.select("repo_id", "number", "comments", "html_url")
+
+
+@query
+def read_test_logs(spark, sf):
+    path = _folder(spark, "logs")
+    K.test_logs(spark, sf).write.json(path)
+    return readers.read_test_logs(spark, path).drop("output")
+
+
+@query
+def read_session_events(spark, sf):
+    path = _folder(spark, "events")
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    events = K.session_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.option("timestampFormat", exact).json(path)
+    events = readers.read_session_events(spark, path)
+    return events.select(
+        "session_id", "event", F.unix_micros("ts").alias("micros"), F.array_join("changed_files", "|").alias("changed_files")
+    )
+
+
+@query
+def read_knowledge_docs(spark, sf):
+    path = _folder(spark, "docs")
+    _knowledge_text(spark, sf).write.text(path)
+    return readers.knowledge_tables(readers.read_knowledge_docs(spark, path))["technologies"].select(
+        "repo_id", "name", "source", "confidence"
+    )
+
+
+@query
+def write_facts(spark, sf):
+    """Facts of all parts, then replaced for every third part, then read back."""
+    path = _folder(spark, "facts")
+    part = K.table(spark, sf, "part")
+    facts = part.selectExpr("concat('pkg', p_partkey) AS repo_id", "p_brand AS name", "p_type AS version")
+    writers.write_facts(facts, path, buckets=16)
+    third = part.where("p_partkey % 3 = 0").selectExpr(
+        "concat('pkg', p_partkey) AS repo_id", "p_name AS name", "p_type AS version", "p_size"
+    )
+    writers.write_facts(third.where("p_size > 10").drop("p_size"), path, third.select("repo_id"), buckets=16)
+    return writers.read_facts(spark, path, buckets=16)
+
+
+@query
+def incremental_dependencies(spark, sf):
+    """Manifests land in two steps; each step is analysed as a stream that stops when done."""
+    landed, facts, mark = (_folder(spark, n) for n in ("files", "facts", "mark"))
+    files = K.manifest_files(spark, sf)
+    early = F.col("path").isin("package.json", "go.mod")
+    for step in (early, ~early):
+        files.where(step).write.mode("append").parquet(landed)
+        stream = incremental.start_incremental(
+            spark, landed, facts, mark, tables=["dependencies"], buckets=16
+        )
+        stream.awaitTermination()
+    return writers.read_facts(spark, f"{facts}/dependencies", buckets=16)
+
+
 # --- filters and scalar functions ----------------------------------------------------
 
 
@@ -265,10 +343,10 @@ def _lineitem_evidence(spark, sf):
     return K.table(spark, sf, "lineitem").selectExpr(
         "concat('s', l_suppkey) AS repo_id",
         "concat(l_returnflag, l_linestatus) AS name",
-        "if(l_linenumber % 2 = 0, CAST(CAST(l_quantity AS INT) AS STRING), NULL) AS version",
+        "if(l_linenumber % 2 = 0, CAST(l_orderkey % 50 AS STRING), NULL) AS version",
         "concat('o', l_orderkey) AS source",
-        "l_discount AS confidence",
-        "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS seq",
+        "(l_orderkey % 7 + l_linenumber) / 20 AS confidence",
+        "l_orderkey * 10 + l_linenumber AS seq",
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetfacts import constants as C
 from fleetfacts.functions import text as X
 from fleetfacts.operators.inventory import exclude_vendored
+from fleetfacts.plans.staging import cut_lineage
 
 MAX_QUERIES = 1000
 
@@ -171,17 +172,23 @@ def keyword_runs(runs: DataFrame, keywords: DataFrame) -> DataFrame:
     """Which run contains which keyword, per repository, on distinct runs and keywords.
 
     Equi-join on the keyword's first characters (all of it up to five), then the exact
-    containment test for longer keywords.
+    containment test for longer keywords. Grams no keyword starts like are left out before
+    the shuffle, against the keywords' first three characters: a letter and two of 37
+    characters, so at most 35,594 of them in any fleet, which bounds the broadcast.
     """
-    gram = F.substring("keyword", 1, _GRAM_MAX)
-    vocabulary = keywords.select("repo_id", "keyword").distinct().withColumn("gram", gram)
+    vocabulary = keywords.select("repo_id", "keyword").distinct()
+    starts = vocabulary.select(F.substring("keyword", 1, _GRAM_MIN).alias("start")).distinct()
     spelled = (
         runs.select("repo_id", "run")
         .distinct()
         .select("repo_id", "run", F.explode(_run_grams(F.col("run"))).alias("gram"))
+        .withColumn("start", F.substring("gram", 1, _GRAM_MIN))
+        .join(F.broadcast(starts), "start", "left_semi")
+        .drop("start")
     )
+    keyed = vocabulary.withColumn("gram", F.substring("keyword", 1, _GRAM_MAX))
     return (
-        spelled.join(vocabulary, ["repo_id", "gram"])
+        spelled.join(keyed, ["repo_id", "gram"])
         .where(F.contains("run", "keyword"))
         .select("repo_id", "run", "keyword")
     )
@@ -226,46 +233,161 @@ def representative_postings(postings: DataFrame, max_results: int) -> DataFrame:
     return postings.join(kept, ["repo_id", "path"], "left_semi")
 
 
-def score_files(
-    keywords: DataFrame, files: DataFrame, max_results: int | None = None
-) -> DataFrame:
+def score_files(keywords: DataFrame, files: DataFrame) -> DataFrame:
     """Score of every (issue, file) that shares a keyword: 2 per path hit, 1 per content hit.
 
     Pairs come from an inverted index on (repo_id, keyword) and are summed on the map side;
-    matched keywords travel as bit masks over the keyword ranks. Nothing pairs an issue with
-    a file it has no word in common with.
+    matched keywords travel as bit masks over the keyword ranks. This is the whole score
+    table; `top_files_per_issue` finds the best files without building it.
     """
     postings = file_postings(exclude_vendored(files), keywords)
-    if max_results is not None:
-        postings = representative_postings(postings, max_results)
-    bit = F.expr("shiftleft(1, rank - 1)")
-    points = F.col("in_path").cast("int") * 2 + F.col("in_content").cast("int")
+    pairs = keywords.drop("frequency").join(_terms(postings), ["repo_id", "keyword"])
+    return _summed(pairs.select(*_contribution()))
+
+
+# A keyword that more files than this contain (in one place, in one repository) is heavy.
+HEAVY_TERM = 100_000
+
+ISSUE = ["repo_id", "number"]
+PAIR = ["repo_id", "number", "path"]
+TERM = ["repo_id", "keyword", "in_path"]
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    """One row per file, keyword and place, with the points a hit there is worth."""
+    in_path = F.when(F.col("in_path"), F.struct(F.lit(True).alias("in_path"), F.lit(2).alias("points")))
+    in_text = F.when(F.col("in_content"), F.struct(F.lit(False).alias("in_path"), F.lit(1).alias("points")))
     return (
-        keywords.select("repo_id", "number", "rank", "keyword")
-        .join(postings, ["repo_id", "keyword"])
-        .groupBy("repo_id", "number", "path")
-        .agg(
-            F.sum(points).alias("score"),
-            F.bit_or(bit).alias("matched"),
-            F.max("in_path").alias("in_path"),
+        postings.select("repo_id", "path", "keyword", F.explode(F.array(in_path, in_text)).alias("t"))
+        .where("t IS NOT NULL")
+        .select("repo_id", "path", "keyword", "t.in_path", "t.points")
+    )
+
+
+def _summed(contributions: DataFrame) -> DataFrame:
+    return contributions.groupBy(*PAIR).agg(
+        F.sum("score").alias("score"),
+        F.bit_or("matched").alias("matched"),
+        F.max("in_path").alias("in_path"),
+    )
+
+
+def _contribution() -> list[Column]:
+    return [
+        *map(F.col, PAIR),
+        F.col("points").cast("bigint").alias("score"),
+        F.expr("shiftleft(1, rank - 1)").alias("matched"),
+        F.col("in_path"),
+    ]
+
+
+def _top(scored: DataFrame, group: list[str], limit: int) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy(F.desc("score"), "path")
+    ranked = scored.withColumn("position", F.row_number().over(w))
+    return ranked.where(F.col("position") <= limit)
+
+
+def _last_place(top: DataFrame, limit: int) -> DataFrame:
+    """Score to beat per issue: that of the last place, 0 while places are free."""
+    full = F.count("*") == limit
+    return top.groupBy(*ISSUE).agg(F.when(full, F.min("score")).otherwise(0).alias("to_beat"))
+
+
+def best_files(
+    keywords: DataFrame, postings: DataFrame, limit: int, heavy_term: int = HEAVY_TERM
+) -> DataFrame:
+    """The best `limit` files per issue, without pairing issues with heavy posting lists.
+
+    1. Only light terms make candidate pairs, so an issue meets at most its number of terms
+       times `heavy_term` files. Candidates that could not reach the last place even with
+       every heavy hit are dropped; the others get their heavy hits by key.
+    2. A file that is no candidate has heavy hits only, so it scores at most the issue's
+       heavy points. Where the last place found in 1 is above that, 1 is the answer.
+    3. For the remaining issues, the best files by heavy hits alone are found once per
+       distinct set of heavy terms and offered to the issues with that set. Further ones
+       cannot be listed: all of those before them score at least as much.
+    """
+    terms = _terms(postings)
+    heavy = cut_lineage(
+        terms.groupBy(*TERM)
+        .agg(F.count("*").alias("files"), F.max("points").alias("points"))
+        .where(F.col("files") > heavy_term)
+        .drop("files")
+    )
+    if heavy.isEmpty():
+        pairs = keywords.drop("frequency").join(terms, ["repo_id", "keyword"])
+        return _top(_summed(pairs.select(*_contribution())), ISSUE, limit)
+    asked_heavy = keywords.drop("frequency").join(heavy, ["repo_id", "keyword"])
+    place = F.when(F.col("in_path"), "/path").otherwise("/content")
+    bounds = asked_heavy.groupBy(*ISSUE).agg(
+        F.sum("points").alias("bound"),
+        F.array_join(F.sort_array(F.collect_list(F.concat("keyword", place))), " ").alias("heavy_set"),
+    )
+
+    def heavy_hits(pairs: DataFrame) -> DataFrame:
+        asked = asked_heavy.drop("points")
+        found = pairs.select(*PAIR).join(asked, ISSUE).join(terms, ["repo_id", "path", "keyword", "in_path"])
+        return found.select(*_contribution())
+
+    light = _summed(
+        keywords.drop("frequency")
+        .join(terms.join(heavy, TERM, "left_anti"), ["repo_id", "keyword"])
+        .select(*_contribution())
+    )
+    open_issues = bounds.join(_last_place(_top(light, ISSUE, limit), limit), ISSUE, "left")
+    candidates = (
+        light.join(open_issues, ISSUE)
+        .where(F.col("score") + F.col("bound") >= F.coalesce("to_beat", F.lit(0)))
+        .select(*PAIR, "score", "matched", "in_path")
+    )
+    settled = light.join(bounds, ISSUE, "left_anti")
+    completed = _summed(candidates.unionByName(heavy_hits(candidates)))
+    found = cut_lineage(_top(settled.unionByName(completed), ISSUE, limit))
+
+    unsure = (
+        bounds.join(_last_place(found, limit), ISSUE, "left")
+        .where(F.col("bound") >= F.coalesce("to_beat", F.lit(0)))
+        .select(*ISSUE, "heavy_set")
+    )
+    term = F.split("term", "/")
+    wanted = (
+        unsure.select("repo_id", "heavy_set")
+        .distinct()
+        .select("repo_id", "heavy_set", F.explode(F.split("heavy_set", " ")).alias("term"))
+        .select(
+            "repo_id", "heavy_set", F.get(term, F.lit(0)).alias("keyword"),
+            (F.get(term, F.lit(1)) == "path").alias("in_path"),
         )
     )
+    by_set = _top(
+        wanted.join(terms, TERM).groupBy("repo_id", "heavy_set", "path").agg(F.sum("points").alias("score")),
+        ["repo_id", "heavy_set"],
+        limit,
+    )
+    offered = unsure.join(by_set.select("repo_id", "heavy_set", "path"), ["repo_id", "heavy_set"])
+    heavy_only = _summed(heavy_hits(offered))
+    # A candidate may be offered as well, with fewer hits; its full score is the larger one.
+    best = F.max(F.struct("score", "matched", "in_path")).alias("b")
+    merged = found.drop("position").unionByName(heavy_only).groupBy(*PAIR).agg(best).select(*PAIR, "b.*")
+    return _top(merged, ISSUE, limit)
 
 
 def top_files_per_issue(
-    keywords: DataFrame, files: DataFrame, max_results: int = 10
+    keywords: DataFrame, files: DataFrame, max_results: int = 10, heavy_term: int = HEAVY_TERM
 ) -> DataFrame:
-    """Best files per issue by score, then path, with the reason."""
-    w = Window.partitionBy("repo_id", "number").orderBy(F.desc("score"), "path")
-    best = (
-        score_files(keywords, files, max_results)
-        .withColumn("position", F.row_number().over(w))
-        .where(F.col("position") <= max_results)
-    )
-    words = keywords.groupBy("repo_id", "number").agg(
+    """Best files per issue by score, then path, with the reason.
+
+    Runs jobs when called: keywords and postings are read by many steps, so their lineage is
+    cut, and the steps for heavy keywords are planned only if there are any.
+    """
+    keywords = cut_lineage(keywords)
+    postings = file_postings(exclude_vendored(files), keywords)
+    kept = cut_lineage(representative_postings(postings, max_results))
+    best = best_files(keywords, kept, max_results, heavy_term)
+    words = keywords.groupBy(*ISSUE).agg(
         F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("words")
     )
-    return best.join(words, ["repo_id", "number"]).select(
+    return best.join(words, ISSUE).select(
         "repo_id",
         "number",
         "position",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fleetfacts.operators import dbschema, dependencies, imports, inventory, technologies
-from fleetfacts.sources.writers import write_facts
+from fleetfacts.sources.writers import BUCKETS, write_facts
 
 
 def analyze_files(files: DataFrame) -> dict[str, DataFrame]:
@@ -27,8 +27,15 @@ def analyze_files(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_analysis(files: DataFrame, out_dir: str, repos: DataFrame | None = None) -> None:
-    """Replace the facts of the repositories of `files` in every fact table."""
+def write_analysis(
+    files: DataFrame,
+    out_dir: str,
+    repos: DataFrame | None = None,
+    tables: list[str] | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Replace the facts of the repositories of `files` in every (or each named) fact table."""
     repos = files.select("repo_id").distinct() if repos is None else repos
     for name, facts in analyze_files(files).items():
-        write_facts(facts, f"{out_dir.rstrip('/')}/{name}", repos)
+        if tables is None or name in tables:
+            write_facts(facts, f"{out_dir.rstrip('/')}/{name}", repos, buckets)

@@ -12,7 +12,7 @@ ISSUES = (
     " pull_request STRUCT<url: STRING>"
 )
 TEST_LOGS = (
-    "session_id STRING, attempt INT, command STRING, output STRING,"
+    "session_id STRING, attempt BIGINT, command STRING, output STRING,"
     " duration_seconds DOUBLE, timed_out BOOLEAN"
 )
 SESSION_EVENTS = (

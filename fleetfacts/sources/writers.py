@@ -28,11 +28,19 @@ def repo_bucket(repo_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def _bucket_column(buckets: int) -> str:
+    """The partition column; it names the bucket count, so that counts cannot be mixed."""
+    return f"repo_bucket_{buckets}"
+
+
+def _existing(spark: SparkSession, path: str, bucket: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        table = spark.read.parquet(path)
     except AnalysisException:
         return None
+    if bucket not in table.columns:
+        raise ValueError(f"{path} is not partitioned by {bucket}")
+    return table
 
 
 def write_facts(
@@ -46,37 +54,34 @@ def write_facts(
     The table is partitioned by a hash bucket of repo_id. Buckets touched by `repos` (default:
     the repositories in `facts`) are rewritten as kept rows plus new rows with dynamic
     partition overwrite. One marker row per bucket (null repo_id) makes a bucket rewritten
-    even when its last fact is gone; `read_facts` leaves markers out.
+    even when its last fact is gone; `read_facts` leaves markers out. More buckets rewrite
+    less per changed repository and make more files.
     """
     spark = facts.sparkSession
+    bucket = _bucket_column(buckets)
+    of_repo = repo_bucket(F.col("repo_id"), buckets).alias(bucket)
     repos = (facts if repos is None else repos).select("repo_id").distinct()
-    keyed = facts.withColumn("repo_bucket", repo_bucket(F.col("repo_id"), buckets))
-    touched = repos.select(repo_bucket(F.col("repo_id"), buckets).alias("repo_bucket")).distinct()
-    columns = keyed.columns
-    markers = touched.select(
-        *[
-            F.lit(None).cast(f.dataType).alias(f.name)
-            if f.name != "repo_bucket"
-            else F.col("repo_bucket")
-            for f in keyed.schema.fields
-        ]
-    )
-    result = keyed.unionByName(markers)
-    current = _existing(spark, path)
+    touched = repos.select(of_repo).distinct()
+    keyed = facts.select("*", of_repo)
+    nothing = [
+        F.lit(None).cast(field.dataType).alias(field.name) for field in facts.schema.fields
+    ]
+    result = keyed.unionByName(touched.select(*nothing, bucket))
+    current = _existing(spark, path, bucket)
     if current is not None:
         kept = (
             current.where("repo_id IS NOT NULL")
-            .join(touched, "repo_bucket", "left_semi")
+            .join(touched, bucket, "left_semi")
             .join(repos, "repo_id", "left_anti")
         )
-        result = result.unionByName(kept.select(*columns))
+        result = result.unionByName(kept.select(*keyed.columns))
     (
-        # Rebalancing by bucket joins small buckets' rows per file and splits a bucket that
+        # Rebalancing by bucket brings small buckets' rows together and splits a bucket that
         # holds a huge repository over many writers, from measured sizes.
-        result.hint("rebalance", F.col("repo_bucket"))
+        result.hint("rebalance", F.col(bucket))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo_bucket")
+        .partitionBy(bucket)
         .parquet(path)
     )
 
@@ -85,11 +90,11 @@ def read_facts(
     spark: SparkSession, path: str, repo_ids: list[str] | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Fact table; for named repositories only their buckets are read."""
+    bucket = _bucket_column(buckets)
     facts = spark.read.parquet(path).where("repo_id IS NOT NULL")
     if repo_ids is not None:
-        wanted = [F.lit(r) for r in repo_ids]
         in_bucket = F.lit(False)
-        for literal in wanted:
-            in_bucket = in_bucket | (F.col("repo_bucket") == repo_bucket(literal, buckets))
+        for repo_id in repo_ids:
+            in_bucket = in_bucket | (F.col(bucket) == repo_bucket(F.lit(repo_id), buckets))
         facts = facts.where(in_bucket & F.col("repo_id").isin(repo_ids))
-    return facts.drop("repo_bucket")
+    return facts.drop(bucket)

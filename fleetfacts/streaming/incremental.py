@@ -12,15 +12,33 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetfacts import schemas as S
 from fleetfacts.plans.analyze import write_analysis
+from fleetfacts.plans.staging import cut_lineage
+from fleetfacts.sources.writers import BUCKETS
 
 
-def refresh_touched(arrived: DataFrame, files: DataFrame, out_dir: str) -> None:
-    touched = arrived.select("repo_id").distinct()
-    write_analysis(files.join(touched, "repo_id", "left_semi"), out_dir, touched)
+def refresh_touched(
+    arrived: DataFrame,
+    files: DataFrame,
+    out_dir: str,
+    tables: list[str] | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Analyse the repositories of `arrived` again, from all their files in `files`.
+
+    Every fact table asks for the touched repositories, so they are read from the batch once.
+    """
+    touched = cut_lineage(arrived.select("repo_id").distinct())
+    write_analysis(files.join(touched, "repo_id", "left_semi"), out_dir, touched, tables, buckets)
 
 
 def start_incremental(
-    spark: SparkSession, files_path: str, out_dir: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession,
+    files_path: str,
+    out_dir: str,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+    tables: list[str] | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Process what has been added to the landed file table since the last call, then stop."""
     arriving = (
@@ -30,8 +48,9 @@ def start_incremental(
     )
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        files = batch.sparkSession.read.schema(S.FILES).parquet(files_path)
-        refresh_touched(batch, files, out_dir)
+        # The caller's session, not the stream's: adaptive execution is off in the latter.
+        files = spark.read.schema(S.FILES).parquet(files_path)
+        refresh_touched(batch, files, out_dir, tables, buckets)
 
     return (
         arriving.writeStream.foreachBatch(on_batch)

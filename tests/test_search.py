@@ -97,9 +97,12 @@ def test_ranking_equals_brute_force(spark, make_files):
     issues.append(("mono", 99, None, None))
     raw = spark.createDataFrame(issues, "repo_id string, number bigint, title string, body string")
     keywords = S.issue_keywords(raw)
-    top = S.top_files_per_issue(keywords, make_files(*files))
-    got = rows(top, "repo_id", "number", "position", "path", "score", "reason")
-    assert got == brute_force(issues, files)
+    expected = brute_force(issues, files)
+    # Everything light; a mixture; nearly everything heavy.
+    for heavy_term in (10**6, 30, 8, 1, 0):
+        top = S.top_files_per_issue(keywords, make_files(*files), heavy_term=heavy_term)
+        got = rows(top, "repo_id", "number", "position", "path", "score", "reason")
+        assert got == expected, heavy_term
 
 
 def test_ranking_does_not_depend_on_partitions(spark, make_files):

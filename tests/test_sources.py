@@ -84,11 +84,13 @@ def test_write_facts_replaces_only_named_repositories(spark, tmp_path):
 
     W.write_facts(facts(("a", "x"), ("b", "y"), ("c", "z")), path, buckets=2)
     W.write_facts(facts(("a", "new")), path, buckets=2)
-    assert rows(W.read_facts(spark, path), "repo_id", "name") == [("a", "new"), ("b", "y"), ("c", "z")]
+    assert rows(W.read_facts(spark, path, buckets=2), "repo_id", "name") == [("a", "new"), ("b", "y"), ("c", "z")]
+    with pytest.raises(ValueError):
+        W.write_facts(facts(("a", "x")), path, buckets=3)
     # Repositories whose last fact is gone.
     gone = spark.createDataFrame([("a",), ("b",), ("c",)], "repo_id string")
     W.write_facts(facts(), path, gone, buckets=2)
-    assert W.read_facts(spark, path).count() == 0
+    assert W.read_facts(spark, path, buckets=2).count() == 0
     W.write_facts(facts(("b", "w")), path, buckets=2)
     assert rows(W.read_facts(spark, path, ["b", "q"], buckets=2), "repo_id", "name") == [("b", "w")]
 
@@ -104,9 +106,9 @@ def test_land_files_allows_pruning(spark, make_files, tmp_path):
 def test_analysis_round_trip(spark, make_files, tmp_path):
     files = make_files(*PYTHON_REPO, *NODE_REPO, *DB_REPO)
     facts = analyze_files(files)
-    write_analysis(files, str(tmp_path / "facts"))
+    write_analysis(files, str(tmp_path / "facts"), buckets=4)
     for name, df in facts.items():
-        stored = W.read_facts(spark, str(tmp_path / "facts" / name))
+        stored = W.read_facts(spark, str(tmp_path / "facts" / name), buckets=4)
         assert rows(stored.select(*df.columns)) == rows(df), name
 
 
@@ -129,20 +131,20 @@ def test_incremental_equals_batch(spark, make_files, tmp_path):
     files_path, out, mark = (str(tmp_path / d) for d in ("files", "facts", "checkpoint"))
 
     def settle():
-        query = start_incremental(spark, files_path, out, mark)
+        query = start_incremental(spark, files_path, out, mark, buckets=4)
         query.awaitTermination()
         assert query.exception() is None
 
     make_files(*PYTHON_REPO[:-1]).write.parquet(files_path)
     settle()
-    edges = W.read_facts(spark, os.path.join(out, "import_edges"))
+    edges = W.read_facts(spark, os.path.join(out, "import_edges"), buckets=4)
     assert edges.count() == 1
     # The missing target arrives later, with another repository.
     make_files(PYTHON_REPO[-1], *NODE_REPO).write.mode("append").parquet(files_path)
     settle()
     expected = analyze_files(make_files(*PYTHON_REPO, *NODE_REPO))
     for name in ("import_edges", "technologies", "dependencies", "file_inventory"):
-        stored = W.read_facts(spark, os.path.join(out, name))
+        stored = W.read_facts(spark, os.path.join(out, name), buckets=4)
         assert rows(stored.select(*expected[name].columns)) == rows(expected[name]), name
 
 
