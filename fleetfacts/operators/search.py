@@ -11,10 +11,19 @@ from fleetfacts.operators.inventory import exclude_vendored
 from fleetfacts.plans.staging import cut_lineage
 
 MAX_QUERIES = 1000
+# Largest per-group limit that Spark applies on the map side, before a group is brought
+# together (spark.sql.optimizer.windowGroupLimitThreshold).
+MAX_PER_GROUP = 1000
+
+
+def _check_limit(name: str, limit: int | None) -> None:
+    if limit is not None and not 0 < limit <= MAX_PER_GROUP:
+        raise ValueError(f"{name} must be between 1 and {MAX_PER_GROUP}")
 
 
 def search_scope(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """Searchable files; with `max_files`, the first ones per repository by path."""
+    _check_limit("max_files", max_files)
     scope = exclude_vendored(files, match_filename=False)
     if max_files is not None:
         w = Window.partitionBy("repo_id").orderBy("path")
@@ -39,6 +48,7 @@ def code_search(
     """
     if not 0 < len(queries) <= MAX_QUERIES:
         raise ValueError(f"between 1 and {MAX_QUERIES} queries are expected")
+    _check_limit("max_matches", max_matches)
     literals = F.array(
         *[
             F.struct(
@@ -113,6 +123,7 @@ def extract_keywords(
     texts: DataFrame, keys: list[str], text: Column, max_keywords: int = 20
 ) -> DataFrame:
     """Top keywords per text: most frequent first, then first seen."""
+    _check_limit("max_keywords", max_keywords)
     w = Window.partitionBy(*keys).orderBy(F.desc("frequency"), "first_pos")
     return (
         keyword_counts(texts, keys, text)
@@ -246,7 +257,7 @@ def score_files(keywords: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # A keyword that more files than this contain (in one place, in one repository) is heavy.
-HEAVY_TERM = 100_000
+HEAVY_TERM = 5_000
 
 ISSUE = ["repo_id", "number"]
 PAIR = ["repo_id", "number", "path"]
@@ -380,6 +391,7 @@ def top_files_per_issue(
     Runs jobs when called: keywords and postings are read by many steps, so their lineage is
     cut, and the steps for heavy keywords are planned only if there are any.
     """
+    _check_limit("max_results", max_results)
     keywords = cut_lineage(keywords)
     postings = file_postings(exclude_vendored(files), keywords)
     kept = cut_lineage(representative_postings(postings, max_results))
