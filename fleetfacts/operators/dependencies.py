@@ -1,106 +1,122 @@
 """Declared dependencies of the root manifests.
 
-Every extractor is a filter on `path` (pushed to the scan), an array expression over one
-manifest and an explode: no shuffle before the reports at the end.
+Manifests of all kinds are read in one pass: each becomes an array of (name, version) by its
+file name, then rows. There is no shuffle before the reports at the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfacts.functions import text as X
-from fleetfacts.functions.toml import parse_toml
-from fleetfacts.operators.technologies import manifest, package_json
+from fleetfacts.operators.technologies import manifests, section, toml_specs
 
+ENTRIES = "array<struct<name: string, version: string>>"
 
-def _rows(df: DataFrame, name: Column, version: Column, ecosystem: str, source: str) -> DataFrame:
-    return df.select(
-        "repo_id",
-        name.alias("name"),
-        version.alias("version"),
-        F.lit(ecosystem).alias("ecosystem"),
-        F.lit(source).alias("source"),
-    )
 
+def _entry(name: Column, version: Column) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"))
 
-def npm_dependencies(files: DataFrame) -> DataFrame:
-    """Both sections; a name in both gives two rows."""
-    entries = F.concat(F.map_entries("deps"), F.map_entries("dev"))
-    rows = package_json(files).select("repo_id", F.explode(entries).alias("e"))
-    return _rows(rows, F.col("e.key"), F.nullif("e.value", F.lit("")), "npm", "package.json")
 
+def _npm_entries() -> Column:
+    """Both sections; a name in both gives two entries."""
+    packages = F.concat(
+        F.map_entries(section("dependencies")), F.map_entries(section("devDependencies"))
+    )
+    return F.transform(packages, lambda e: _entry(e["key"], F.nullif(e["value"], F.lit(""))))
 
-def _requirement_rows(df: DataFrame, lines: Column, source: str) -> DataFrame:
+
+def _requirement_entries(lines: Column) -> Column:
     kept = F.filter(lines, lambda l: (l != "") & ~l.startswith("#"))
-    rows = df.select("repo_id", F.explode(kept).alias("line"))
-    line = F.col("line")
-    return _rows(rows, X.requirement_name(line), X.requirement_spec(line), "pypi", source)
+    return F.transform(kept, lambda l: _entry(X.requirement_name(l), X.requirement_spec(l)))
 
 
-def requirements_dependencies(files: DataFrame) -> DataFrame:
-    lines = X.manifest_lines(F.col("content"))
-    return _requirement_rows(manifest(files, "requirements.txt"), lines, "requirements.txt")
+def _requirements_entries() -> Column:
+    return _requirement_entries(X.manifest_lines(F.col("content")))
 
 
-def pyproject_dependencies(files: DataFrame) -> DataFrame:
-    parsed = manifest(files, "pyproject.toml").select(
-        "repo_id", parse_toml("content").alias("toml")
-    )
-    lines = F.transform(
-        F.filter("toml", lambda e: e.section == "project"), lambda e: X.strip(e.spec)
-    )
-    return _requirement_rows(parsed, lines, "pyproject.toml")
+def _pyproject_entries() -> Column:
+    return _requirement_entries(F.transform(toml_specs("project"), lambda e: X.strip(e["spec"])))
 
 
-def go_dependencies(files: DataFrame) -> DataFrame:
+def _go_entries() -> Column:
     """`require` blocks and single `require` lines; comment lines are not dependencies.
 
     The text is cut at each line that opens a block; within a piece, all lines up to the
     closing line are in the block and the rest is outside.
     """
     pieces = F.split(F.col("content"), r"(?dmU)^[^\S\n]*require \([^\S\n]*$")
+    empty = F.array().cast("array<string>")
 
     def lines_of(piece: Column, at: Column) -> Column:
         halves = F.split(piece, r"(?dmU)^[^\S\n]*\)[^\S\n]*$", 2)
         in_block = F.when(at > 0, X.manifest_lines(F.get(halves, F.lit(0))))
         outside = F.when(at == 0, piece).otherwise(F.get(halves, F.lit(1)))
         singles = F.filter(X.manifest_lines(outside), lambda l: l.startswith("require "))
-        empty = F.array().cast("array<string>")
         return F.concat(F.coalesce(in_block, empty), F.coalesce(singles, empty))
 
     lines = F.flatten(F.transform(pieces, lines_of))
-    rows = manifest(files, "go.mod").select("repo_id", F.explode(lines).alias("line"))
-    rest = X.strip(F.regexp_replace("line", "^require ", ""))
-    tokens = rows.select("repo_id", F.split(rest, r"(?U)\s+").alias("t")).where(
-        (F.size("t") >= 2) & ~F.get("t", F.lit(0)).startswith("//")
+    tokens = F.transform(
+        lines, lambda l: F.split(X.strip(F.regexp_replace(l, "^require ", "")), r"(?U)\s+")
     )
-    return _rows(tokens, F.get("t", F.lit(0)), F.get("t", F.lit(1)), "go", "go.mod")
+    named = F.filter(
+        tokens, lambda t: (F.size(t) >= 2) & ~F.get(t, F.lit(0)).startswith("//")
+    )
+    return F.transform(named, lambda t: _entry(F.get(t, F.lit(0)), F.get(t, F.lit(1))))
 
 
-def cargo_dependencies(files: DataFrame) -> DataFrame:
-    parsed = manifest(files, "Cargo.toml").select("repo_id", parse_toml("content").alias("toml"))
-    crates = F.filter("toml", lambda e: e.section == "crate")
-    rows = parsed.select("repo_id", F.explode(crates).alias("e"))
-    return _rows(rows, F.col("e.name"), F.col("e.spec"), "cargo", "Cargo.toml")
-
-
-def extract_dependencies(files: DataFrame) -> DataFrame:
-    """Rows of every manifest, duplicates kept."""
-    return reduce(
-        DataFrame.unionByName,
-        [
-            npm_dependencies(files),
-            requirements_dependencies(files),
-            pyproject_dependencies(files),
-            go_dependencies(files),
-            cargo_dependencies(files),
-        ],
+def _cargo_entries() -> Column:
+    return F.transform(toml_specs("crate"), lambda e: _entry(e["name"], e["spec"]))
+
+
+# Manifest -> ecosystem and entries.
+_MANIFESTS = {
+    "package.json": ("npm", _npm_entries),
+    "requirements.txt": ("pypi", _requirements_entries),
+    "pyproject.toml": ("pypi", _pyproject_entries),
+    "go.mod": ("go", _go_entries),
+    "Cargo.toml": ("cargo", _cargo_entries),
+}
+
+
+def extract_dependencies(files: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Rows of all (or the named) manifests, duplicates kept."""
+    names = list(_MANIFESTS) if names is None else names
+    entries = F.lit(None).cast(ENTRIES)
+    for name in names:
+        entries = F.when(F.col("path") == name, _MANIFESTS[name][1]()).otherwise(entries)
+    ecosystems = {name: ecosystem for name, (ecosystem, _) in _MANIFESTS.items()}
+    rows = manifests(files, names).select("repo_id", "path", F.explode(entries).alias("e"))
+    return rows.select(
+        "repo_id",
+        "e.name",
+        "e.version",
+        X.lookup(ecosystems, F.col("path")).alias("ecosystem"),
+        F.col("path").alias("source"),
     )
 
 
+def npm_dependencies(files: DataFrame) -> DataFrame:
+    return extract_dependencies(files, ["package.json"])
+
+
+def requirements_dependencies(files: DataFrame) -> DataFrame:
+    return extract_dependencies(files, ["requirements.txt"])
+
+
+def pyproject_dependencies(files: DataFrame) -> DataFrame:
+    return extract_dependencies(files, ["pyproject.toml"])
+
+
+def go_dependencies(files: DataFrame) -> DataFrame:
+    return extract_dependencies(files, ["go.mod"])
+
+
+def cargo_dependencies(files: DataFrame) -> DataFrame:
+    return extract_dependencies(files, ["Cargo.toml"])
+
+
 def dependencies_by_ecosystem(dependencies: DataFrame) -> DataFrame:
     """Dependency list per repository and ecosystem.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfacts.functions import text as X
-from fleetfacts.operators.technologies import manifest, package_json
+from fleetfacts.operators.technologies import manifests, section
 
 DEFAULT_TEST_FILE = "tests/test_something.py"
 
@@ -50,8 +50,8 @@ def test_command(
         .groupBy("repo_id")
         .agg(F.bool_or(F.lower("content").contains("pytest")).alias("pytest_text"))
     )
-    scripts = package_json(files).select(
-        "repo_id", F.map_contains_key("scripts", "test").alias("npm_test")
+    scripts = manifests(files, ["package.json"]).select(
+        "repo_id", F.map_contains_key(section("scripts"), "test").alias("npm_test")
     )
     flags = _flags(
         repositories,

@@ -1,50 +1,56 @@
 """Technology detection: evidence rows from manifests and extensions, then one row per name.
 
-Evidence is built per file, without a shuffle. The merge is an aggregate with map-side
-combine on (repo_id, name); extension evidence is made distinct first because it has one row
-per source file.
+Root manifests of all kinds are read in one pass: each becomes an array of evidence by its file
+name, without a shuffle. The merge is an aggregate with map-side combine on (repo_id, name);
+extension evidence is made distinct first because it has one row per source file.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfacts import constants as C
 from fleetfacts.functions import text as X
-from fleetfacts.functions.toml import parse_toml
+from fleetfacts.functions.toml import TOML_ENTRIES, parse_toml
 
 EVIDENCE = ["repo_id", "name", "version", "source", "confidence", "seq"]
 
 # Place of each source in the reading order; leaves room for line numbers behind it.
 STAGE = 1 << 40
 
+ITEMS = "array<struct<name: string, version: string, confidence: double, seq: bigint>>"
 PACKAGE_JSON = (
     "dependencies map<string,string>, devDependencies map<string,string>,"
     " scripts map<string,string>"
 )
 
 
-def manifest(files: DataFrame, name: str) -> DataFrame:
-    """Root manifests of one kind; an equality on path that reaches the scan."""
-    return files.where(F.col("path") == name)
+def manifests(files: DataFrame, names: list[str] = C.ROOT_MANIFESTS) -> DataFrame:
+    """Root manifests of the named kinds, parsed: the filter on path reaches the scan.
 
+    `pkg` is the package.json object (null when it is not one), `toml` the entries of a TOML
+    file (null when unreadable). The UDF sees only TOML texts, and nothing filters on its
+    result, which would run it twice.
+    """
+    path, content = F.col("path"), F.col("content")
+    is_object = F.get_json_object(content, "$").startswith("{")
+    pkg = F.when((path == "package.json") & is_object, F.from_json(content, PACKAGE_JSON))
+    rows = files.where(path.isin(names)).select("repo_id", "path", "content", pkg.alias("pkg"))
+    toml_names = [n for n in names if n.endswith(".toml")]
+    if not toml_names:
+        return rows.withColumn("toml", F.lit(None).cast(TOML_ENTRIES))
+    return rows.withColumn("toml", parse_toml(F.when(path.isin(toml_names), content)))
+
+
+def toml_specs(section: str) -> Column:
+    """Entries of one section of a parsed TOML manifest."""
+    return F.filter("toml", lambda e: e.section == section)
 
-def package_json(files: DataFrame) -> DataFrame:
-    """Root package.json files that hold a JSON object, parsed once."""
-    return (
-        manifest(files, "package.json")
-        .where(F.get_json_object("content", "$").startswith("{"))
-        .select("repo_id", F.from_json("content", PACKAGE_JSON).alias("pkg"))
-        .select(
-            "repo_id",
-            F.coalesce("pkg.dependencies", F.create_map().cast("map<string,string>")).alias("deps"),
-            F.coalesce("pkg.devDependencies", F.create_map().cast("map<string,string>")).alias("dev"),
-            F.coalesce("pkg.scripts", F.create_map().cast("map<string,string>")).alias("scripts"),
-        )
-    )
+
+def section(name: str) -> Column:
+    """A string map of package.json, empty when it has none."""
+    return F.coalesce(F.col(f"pkg.{name}"), F.create_map().cast("map<string,string>"))
 
 
 def _item(name: str, version: Column | None, confidence: float, seq: Column | int) -> Column:
@@ -57,19 +63,8 @@ def _item(name: str, version: Column | None, confidence: float, seq: Column | in
     )
 
 
-def _emit(df: DataFrame, items: Column, source: str, stage: int) -> DataFrame:
-    return df.select("repo_id", F.explode(items).alias("e")).select(
-        "repo_id",
-        "e.name",
-        "e.version",
-        F.lit(source).alias("source"),
-        "e.confidence",
-        (F.col("e.seq") + F.lit(stage * STAGE)).alias("seq"),
-    )
-
-
-def npm_evidence(files: DataFrame) -> DataFrame:
-    deps, dev = F.col("deps"), F.col("dev")
+def _npm_items() -> Column:
+    deps, dev = section("dependencies"), section("devDependencies")
 
     def declared(*names: str) -> Column:
         found = F.lit(False)
@@ -77,28 +72,24 @@ def npm_evidence(files: DataFrame) -> DataFrame:
             found = found | F.map_contains_key(deps, n) | F.map_contains_key(dev, n)
         return found
 
-    def version(section: Column, name: str) -> Column:
-        return F.nullif(F.try_element_at(section, F.lit(name)), F.lit(""))
+    def version(packages: Column, name: str) -> Column:
+        return F.nullif(F.try_element_at(packages, F.lit(name)), F.lit(""))
+
+    def item(label: str, spec: Column, seq: int, *names: str) -> Column:
+        return F.when(declared(*names), _item(label, X.version_number(spec), 1.0, seq))
 
     ts_spec = F.coalesce(version(dev, "typescript"), version(deps, "typescript"))
-    items = F.array(
-        _item("Node.js", None, 0.9, 0),
-        _item("JavaScript", None, 0.8, 1),
-        F.when(
-            declared("react", "@types/react"),
-            _item("React", X.version_number(version(deps, "react")), 1.0, 2),
-        ),
-        F.when(
-            declared("typescript", "@types/node"),
-            _item("TypeScript", X.version_number(ts_spec), 1.0, 3),
-        ),
-        F.when(declared("next"), _item("Next.js", X.version_number(version(deps, "next")), 1.0, 4)),
-        F.when(
-            declared("express"),
-            _item("Express", X.version_number(version(deps, "express")), 1.0, 5),
-        ),
+    found = F.array_compact(
+        F.array(
+            _item("Node.js", None, 0.9, 0),
+            _item("JavaScript", None, 0.8, 1),
+            item("React", version(deps, "react"), 2, "react", "@types/react"),
+            item("TypeScript", ts_spec, 3, "typescript", "@types/node"),
+            item("Next.js", version(deps, "next"), 4, "next"),
+            item("Express", version(deps, "express"), 5, "express"),
+        )
     )
-    return _emit(package_json(files), F.array_compact(items), "package.json", 1)
+    return F.when(F.col("pkg").isNotNull(), found)
 
 
 def _framework_items(requirements: Column) -> Column:
@@ -117,54 +108,96 @@ def _framework_items(requirements: Column) -> Column:
     return F.array_compact(F.transform(requirements, one))
 
 
-def pyproject_evidence(files: DataFrame) -> DataFrame:
-    parsed = manifest(files, "pyproject.toml").select(
-        "repo_id", parse_toml("content").alias("toml")
-    )
-    requirements = F.transform(
-        F.filter("toml", lambda e: e.section == "project"), lambda e: X.strip(e.spec)
-    )
-    items = F.concat(F.array(_item("Python", None, 1.0, 0)), _framework_items(requirements))
-    return _emit(parsed.where("toml IS NOT NULL"), items, "pyproject.toml", 2)
+def _pyproject_items() -> Column:
+    """Null, so no evidence at all, when the file cannot be read."""
+    requirements = F.transform(toml_specs("project"), lambda e: X.strip(e.spec))
+    return F.concat(F.array(_item("Python", None, 1.0, 0)), _framework_items(requirements))
 
 
-def requirements_evidence(files: DataFrame) -> DataFrame:
-    items = F.concat(
-        F.array(_item("Python", None, 0.9, 0)),
-        _framework_items(X.manifest_lines(F.col("content"))),
-    )
-    return _emit(manifest(files, "requirements.txt"), items, "requirements.txt", 3)
+def _requirements_items() -> Column:
+    lines = X.manifest_lines(F.col("content"))
+    return F.concat(F.array(_item("Python", None, 0.9, 0)), _framework_items(lines))
 
 
-def go_evidence(files: DataFrame) -> DataFrame:
+def _go_items() -> Column:
     version = X.extract(F.col("content"), r"(?dmU)^[^\S\n]*go[^\S\n]+([\d.]+)")
-    return _emit(
-        manifest(files, "go.mod"), F.array(_item("Go", version, 1.0, 0)), "go.mod", 4
-    )
+    return F.array(_item("Go", version, 1.0, 0))
 
 
-def rust_evidence(files: DataFrame) -> DataFrame:
-    return _emit(
-        manifest(files, "Cargo.toml"), F.array(_item("Rust", None, 1.0, 0)), "Cargo.toml", 5
-    )
+def _rust_items() -> Column:
+    return F.array(_item("Rust", None, 1.0, 0))
 
 
-def docker_evidence(files: DataFrame) -> DataFrame:
+def _docker_items() -> Column:
     images = X.extract_all(F.col("content"), r"(?dmU)^[^\S\n]*(?i:FROM)\S*[^\S\n]+(\S+)")
-    based_on = F.array_compact(
+
+    def based_on(prefix: str, name: str, seq: int) -> Column:
+        return F.when(F.exists(images, lambda i: i.startswith(prefix)), _item(name, None, 0.9, seq))
+
+    return F.array_compact(
         F.array(
             _item("Docker", None, 1.0, 0),
-            F.when(
-                F.exists(images, lambda i: i.startswith("python:")),
-                _item("Python", None, 0.9, 1),
-            ),
-            F.when(
-                F.exists(images, lambda i: i.startswith("node:")),
-                _item("Node.js", None, 0.9, 2),
-            ),
+            based_on("python:", "Python", 1),
+            based_on("node:", "Node.js", 2),
         )
     )
-    return _emit(manifest(files, "Dockerfile"), based_on, "Dockerfile", 6)
+
+
+# Evidence of each manifest, in reading order.
+_ITEMS = {
+    "package.json": _npm_items,
+    "pyproject.toml": _pyproject_items,
+    "requirements.txt": _requirements_items,
+    "go.mod": _go_items,
+    "Cargo.toml": _rust_items,
+    "Dockerfile": _docker_items,
+}
+
+
+def manifest_evidence(files: DataFrame, names: list[str] = C.ROOT_MANIFESTS) -> DataFrame:
+    """Evidence of the named root manifests, in one pass."""
+    items = F.lit(None).cast(ITEMS)
+    stage = F.lit(0)
+    for at, (name, build) in enumerate(_ITEMS.items(), 1):
+        if name in names:
+            is_it = F.col("path") == name
+            items = F.when(is_it, build()).otherwise(items)
+            stage = F.when(is_it, F.lit(at)).otherwise(stage)
+    rows = manifests(files, names).select(
+        "repo_id", "path", stage.alias("stage"), F.explode(items).alias("e")
+    )
+    return rows.select(
+        "repo_id",
+        "e.name",
+        "e.version",
+        F.col("path").alias("source"),
+        "e.confidence",
+        (F.col("e.seq") + F.col("stage") * STAGE).alias("seq"),
+    )
+
+
+def npm_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["package.json"])
+
+
+def pyproject_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["pyproject.toml"])
+
+
+def requirements_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["requirements.txt"])
+
+
+def go_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["go.mod"])
+
+
+def rust_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["Cargo.toml"])
+
+
+def docker_evidence(files: DataFrame) -> DataFrame:
+    return manifest_evidence(files, ["Dockerfile"])
 
 
 def workflow_evidence(inventory: DataFrame) -> DataFrame:
@@ -203,17 +236,11 @@ def extension_evidence(inventory: DataFrame) -> DataFrame:
 def technology_evidence(files: DataFrame) -> DataFrame:
     """All evidence; `seq` is the reading order."""
     paths = files.select("repo_id", "path").where(~X.is_vendored(F.col("path"), False))
-    sources = [
-        npm_evidence(files),
-        pyproject_evidence(files),
-        requirements_evidence(files),
-        go_evidence(files),
-        rust_evidence(files),
-        docker_evidence(files),
-        workflow_evidence(paths),
-        extension_evidence(paths),
-    ]
-    return reduce(DataFrame.unionByName, sources)
+    return (
+        manifest_evidence(files)
+        .unionByName(workflow_evidence(paths))
+        .unionByName(extension_evidence(paths))
+    )
 
 
 def merge_evidence(evidence: DataFrame, keys: tuple[str, ...] = ("repo_id", "name")) -> DataFrame:
