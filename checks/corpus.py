@@ -49,7 +49,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source AS repo_id",
         f"concat({DOC_DIR}, lang, doc_id, {DOC_EXT}) AS path",
         "text AS content",
-        "doc_id",
+        "lang",
     )
 
 
@@ -182,7 +182,8 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table per order in one of four dialects; a customer's orders share a table name.
 
     Columns: id (key), amount (type by order status; not null and unique by priority) and, for
-    every third order, owner_id referring to the next customer's table.
+    every third order, owner_id referring to the next customer's table. In SQL the reference is
+    a table constraint for every eighth order.
     """
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
@@ -191,6 +192,7 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority IN ('1-URGENT', '2-HIGH') AS required",
         "o_orderpriority = '3-MEDIUM' AS uniq",
         "o_orderkey % 3 = 0 AS owned",
+        "o_orderkey % 8 = 0 AS table_level",
         "concat('t', o_custkey) AS name",
         "concat('t', o_custkey + 1) AS owner",
     )
@@ -198,7 +200,8 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('-- CREATE TABLE follows\\ncreate table if not exists \"', name, '\" (\\n  id INTEGER NOT NULL PRIMARY KEY,\\n  amount ',"
         " CASE st WHEN 'F' THEN 'decimal(10, 2)' WHEN 'O' THEN 'INTEGER' ELSE 'VARCHAR(20)' END,"
         " if(required, ' NOT NULL', ''), if(uniq, ' UNIQUE', ''), ' DEFAULT 0',"
-        " if(owned, concat(',\\n  owner_id INTEGER REFERENCES ', owner, '(id)'), ''),"
+        " if(owned, concat(',\\n  owner_id INTEGER', if(table_level, ',\\n  FOREIGN KEY (owner_id)', ''),"
+        " ' REFERENCES \"', owner, '\" (id)'), ''),"
         " ',\\n  CHECK ((amount > (0)))\\n);\\nSELECT 1;\\n')"
     )
     sqlalchemy = (
@@ -253,11 +256,11 @@ def order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation as an issue: first 60 characters as title, all as body."""
+    """Each turn of a conversation as an issue: its first sentence as title, all as body."""
     return table(spark, sf_dir, "conversations").selectExpr(
         "role AS repo_id",
         "conv_id * 100 + turn AS number",
-        "substring(text, 1, 60) AS title",
+        "substring_index(text, '.', 1) AS title",
         "text AS body",
         "CASE turn % 3 WHEN 0 THEN array(named_struct('name', 'Docs'), named_struct('name', 'Bug')) ELSE NULL END AS labels",
         "CAST(turn AS INT) AS comments",

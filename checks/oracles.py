@@ -18,7 +18,7 @@ def words(values) -> str:
 # --- documents and pages -------------------------------------------------------------
 
 DOCS = """(
-  SELECT source AS repo_id, doc_id, text AS content,
+  SELECT source AS repo_id, doc_id, lang, text AS content,
     CASE doc_id % 4 WHEN 0 THEN 'tests/tion/' WHEN 1 THEN 'that_with/' WHEN 2 THEN 'spec/' ELSE 'src/build/' END
       || lang || doc_id || ext AS path,
     CASE ext WHEN '.test.js' THEN '.js' ELSE ext END AS extension
@@ -73,10 +73,10 @@ ORACLES["owner_repo"] = """
 SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN p_type END AS owner,
   CASE WHEN p_partkey % 4 < 3 THEN replace(p_name, ' ', '-') END AS repo
 FROM part"""
-SLUG60 = "lower(trim(regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9]+', '-', 'g'), '-'))"
+TITLE_SLUG = "lower(trim(regexp_replace(split_part(text, '.', 1), '[^a-zA-Z0-9]+', '-', 'g'), '-'))"
 ORACLES["branch_name"] = f"""
 SELECT conv_id * 100 + turn AS number,
-  'contrib/' || (conv_id * 100 + turn) || '-' || rtrim(substr({SLUG60}, 1, 50), '-') AS branch
+  'contrib/' || (conv_id * 100 + turn) || '-' || rtrim(substr({TITLE_SLUG}, 1, 50), '-') AS branch
 FROM conversations"""
 ORACLES["format_size"] = """
 SELECT bytes, CASE WHEN bytes < 1024 THEN bytes || ' B'
@@ -299,7 +299,7 @@ KINDS = ["sql", "sqlalchemy", "django", "prisma"]
 DECLARED = """(
   SELECT 'repo' || (o_custkey % 20) AS repo_id, 't' || o_custkey AS name, 't' || (o_custkey + 1) AS owner,
     o_orderstatus AS st, o_orderpriority IN ('1-URGENT', '2-HIGH') AS required,
-    o_orderpriority = '3-MEDIUM' AS uniq, o_orderkey % 3 = 0 AS owned,
+    o_orderpriority = '3-MEDIUM' AS uniq, o_orderkey % 3 = 0 AS owned, o_orderkey % 8 = 0 AS table_level,
     ['sql', 'sqlalchemy', 'django', 'prisma'][1 + o_orderkey % 4] AS source_type,
     CASE o_orderkey % 4 WHEN 0 THEN 'db/o' || o_orderkey || '.sql' WHEN 1 THEN 'app/o' || o_orderkey || '.py'
       WHEN 2 THEN 'dj/o' || o_orderkey || '.py' ELSE 'p/o' || o_orderkey || '/schema.prisma' END AS source,
@@ -318,7 +318,8 @@ COLUMNS = f"""(
   FROM {DECLARED}
   UNION ALL
   SELECT repo_id, source, source_type, name, 2, 'owner_id', 'INTEGER', false,
-    CASE source_type WHEN 'django' THEN owner WHEN 'prisma' THEN NULL ELSE owner || '.id' END, true, false, NULL
+    CASE WHEN source_type = 'django' THEN owner WHEN source_type = 'prisma' OR table_level THEN NULL
+      ELSE owner || '.id' END, true, false, NULL
   FROM {DECLARED} WHERE owned)"""
 RELATIONS = f"""(
   SELECT repo_id, source, source_type, name AS from_table, 'owner_id' AS from_column, owner AS to_table,
@@ -370,7 +371,7 @@ SELECT r.repo_id, coalesce(t.tables, 0) > 0 AS detected, coalesce(t.tables, 0) A
   CAST(coalesce(t.nullables, 0) AS BIGINT) AS nullable_count, coalesce(l.relations, 0) AS relationship_count
 FROM (SELECT 'repo' || n_nationkey AS repo_id FROM nation) r
 LEFT JOIN (SELECT repo_id, count(*) AS tables, sum(2 + owned::INTEGER) AS columns,
-    sum((owned AND source_type <> 'prisma')::INTEGER) AS fks, sum(uniq::INTEGER) AS uniques,
+    sum((owned AND source_type <> 'prisma' AND NOT table_level)::INTEGER) AS fks, sum(uniq::INTEGER) AS uniques,
     sum((NOT required)::INTEGER + owned::INTEGER) AS nullables
   FROM {WINNERS} GROUP BY repo_id) t ON t.repo_id = r.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS relations FROM {UNIQUE_RELATIONS} GROUP BY repo_id) l ON l.repo_id = r.repo_id"""
@@ -510,7 +511,7 @@ FROM {analysis}"""
 
 
 TURNS = _analysis("""(
-  SELECT role AS repo_id, conv_id * 100 + turn AS issue_number, substr(text, 1, 60) AS title, text AS body,
+  SELECT role AS repo_id, conv_id * 100 + turn AS issue_number, split_part(text, '.', 1) AS title, text AS body,
     CASE turn % 3 WHEN 0 THEN ['Docs', 'Bug'] ELSE [] END AS labels, turn AS comments, '' AS url
   FROM conversations)""")
 ORDER_ISSUES = """(
@@ -719,9 +720,8 @@ SELECT repo_id, path, name, is_dir, size_bytes, regexp_extract(path, '^(.*)/[^/]
 FROM (SELECT repo_id, directory AS path, name, true AS is_dir, total_bytes AS size_bytes FROM {ANCESTORS}
   UNION ALL SELECT repo_id, path, string_split(path, '/')[-1], false, size_bytes FROM {PAGES})"""
 ORACLES["snapshot_changes"] = f"""
-SELECT repo_id, path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change
-FROM {DOCS}
-WHERE (doc_id % 10 = 0) <> (doc_id % 7 = 0) OR (doc_id % 10 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 = 1)"""
+SELECT repo_id, path, CASE lang WHEN 'es' THEN 'added' WHEN 'de' THEN 'deleted' ELSE 'modified' END AS change
+FROM {DOCS} WHERE lang IN ('es', 'de') OR repo_id IN ('src3', 'src7')"""
 VALID_PARTS = "(SELECT * FROM part WHERE p_partkey % 10 NOT IN (3, 4, 5))"
 ORACLES["knowledge_technologies"] = f"""
 SELECT 'pkg' || p_partkey AS repo_id, p_brand AS name, 'package.json' AS source, CAST(p_size AS DOUBLE) / 100 AS confidence
@@ -748,6 +748,6 @@ SELECT 's' || user_id AS session_id,
 FROM events"""
 ORACLES["read_knowledge_docs"] = ORACLES["knowledge_technologies"]
 ORACLES["write_facts"] = """
-SELECT 'pkg' || p_partkey AS repo_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS name, p_type AS version
-FROM part WHERE p_partkey % 3 <> 0 OR p_size > 10"""
+SELECT 'pkg' || p_partkey AS repo_id, CASE p_type WHEN 'PROMO' THEN p_name ELSE p_brand END AS name, p_type AS version
+FROM part WHERE p_type <> 'PROMO' OR p_size > 10"""
 ORACLES["incremental_dependencies"] = ORACLES["extract_dependencies"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +22,7 @@ from fleetfacts.operators import (
     sessions,
     technologies,
 )
+from fleetfacts.plans.staging import staging_folder
 from fleetfacts.sources import readers, writers
 from fleetfacts.streaming import incremental
 
@@ -131,15 +130,9 @@ def knowledge_rejects(spark, sf):
     return rejects.groupBy("reason").agg(F.count("*").alias("documents"))
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder for a written table, below the cluster's checkpoint folder if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetfacts-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def read_issues(spark, sf):
-    path = _folder(spark, "issues")
+    path = staging_folder(spark, "issues")
     K.order_issues(spark, sf).write.json(path)
     opened = issues.drop_pull_requests(readers.read_issues(spark, path))
     return opened.select("repo_id", "number", "comments", "html_url")
@@ -147,14 +140,14 @@ def read_issues(spark, sf):
 
 @query
 def read_test_logs(spark, sf):
-    path = _folder(spark, "logs")
+    path = staging_folder(spark, "logs")
     K.test_logs(spark, sf).write.json(path)
     return readers.read_test_logs(spark, path).drop("output")
 
 
 @query
 def read_session_events(spark, sf):
-    path = _folder(spark, "events")
+    path = staging_folder(spark, "events")
     exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     events = K.session_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.option("timestampFormat", exact).json(path)
@@ -166,7 +159,7 @@ def read_session_events(spark, sf):
 
 @query
 def read_knowledge_docs(spark, sf):
-    path = _folder(spark, "docs")
+    path = staging_folder(spark, "docs")
     _knowledge_text(spark, sf).write.text(path)
     return readers.knowledge_tables(readers.read_knowledge_docs(spark, path))["technologies"].select(
         "repo_id", "name", "source", "confidence"
@@ -175,22 +168,22 @@ def read_knowledge_docs(spark, sf):
 
 @query
 def write_facts(spark, sf):
-    """Facts of all parts, then replaced for every third part, then read back."""
-    path = _folder(spark, "facts")
+    """Facts of all parts, then replaced for those of one type (some have none left), read back."""
+    path = staging_folder(spark, "facts")
     part = K.table(spark, sf, "part")
     facts = part.selectExpr("concat('pkg', p_partkey) AS repo_id", "p_brand AS name", "p_type AS version")
     writers.write_facts(facts, path, buckets=16)
-    third = part.where("p_partkey % 3 = 0").selectExpr(
+    promo = part.where("p_type = 'PROMO'").selectExpr(
         "concat('pkg', p_partkey) AS repo_id", "p_name AS name", "p_type AS version", "p_size"
     )
-    writers.write_facts(third.where("p_size > 10").drop("p_size"), path, third.select("repo_id"), buckets=16)
+    writers.write_facts(promo.where("p_size > 10").drop("p_size"), path, promo.select("repo_id"), buckets=16)
     return writers.read_facts(spark, path, buckets=16)
 
 
 @query
 def incremental_dependencies(spark, sf):
     """Manifests land in two steps; each step is analysed as a stream that stops when done."""
-    landed, facts, mark = (_folder(spark, n) for n in ("files", "facts", "mark"))
+    landed, facts, mark = (staging_folder(spark, n) for n in ("files", "facts", "mark"))
     files = K.manifest_files(spark, sf)
     early = F.col("path").isin("package.json", "go.mod")
     for step in (early, ~early):
@@ -748,8 +741,9 @@ def tree_nodes(spark, sf):
 
 @query
 def snapshot_changes(spark, sf):
+    """Spanish documents come, German ones go, two repositories are edited throughout."""
     files = K.document_files(spark, sf)
-    old = files.where("doc_id % 10 <> 0")
-    changed = F.when(F.col("doc_id") % 5 == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
-    new = files.where("doc_id % 7 <> 0").withColumn("content", changed)
+    edited = F.when(F.col("repo_id").isin("src3", "src7"), F.concat("content", F.lit("x")))
+    old = files.where("lang <> 'es'")
+    new = files.where("lang <> 'de'").withColumn("content", F.coalesce(edited, "content"))
     return inventory.snapshot_changes(old, new)

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute `df` now and keep it in the checkpoint folder.
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table, below the session's checkpoint folder.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir` (shared, so the result
-    survives lost executors); only where none is named, as in local tests, a temporary one
-    is used.
+    The cluster names a shared folder in `spark.checkpoint.dir`, so what is written survives
+    lost executors. Only where none is named, as in local tests, a temporary folder is used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or tempfile.mkdtemp(prefix="fleetfacts-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Compute `df` once, now, as a written table, and read it from there.
+
+    Later steps plan on the table's measured size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetfacts-checkpoint-"))
-    return df.checkpoint()
+    path = staging_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
