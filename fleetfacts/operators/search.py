@@ -227,7 +227,8 @@ def representative_postings(postings: DataFrame, max_results: int) -> DataFrame:
 
     Two files with equal postings score equally for every issue of their repository, so
     beyond the first `max_results` by path a group of copies can never be listed. The
-    result is unchanged and a large group of copies no longer meets every issue.
+    result is unchanged and a large group of copies no longer meets every issue. Postings
+    are compared by their number and two 64-bit digests.
     """
     places = ("keyword", "in_path", "in_content")
     signature = postings.groupBy("repo_id", "path").agg(
