@@ -20,16 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _files(df: DataFrame, repo: str, *files: str) -> DataFrame:
-    """Rows of the file table from SQL `named_struct` expressions (null ones are left out)."""
-    entries = F.array_compact(F.array(*[F.expr(f) for f in files]))
-    return df.select(F.expr(repo).alias("repo_id"), F.explode(entries).alias("f")).select(
-        "repo_id", "f.path", "f.content", F.octet_length("f.content").cast("bigint").alias("size_bytes")
+def _files(df: DataFrame, repo: str, *files: tuple[str, str, str]) -> DataFrame:
+    """Rows of the file table from (path, content, condition) in SQL.
+
+    As with a stored table, a content is made only where it is asked for: rows are multiplied
+    with their paths alone.
+    """
+    entries = ", ".join(
+        f"if({when}, named_struct('path', {path}, 'kind', {kind}), null)"
+        for kind, (path, _, when) in enumerate(files)
+    )
+    content = " ".join(f"WHEN {kind} THEN {text}" for kind, (_, text, _) in enumerate(files))
+    multiplied = df.select("*", F.explode(F.expr(f"array({entries})")).alias("f")).where("f IS NOT NULL")
+    return multiplied.select(
+        F.expr(repo).alias("repo_id"), "f.path", F.expr(f"CASE f.kind {content} END").alias("content")
     )
 
 
-def _file(path: str, content: str, when: str = "true") -> str:
-    return f"if({when}, named_struct('path', {path}, 'content', {content}), null)"
+def _file(path: str, content: str, when: str = "true") -> tuple[str, str, str]:
+    return path, content, when
 
 
 # --- documents and pages as files ----------------------------------------------------
@@ -229,7 +238,10 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = (
         f"CASE o_orderkey % 4 WHEN 0 THEN {sql} WHEN 1 THEN {sqlalchemy} WHEN 2 THEN {django} ELSE {prisma} END"
     )
-    return _files(orders, f"concat('repo', o_custkey % {REPOS})", _file(DDL_PATH, content))
+    # Rendered once, below the explode: several gates read the content.
+    file = F.expr(f"array(named_struct('path', {DDL_PATH}, 'content', {content}))")
+    repo = F.expr(f"concat('repo', o_custkey % {REPOS})").alias("repo_id")
+    return orders.select(repo, F.explode(file).alias("f")).select("repo_id", "f.path", "f.content")
 
 
 # --- issues --------------------------------------------------------------------------
