@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,14 @@ def staging_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, below the session's checkpoint folder.
 
     The cluster names a shared folder in `spark.checkpoint.dir`, so what is written survives
-    lost executors. Only where none is named, as in local tests, a temporary folder is used.
+    lost executors. Where none is named, only a session whose executors are threads of the driver
+    gets a temporary folder; any other is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="fleetfacts-")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="fleetfacts-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
