@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import decontaminate
+from fleetfacts.llm import decontaminate, near_dedup
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
+    "op5_near_dedup": near_dedup.SQL,
 }
