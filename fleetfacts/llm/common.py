@@ -53,12 +53,12 @@ def text_arrays(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[first:last], ends - first
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """Ranges of texts with about `limit` bytes, in order."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int = 100_000):
+    """Ranges of at most `most` texts with about `limit` bytes, in order."""
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), n)
+        end = min(max(end, start + 1), n, start + most)
         yield start, end
         start = end
 

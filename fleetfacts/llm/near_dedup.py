@@ -8,9 +8,9 @@ with concentration bounds as of independent samples. Sketches are cut into bands
 band are candidates, and every link is confirmed on the full sets of shingles.
 
 Documents with equal sets are one class, sketched and linked once. Within a band's bucket, members are compared with
-the bucket's smallest member (each class with the one hub it shares most bands with); after the components of
-those links are known, what is left are pairs of one bucket in different components: all of them whose sketches
-may be similar enough are confirmed too. So copies and near copies cost a row each, not a pair each, and no
+the bucket's hub, the member with the fullest buckets (first with the hub a class shares most bands with, then, if still
+apart, with its other hubs). What is left are pairs of one bucket in different components: all of them
+whose sketches may be similar enough are confirmed too. So copies and near copies cost a row each, not a pair each, and no
 bucket is cut short.
 """
 
@@ -25,11 +25,14 @@ from fleetfacts.llm.common import chunks, cut_lineage, mix, read_table, text_arr
 from fleetfacts.llm.components import components
 from fleetfacts.llm.shingles import exact_shingles, linked, set_keys, shingle_hashes
 
-BINS = 128
-BANDS = 32
-# Two bits of each bin are kept next to the bands. At a similarity of 0.75 they agree in 224 of 256 places on average,
-# with a deviation of about 6.3; fewer than 188 agree with a probability below 1e-7.
-AGREEING_BITS = 188
+BINS = 512
+# Candidates come from bands of 4 bins over the first 128. A pair of similarity 0.75 shares none of 32 with probability 5e-6.
+BANDS, BAND_BINS = 32, 4
+# Two bits of each bin are kept next to the bands. At a similarity of 0.75 they agree in 896 of 1024 places on average,
+# with a deviation of about 12.6; fewer than 843 agree with a probability of about 1e-5.
+AGREEING_BITS = 843
+# Texts sketched together, a bound of memory.
+CHUNK_TEXTS = 2_000
 # Up to this many pairs, the ids of their texts are broadcast (16 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_PAIRS = 200_000
 
@@ -56,9 +59,9 @@ def sketches(owner: np.ndarray, value: np.ndarray, n_texts: int, bins: int = BIN
     return slots.reshape(n_texts, bins)
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int = BANDS, bins: int = BAND_BINS) -> np.ndarray:
     """One 64-bit key of each band, (n_texts, bands); the band's number is part of the key."""
-    parts = sketch.reshape(len(sketch), bands, -1)
+    parts = sketch[:, : bands * bins].reshape(len(sketch), bands, bins)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(parts.shape[2]):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
@@ -66,7 +69,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def agreeing_bits(sketch: np.ndarray) -> np.ndarray:
-    """Two bits of each bin, as four 64-bit words."""
+    """Two bits of each bin, as 64-bit words."""
     mixed = mix(sketch.ravel()).reshape(sketch.shape)
     bits = np.concatenate([mixed & np.uint64(1), mixed >> np.uint64(63)], axis=1).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.uint64)
@@ -86,7 +89,7 @@ def _sketch_batches(batches):
     for batch in batches:
         body, offsets = text_arrays(batch.column(1))
         counts, keys, bands, bits = [], [], [], []
-        for start, end in chunks(offsets):
+        for start, end in chunks(offsets, most=CHUNK_TEXTS):
             part = offsets[start : end + 1]
             owner, value = shingle_hashes(body[part[0] : part[-1]], part - part[0])
             n = end - start
@@ -131,6 +134,16 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(both.mapInArrow(_confirm_batches, "a long, b long"), "confirmed")
 
 
+def _labelled(members: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Members of buckets with their own and their hub's component."""
+    of_rep = mapping.select(F.col("node").alias("rep"), F.col("root").alias("rep_root"))
+    of_hub = mapping.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return members.join(of_rep, "rep", "left").join(of_hub, "hub", "left").select(
+        "band", "rep", "hub", F.coalesce("rep_root", "rep").alias("component"),
+        F.coalesce("hub_root", "hub").alias("hub_component"),
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (columns doc_id and text are read).
 
@@ -146,8 +159,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = cut_lineage(buckets.join(hubs, "band"), "members")
+    sizes = buckets.groupBy("band").count().where("count > 1")
+    crowded = cut_lineage(buckets.join(sizes, "band"), "crowded")
+    # The original of many near copies shares more bands with them than they share with each other, so the member
+    # whose buckets are the fullest is compared with the others.
+    scores = crowded.groupBy("rep").agg(F.sum("count").alias("score"))
+    scored = crowded.join(scores, "rep")
+    hubs = scored.groupBy("band").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    members = cut_lineage(crowded.select("band", "rep").join(hubs, "band"), "members")
 
     # One row per document that shares a bucket, with its text.
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -155,14 +174,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     shared = members.where("rep != hub").groupBy("rep", "hub").count()
     best = shared.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b"))
-    first_links = confirm(best, texts)
-    first = components(first_links)
-
-    of_rep = first.select(F.col("node").alias("rep"), F.col("root").alias("rep_root"))
-    of_hub = first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    labelled = members.join(of_rep, "rep", "left").join(of_hub, "hub", "left").select(
-        "band", "rep", F.coalesce("rep_root", "rep").alias("component"), F.coalesce("hub_root", "hub").alias("hub_component")
-    )
+    best = cut_lineage(best, "best")
+    links = confirm(best, texts)
+    labelled = cut_lineage(_labelled(members, components(links)), "labelled")
+    # The other hubs of what is still apart from them.
+    others = labelled.where("component != hub_component").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    others = cut_lineage(others.join(best, ["a", "b"], "left_anti"), "others")
+    links = links.union(confirm(others, texts))
+    labelled = _labelled(members, components(links))
     labelled = cut_lineage(labelled, "labelled")
     apart = labelled.where("component != hub_component")
     open_buckets = apart.select("band").distinct()
@@ -175,14 +194,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     right = open_members.select(
         "band", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("bits").alias("bits_b"), "hub_component"
     )
-    differing = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(4))
+    differing = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(2 * BINS // 64))
     pairs = left.join(right, "band").where(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("hub_component")) | (F.col("a") < F.col("b")))
-        & (256 - differing >= AGREEING_BITS)
+        & (2 * BINS - differing >= AGREEING_BITS)
     )
-    rest = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    mapping = components(first_links.union(confirm(rest, texts)))
+    rest = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    mapping = components(links.union(confirm(rest, texts)))
 
     own = sketched.join(classes.select("set_key", "rep"), "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep", "doc_id")).otherwise(F.col("doc_id"))
