@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import decontaminate, near_dedup
+from fleetfacts.llm import decontaminate, fingerprint, near_dedup, warc
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_warc": warc.op6_warc,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }
@@ -16,4 +18,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_near_dedup": near_dedup.SQL,
+    "op6_warc": warc.SQL,
 }
