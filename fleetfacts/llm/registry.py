@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import decontaminate, fingerprint, near_dedup, warc
+from fleetfacts.llm import decontaminate, fingerprint, html_text, near_dedup, toxicity, warc
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_html": html_text.op8_html,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }
