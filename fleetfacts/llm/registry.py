@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import decontaminate, fingerprint, html_text, near_dedup, toxicity, warc
+from fleetfacts.llm import chat_format, decontaminate, fingerprint, html_text, near_dedup, toxicity, warc
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
 QUERIES = {
+    "op1_chat": chat_format.op1_chat,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": chat_format.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op6_warc": warc.SQL,
