@@ -89,7 +89,7 @@ class Matcher:
         return n_words, spans, items
 
 
-_FIELDS = "doc_id long, text string, n_words long, words array<struct<start: long, end: long>>, items array<string>"
+_FOUND = "n_words long, words array<struct<start: long, end: long>>, items array<string>"
 _WORDS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -117,17 +117,19 @@ def _match_batches(shared):
                     items.append(sorted(found.get(t, ())))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+                    *[batch.column(i) for i in range(batch.num_columns)], pa.array(counts, pa.int64()),
                     pa.array(words, _WORDS), pa.array(items, pa.list_(pa.string())),
                 ],
-                names=["doc_id", "text", "n_words", "words", "items"],
+                names=[*batch.schema.names, "n_words", "words", "items"],
             )
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, `words` (hit words' start and end in code points, in order) and `items` of every row.
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """doc_id, text, the columns in `keep`, n_words, `words` (hit words' start and end in code points, in order) and `items` of every row.
 
     A null or empty text, or one without words, is never hit; items without words hit nothing; a null item_id counts
     as an item with the empty id; items that repeat count once by id. Repeated documents are matched each on its
@@ -137,13 +139,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     items = benchmark.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *keep)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in picked.dtypes) + ", " + _FOUND
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
 
     def one_pass(b: int) -> DataFrame:
         rows = items.where(block == b).collect()
         shared = spark.sparkContext.broadcast(item_windows([tuple(r) for r in rows]))
-        return picked.mapInArrow(_match_batches(shared), _FIELDS)
+        return picked.mapInArrow(_match_batches(shared), schema)
 
     if blocks == 1:
         return one_pass(0)
@@ -156,15 +159,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    left = passes[0].select("doc_id", "text", "n_words", key)
+    left = passes[0].select("doc_id", "text", *keep, "n_words", key)
+    merged = merged.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
     joined = left.join(
-        merged.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"}),
-        left["doc_id"].eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left",
+        merged, left["doc_id"].eqNullSafe(merged["hit_id"]) & left["text_key"].eqNullSafe(merged["hit_key"]), "left"
     )
     return joined.select(
-        "doc_id", "text", "n_words",
-        F.coalesce("words", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("words"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        *[left[name] for name in ("doc_id", "text", *keep, "n_words")],
+        F.coalesce(merged["words"], F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("words"),
+        F.coalesce(merged["items"], F.array().cast("array<string>")).alias("items"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import chat_format, decontaminate, fingerprint, html_text, near_dedup, toxicity, warc
+from fleetfacts.llm import chat_format, decontaminate, fingerprint, html_text, near_dedup, pii, toxicity, warc
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_chat": chat_format.op1_chat,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op4_pii": pii.op4_pii,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,

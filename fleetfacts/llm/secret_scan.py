@@ -201,7 +201,6 @@ class Scanner:
         return out
 
 
-SCHEMA = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -224,15 +223,18 @@ def _scan_batches(rules):
     return run
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keep_text: bool = False) -> DataFrame:
-    """doc_id (and text) of every row, and `spans`: kind, start, end in code points, by start and order of rules.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns in `keep` of every row, and `spans`: kind, start, end in code points, by start and
+    order of rules.
 
-    A null or empty text has no spans; a null doc_id stays null; repeated rows are scanned each on its own; columns
-    other than doc_id and text are not looked at. Texts are scanned whole. Nothing is shuffled.
+    A null or empty text has no spans; a null doc_id stays null; repeated rows are scanned each on its own; other
+    columns are not looked at. Texts are scanned whole. Nothing is shuffled.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = picked.mapInArrow(_scan_batches(tuple(rules)), "doc_id long, text string, " + SCHEMA.split(", ", 1)[1])
-    return found if keep_text else found.drop("text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *keep)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in picked.dtypes)
+    return picked.mapInArrow(
+        _scan_batches(tuple(rules)), schema + ", spans array<struct<kind: string, start: long, end: long>>"
+    )
 
 
 def redact(text, spans, mask: str = "[SECRET]"):
