@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from fleetfacts.llm.common import read_table
 
 # Bounds of what is learnt from: labelled rows, their text in bytes, and terms. Which rows: by a hash of the id.
-MAX_EXAMPLES = 6_000
-MAX_EXAMPLE_BYTES = 48_000_000
+MAX_EXAMPLES = 4_000
+MAX_EXAMPLE_BYTES = 16_000_000
 MAX_TERMS = 4_096
 # Documents that are not held out are learnt from: crc32(doc_id as text) mod 3 other than 1.
 FOLDS, HELD_OUT_FOLD = 3, 1
@@ -48,18 +48,28 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in _STEMS if len(word) > n)]
 
 
+def _with_stems(words: Counter) -> Counter:
+    out: Counter = Counter()
+    for word, n in words.items():
+        for term in terms_of(word):
+            out[term] += n
+    return out
+
+
 def choose_terms(examples: list[tuple[str, int]]) -> list[str]:
     """The terms that tell the labels apart, by falling chi-square; at most MAX_TERMS."""
-    seen = (set(), set())
+    # Pairs are kept as hashes, and terms only once, so that the driver holds no word twice.
+    seen: tuple[set, set] = (set(), set())
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in examples:
-        words = _WORDS(text.lower())
-        seen[label].update(zip(["", *words], words))
-    counts = []
-    for pairs in seen:
-        count: Counter = Counter()
-        for _, word in pairs:
-            count.update(terms_of(word))
-        counts.append(count)
+        before = ""
+        for word in _WORDS(text.lower()):
+            pair = hash((before, word))
+            if pair not in seen[label]:
+                seen[label].add(pair)
+                counts[label][word] += 1
+            before = word
+    counts = tuple(_with_stems(words) for words in counts)
     total = len(seen[0]) + len(seen[1])
     share = len(seen[1]) / total if total else 0.0
     if not 0.0 < share < 1.0:
