@@ -15,6 +15,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ from fleetfacts.llm.common import read_table
 
 # Bounds of a Python worker's memory, not of what is encoded: pre-tokens kept with their ids from one text to
 # the next, the longest that is kept, and characters of texts that are encoded together.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 40
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 300_000
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
@@ -166,17 +167,18 @@ class Encoder:
         return b"".join([known[run] for run in runs])
 
 
-def _together(texts: list[str], limit: int = CHUNK_CHARS):
-    """Neighbouring texts of about `limit` characters; a longer text on its own."""
-    group, size = [], 0
-    for text in texts:
+def _together(column: pa.Array, limit: int = CHUNK_CHARS):
+    """(start, texts): neighbouring texts of about `limit` characters; a longer text on its own."""
+    group, size, start = [], 0, 0
+    for i, value in enumerate(column):
+        text = value.as_py() or ""
         if group and size + len(text) > limit:
-            yield group
-            group, size = [], 0
+            yield start, group
+            group, size, start = [], 0, i
         group.append(text)
         size += len(text)
     if group:
-        yield group
+        yield start, group
 
 
 def encode_documents(
@@ -197,22 +199,23 @@ def encode_documents(
     def run(batches):
         encoder = Encoder(*shared.value)
         for batch in batches:
-            counts, ids_out, id_hashes, text_hashes = [], [], [], []
-            for texts in _together([t or "" for t in batch.column(1).to_pylist()]):
+            # A batch goes out in pieces, so that only a piece's ids are held.
+            for start, texts in _together(batch.column(1)):
+                counts, ids_out, id_hashes, text_hashes = [], [], [], []
                 for runs in encoder.encode(texts):
                     ids = " ".join(runs)
                     counts.append(ids.count(" ") + 1 if ids else 0)
-                    ids_out.append([int(i) for i in ids.split()] if with_ids else None)
+                    ids_out.append(np.array(ids.split(), np.int32) if with_ids else None)
                     id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hashes.append(hashlib.sha256(encoder.decode(runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()),
-                    pa.array(ids_out, pa.list_(pa.int32())),
-                    pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, len(texts)).cast(pa.int64()), pa.array(counts, pa.int64()),
+                        pa.array(ids_out, pa.list_(pa.int32())),
+                        pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                )
 
     picked = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return picked.mapInArrow(run, SCHEMA)

@@ -28,7 +28,7 @@ _LOWER[65:91] += 32
 
 # Texts are worked through in chunks of about this many bytes (a longer text is a chunk of its own), so
 # that the arrays over bytes stay small whatever a batch holds.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
