@@ -403,13 +403,9 @@ SELECT *, count(*) OVER (PARTITION BY repo_id, query_id) >= 50 AS truncated FROM
 ORACLES["code_search_all"] = f"""
 SELECT repo_id, query_id, path, count(*) AS matches, min(line) AS first_line
 FROM {_matches(SEEN_DOCS)} GROUP BY repo_id, query_id, path"""
-FIRST_DOCS = f"""(
-  SELECT * FROM {SEEN_DOCS} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 10)"""
-ORACLES["code_search_file_limit"] = f"""
-SELECT m.*, count(*) OVER (PARTITION BY m.repo_id, query_id) >= 5 OR t.n > 10 AS truncated
-FROM {_limited(FIRST_DOCS, 5)} m
-JOIN (SELECT repo_id, count(*) AS n FROM {SEEN_DOCS} GROUP BY repo_id) t ON t.repo_id = m.repo_id
-WHERE query_id <= 2"""
+ORACLES["code_search_first_matches"] = f"""
+SELECT m.*, count(*) OVER (PARTITION BY m.repo_id, query_id) >= 5 AS truncated
+FROM {_limited(SEEN_DOCS, 5)} m WHERE query_id <= 2"""
 
 
 def _keywords(texts: str, keys: str) -> str:

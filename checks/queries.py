@@ -514,7 +514,7 @@ def schema_overview(spark, sf):
 
 @query
 def code_search(spark, sf):
-    return search.code_search(K.document_files(spark, sf), NEEDLES)
+    return search.code_search(K.document_files(spark, sf), NEEDLES, max_matches=50)
 
 
 @query
@@ -526,8 +526,8 @@ def code_search_all(spark, sf):
 
 
 @query
-def code_search_file_limit(spark, sf):
-    return search.code_search(K.document_files(spark, sf), NEEDLES[:2], max_matches=5, max_files=10)
+def code_search_first_matches(spark, sf):
+    return search.code_search(K.document_files(spark, sf), NEEDLES[:2], max_matches=5)
 
 
 @query

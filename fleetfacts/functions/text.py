@@ -63,9 +63,12 @@ def normalise_newlines(text: Column) -> Column:
 
 
 def decode_ignore(content: Column) -> Column:
-    """UTF-8 text with invalid bytes dropped."""
+    """UTF-8 text with invalid bytes dropped; characters U+FFFD of the text itself stay."""
     text = content.cast("string")
-    cleaned = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    # Invalid bytes become U+FFFD, so genuine ones are written as two noncharacters meanwhile.
+    guarded = F.replace(text, F.lit("\ufffd"), F.lit("\ufdd0\ufdd1"))
+    dropped = F.replace(F.make_valid_utf8(guarded), F.lit("\ufffd"), F.lit(""))
+    cleaned = F.replace(dropped, F.lit("\ufdd0\ufdd1"), F.lit("\ufffd"))
     return normalise_newlines(F.when(F.is_valid_utf8(text), text).otherwise(cleaned))
 
 

@@ -123,16 +123,17 @@ def snapshot_changes(
 ) -> DataFrame:
     """Files added, deleted or modified between two snapshots of the file table.
 
-    Contents are hashed before the join, so only keys and digests are shuffled. `chosen`
+    Contents are hashed before the join, so only keys and digests are shuffled; a null content
+    is a content like any other. `chosen`
     (repo_id, path) keeps a selection of the changes.
     """
-    before = old.select(*KEY, F.sha2("content", 256).alias("old_sha"))
-    after = new.select(*KEY, F.sha2("content", 256).alias("new_sha"))
+    before = old.select(*KEY, F.sha2("content", 256).alias("old_sha"), F.lit(True).alias("was"))
+    after = new.select(*KEY, F.sha2("content", 256).alias("new_sha"), F.lit(True).alias("is"))
     joined = before.join(after, KEY, "full_outer")
     status = (
-        F.when(F.col("old_sha").isNull(), "added")
-        .when(F.col("new_sha").isNull(), "deleted")
-        .when(F.col("old_sha") != F.col("new_sha"), "modified")
+        F.when(F.col("was").isNull(), "added")
+        .when(F.col("is").isNull(), "deleted")
+        .when(~F.col("old_sha").eqNullSafe(F.col("new_sha")), "modified")
     )
     changes = joined.select(*KEY, status.alias("change")).where("change IS NOT NULL")
     if chosen is not None:

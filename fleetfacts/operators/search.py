@@ -10,44 +10,32 @@ from fleetfacts.functions import text as X
 from fleetfacts.operators.inventory import exclude_vendored
 from fleetfacts.plans.staging import cut_lineage
 
-MAX_QUERIES = 1000
-# Largest per-group limit that Spark applies on the map side, before a group is brought
-# together (spark.sql.optimizer.windowGroupLimitThreshold).
-MAX_PER_GROUP = 1000
-
 
 def _check_limit(name: str, limit: int | None) -> None:
-    if limit is not None and not 0 < limit <= MAX_PER_GROUP:
-        raise ValueError(f"{name} must be between 1 and {MAX_PER_GROUP}")
+    if limit is not None and limit < 1:
+        raise ValueError(f"{name} must be at least 1")
 
 
-def search_scope(files: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Searchable files; with `max_files`, the first ones per repository by path."""
-    _check_limit("max_files", max_files)
-    scope = exclude_vendored(files, match_filename=False)
-    if max_files is not None:
-        w = Window.partitionBy("repo_id").orderBy("path")
-        scope = scope.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_files)
-        scope = scope.drop("_n")
-    return scope
+def search_scope(files: DataFrame) -> DataFrame:
+    """Searchable files."""
+    return exclude_vendored(files, match_filename=False)
 
 
 def code_search(
     files: DataFrame,
     queries: list[tuple[int, str | None, str]],
-    max_matches: int | None = 50,
-    max_files: int | None = None,
+    max_matches: int | None = None,
 ) -> DataFrame:
     """Lines containing each needle, ignoring case.
 
     `queries` is (query_id, repo_id or None for all, needle): a list of literals, so it is
     part of the plan instead of a joined table. A file is opened up into lines only for the
-    queries whose needle occurs somewhere in it. The first `max_matches` per repository and
-    query by (path, line) are kept; the limit is applied per task before the shuffle, so a
-    repository with most of the matches does not reach one task.
+    queries whose needle occurs somewhere in it. All matches are returned unless `max_matches`
+    asks for the first ones per repository and query by (path, line); up to
+    spark.sql.optimizer.windowGroupLimitThreshold that limit is applied per task before the shuffle.
     """
-    if not 0 < len(queries) <= MAX_QUERIES:
-        raise ValueError(f"between 1 and {MAX_QUERIES} queries are expected")
+    if not queries:
+        raise ValueError("at least one query is expected")
     _check_limit("max_matches", max_matches)
     literals = F.array(
         *[
@@ -59,7 +47,7 @@ def code_search(
             for query_id, repo, needle in queries
         ]
     )
-    scope = search_scope(files, max_files)
+    scope = search_scope(files)
     hits = X.let(
         F.lower("content"),
         lambda low: F.filter(
@@ -87,11 +75,6 @@ def code_search(
         "_n", F.row_number().over(group.orderBy("path", "line"))
     ).where(F.col("_n") <= max_matches)
     truncated = F.count("*").over(group) >= max_matches
-    if max_files is not None:
-        # Truncation by the file limit: more files than were searched.
-        total = exclude_vendored(files, False).groupBy("repo_id").agg(F.count("*").alias("_t"))
-        kept = kept.join(total, "repo_id")
-        truncated = truncated | (F.col("_t") > max_files)
     return kept.withColumn("truncated", truncated).select(
         "repo_id", "query_id", "path", "line", "text", "truncated"
     )
@@ -249,7 +232,7 @@ def score_files(keywords: DataFrame, files: DataFrame) -> DataFrame:
     """Score of every (issue, file) that shares a keyword: 2 per path hit, 1 per content hit.
 
     Pairs come from an inverted index on (repo_id, keyword) and are summed on the map side;
-    matched keywords travel as bit masks over the keyword ranks. This is the whole score
+    matched keywords travel as arrays of keyword ranks. This is the whole score
     table; `top_files_per_issue` finds the best files without building it.
     """
     postings = file_postings(exclude_vendored(files), keywords)
@@ -279,7 +262,7 @@ def _terms(postings: DataFrame) -> DataFrame:
 def _summed(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy(*PAIR).agg(
         F.sum("score").alias("score"),
-        F.bit_or("matched").alias("matched"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"),
         F.max("in_path").alias("in_path"),
     )
 
@@ -288,7 +271,7 @@ def _contribution() -> list[Column]:
     return [
         *map(F.col, PAIR),
         F.col("points").cast("bigint").alias("score"),
-        F.expr("shiftleft(1, rank - 1)").alias("matched"),
+        F.array("rank").alias("matched"),
         F.col("in_path"),
     ]
 
@@ -415,7 +398,7 @@ def relevance_reason(words: Column, matched: Column, in_path: Column) -> Column:
     """The first four matched keywords by rank, and where they were found."""
     hit = F.filter(
         words,
-        lambda w: F.getbit(matched.cast("bigint"), w["rank"] - 1) == 1,
+        lambda w: F.array_contains(matched, w["rank"]),
     )
     named = F.transform(
         F.slice(hit, 1, 4), lambda w: F.concat(F.lit('"'), w["keyword"], F.lit('"'))

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from fleetfacts import constants as C
 from fleetfacts.functions import text as X
 
-MAX_OUTPUT_CHARS = 4000
 TERMINAL = ["DONE", "FAILED"]
 
 
 def _number(output: Column, pattern: str) -> Column:
     found = X.extract(output, pattern)
-    return F.coalesce(F.try_to_number(found, F.lit("9999999999")).cast("bigint"), F.lit(0))
+    return F.when(found.isNull(), F.lit(0).cast("bigint")).otherwise(found.try_cast("bigint"))
 
 
 def _marks(output: Column, mark: str) -> Column:
@@ -29,7 +28,7 @@ def parse_test_logs(logs: DataFrame) -> DataFrame:
     """Passed, failed and error counts by the runner named in the command.
 
     pytest reports three counts; npm two, in any case; cargo two; go prints one mark per
-    test. Counts come from the whole output, which is then kept up to its first characters.
+    test. A runner's count that no bigint holds is null. The whole output is kept.
     """
     out, command = F.col("output"), F.col("command")
     pytest = command.contains("pytest")
@@ -54,7 +53,7 @@ def parse_test_logs(logs: DataFrame) -> DataFrame:
         counted("passed", "--- PASS").alias("passed"),
         counted("failed", "--- FAIL").alias("failed"),
         errors.alias("errors"),
-        F.substring(out, 1, MAX_OUTPUT_CHARS).alias("output"),
+        "output",
         F.round("duration_seconds", 2).alias("duration_seconds"),
         "timed_out",
     )

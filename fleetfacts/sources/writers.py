@@ -36,7 +36,9 @@ def _bucket_column(buckets: int) -> str:
 def _existing(spark: SparkSession, path: str, bucket: str) -> DataFrame | None:
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if bucket not in table.columns:
         raise ValueError(f"{path} is not partitioned by {bucket}")

@@ -27,7 +27,7 @@ def test_parse_test_logs(spark):
     assert rows(runs, "attempt", "passed", "failed", "errors") == [
         (1, 7, 1, 2), (2, 3, 1, 0), (3, 5, 0, 0), (4, 2, 1, 0), (5, 0, 0, 0), (6, 3, 0, 0), (7, 0, 0, 0),
     ]
-    assert runs.where("attempt = 6").selectExpr("length(output)").first()[0] == 4000
+    assert runs.where("attempt = 6").selectExpr("length(output)").first()[0] == 5009
     assert runs.where("attempt = 1").first().duration_seconds == 1.24
     totals = K.session_totals(runs).first()
     assert (totals.tests_run, totals.tests_passed, totals.tests_failed, totals.test_runs) == (25, 20, 3, 7)
