@@ -3,7 +3,8 @@
 One pass over the candidate files turns each text into an array of models (a table with its
 columns and relationships) by array expressions, so up to the per-repository deduplication
 there is no shuffle and no window: a class body is cut out by splitting the text at
-top-level lines, a parenthesised body by a possessive pattern of bounded nesting.
+top-level lines, a bracketed body by cutting the text at each bracket and folding a running
+depth, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -16,43 +17,20 @@ from fleetfacts import schemas as S
 from fleetfacts.functions import text as X
 from fleetfacts.operators.inventory import exclude_vendored
 
-PAREN_NESTING = 6
-BRACE_NESTING = 3
-
-
-def _balanced(opening: str, closing: str, nesting: int) -> str:
-    """Pattern of a text whose brackets are balanced up to a nesting depth."""
-    plain = f"[^{opening}{closing}]"
-    body = f"{plain}*+"
-    for _ in range(nesting):
-        body = f"(?:{plain}++|\\{opening}{body}\\{closing})*+"
-    return body
-
-
-_PARENS = _balanced("(", ")", PAREN_NESTING)
-_BRACES = _balanced("{", "}", BRACE_NESTING)
-
 # Patterns that define what counts as a declaration.
-_SQL_TABLE = (
-    r"""(?iU)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`"]?(\w+)[`"]?\s*\((?=("""
-    + _PARENS
-    + r""")\))"""
-)
+_SQL_TABLE = r"""(?iU)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`"]?(\w+)[`"]?\s*\("""
 _SQL_CONSTRAINT_LINE = (
     r"(?iU)^(?:PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE\s+KEY|INDEX|KEY\s+|CHECK\s*\(|CONSTRAINT\s+)"
 )
 _SQL_COLUMN = r"""(?U)^[`"]?(\w+)[`"]?\s+(\w+)"""
-_SQL_REFERENCE = r"""(?iU)REFERENCES\s+[`"]?(\w+)[`"]?\s*\(\s*[`"]?(\w+)[`"]?\s*\)"""
-_SQL_FOREIGN_KEY = r"""(?iU)FOREIGN\s+KEY\s*\(\s*[`"]?(\w+)[`"]?\s*\)\s+""" + _SQL_REFERENCE[5:]
+_REFERENCE = r"""REFERENCES\s+[`"]?(\w+)[`"]?\s*\(\s*[`"]?(\w+)[`"]?\s*\)"""
+_SQL_REFERENCE = "(?iU)" + _REFERENCE
+_SQL_FOREIGN_KEY = r"""(?iU)FOREIGN\s+KEY\s*\(\s*[`"]?(\w+)[`"]?\s*\)\s+""" + _REFERENCE
 
 _SA_GATE = r"(?U)from\s+sqlalchemy|import\s+sqlalchemy|declarative_base|DeclarativeBase|mapped_column"
 _SA_CLASS = r"(?dU)^class\s+(\w+)\s*\(.*(?:Base|db\.Model|DeclarativeBase|Model).*\)\s*:"
 _SA_TABLENAME = r"""(?U)__tablename__\s*=\s*['"](\w+)['"]"""
-_SA_COLUMN = (
-    r"(?sU)(\w+)\s*(?::\s*Mapped\[.*?\])?\s*=\s*(?:mapped_column|Column)\s*\((?=("
-    + _PARENS
-    + r")\))"
-)
+_SA_COLUMN = r"(?sU)(\w+)\s*(?::\s*Mapped\[.*?\])?\s*=\s*(?:mapped_column|Column)\s*\("
 _SA_FOREIGN_KEY = r"""(?U)ForeignKey\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 _SA_RELATIONSHIP = r"""(?U)(\w+)\s*=\s*relationship\s*\(\s*['"](\w+)['"]"""
 
@@ -61,7 +39,7 @@ _DJ_CLASS = r"(?U)^class\s+(\w+)\s*\(\s*(?:models\.Model|Model)\s*\)\s*:"
 _DJ_TABLE = r"""(?U)db_table\s*=\s*['"](\w+)['"]"""
 _DJ_FIELD = r"(?U)(\w+)\s*=\s*models\.(\w+)\s*\(([^)]*)\)"
 
-_PRISMA_MODEL = r"(?dmU)^model\s+(\w+)\s*\{(?=(" + _BRACES + r")\})"
+_PRISMA_MODEL = r"(?dmU)^model\s+(\w+)\s*\{"
 _PRISMA_FIELD = r"(?dmU)^[^\S\n]+(\w+)[^\S\n]+(\w+)(\??)[^\S\n]*(.*)$"
 _PRISMA_RELATION = r"(?sU)fields:\s*\[(\w+)\].*?references:\s*\[(\w+)\]"
 
@@ -119,11 +97,50 @@ def _model(
     )
 
 
-def _blocks(text: Column, pattern: str) -> Column:
-    """array<struct(name, body)> of a pattern with a name and a looked-ahead body group."""
-    names = X.extract_all(text, pattern, 1)
-    bodies = X.extract_all(text, pattern, 2)
-    return F.arrays_zip(names.alias("name"), bodies.alias("body"))
+def _body(text: Column, opening: str, closing: str) -> Column:
+    """Text up to the bracket that closes one opened just before it, null when none does."""
+    pieces = F.split(text, rf"(?<=[\{opening}\{closing}])")
+
+    def step(state: Column, piece: Column) -> Column:
+        turn = F.when(piece.endswith(opening), 1).when(piece.endswith(closing), -1).otherwise(0)
+        further = F.struct(
+            (state["depth"] + turn).alias("depth"),
+            (state["length"] + F.length(piece)).alias("length"),
+        )
+        return F.when(state["depth"] == 0, state).otherwise(further)
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
+    length = F.aggregate(pieces, start, step, lambda s: F.when(s["depth"] == 0, s["length"] - 1))
+    return F.substr(text, F.lit(1), length)
+
+
+def _total_length(texts: Column) -> Column:
+    return F.aggregate(texts, F.lit(0), lambda total, text: total + F.length(text))
+
+
+def _blocks(text: Column, header: str, opening: str = "(", closing: str = ")") -> Column:
+    """array<struct(name, body)> of the headers, which end with an opening bracket.
+
+    A body mostly ends before the next header, so only the text up to there is folded; the
+    whole rest is folded only for a body that holds a header itself or is never closed. Bodies
+    that are never closed are left out.
+    """
+
+    def bodies(cut: Column) -> Column:
+        def one(head: Column, i: Column) -> Column:
+            heads, after = F.slice(cut["heads"], F.lit(1), i + 1), F.slice(cut["after"], F.lit(1), i + 1)
+            rest = F.substr(text, _total_length(heads) + _total_length(after) + 1)
+            return F.struct(
+                F.regexp_extract(head, header, 1).alias("name"),
+                F.coalesce(
+                    _body(F.get(cut["after"], i + 1), opening, closing), _body(rest, opening, closing)
+                ).alias("body"),
+            )
+
+        return F.filter(F.transform(cut["heads"], one), lambda b: b["body"].isNotNull())
+
+    found = X.extract_all(text, header, 0)
+    return X.let(F.struct(found.alias("heads"), F.split(text, header).alias("after")), bodies)
 
 
 def _split_reference(reference: Column) -> tuple[Column, Column]:
@@ -415,7 +432,7 @@ def prisma_models(content: Column) -> Column:
             ),
         )
 
-    return F.transform(_blocks(content, _PRISMA_MODEL), one).cast(MODELS)
+    return F.transform(_blocks(content, _PRISMA_MODEL, "{", "}"), one).cast(MODELS)
 
 
 # --- per repository ------------------------------------------------------------------

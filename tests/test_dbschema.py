@@ -112,3 +112,20 @@ def test_long_class_body(make_files):
     text = f"from sqlalchemy import Column\nclass Big(Base):\n{fields}\nx = 1\ny = Column(Integer)\n"
     tables = D.schema_tables(D.schema_models(make_files(("r", "m.py", text))))
     assert tables.selectExpr("name", "size(columns)").first() == ("big", 20000)
+
+
+def test_any_nesting(make_files):
+    """Bodies nested 1 to 40 deep, a header inside a body, and bodies that are never closed."""
+    depths = range(1, 41)
+    nest = lambda n, a="(", b=")": a * n + "1" + b * n
+    sql = "\n".join(f"CREATE TABLE t{n} (\n  a INT CHECK {nest(n)},\n  b TEXT\n);" for n in depths)
+    fields = "\n".join(f"    c{n} = Column(Integer, default=f{nest(n)}, unique=True)" for n in depths)
+    python = f"from sqlalchemy import Column\nclass Deep(Base):\n{fields}\n    d = Column(Integer, ("
+    prisma = "\n".join(f"model M{n} {{\n  id Int @id\n  j Json @default({nest(n, '{', '}')})\n}}" for n in depths)
+    outer = "CREATE TABLE o (\n  a INT, -- CREATE TABLE i (x INT)\n  b TEXT\n);\nCREATE TABLE u (\n  a INT, (\n"
+    files = make_files(
+        ("r", "d.sql", sql), ("r", "d.py", python), ("r", "schema.prisma", prisma), ("o", "o.sql", outer)
+    )
+    found = D.schema_tables(D.schema_models(files)).selectExpr("repo_id", "name", "size(columns) n")
+    expected = {("r", f"t{n}", 2) for n in depths} | {("r", f"m{n}", 2) for n in depths}
+    assert {tuple(r) for r in found.collect()} == expected | {("r", "deep", 40), ("o", "o", 2), ("o", "i", 1)}
