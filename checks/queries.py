@@ -182,12 +182,22 @@ def write_facts(spark, sf):
 
 @query
 def incremental_dependencies(spark, sf):
-    """Manifests land in two steps; each step is analysed as a stream that stops when done."""
+    """Manifests land in three steps; each step is analysed as a stream that stops when done.
+
+    First early manifests as they are and empty late ones; then the late ones are changed and the
+    early ones deleted; then the early ones come back.
+    """
     landed, facts, mark = (staging_folder(spark, n) for n in ("files", "facts", "mark"))
     files = K.manifest_files(spark, sf)
     early = F.col("path").isin("package.json", "go.mod")
-    for step in (early, ~early):
-        files.where(step).write.mode("append").parquet(landed)
+    empty = F.when(early, F.col("content")).otherwise("").alias("content")
+    steps = (
+        files.select("repo_id", "path", empty, "size_bytes"),
+        files.withColumn("deleted", early),
+        files.where(early),
+    )
+    for version, step in enumerate(steps, 1):
+        writers.land_files(step.withColumn("version", F.lit(version).cast("long")), landed, mode="append", buckets=16)
         stream = incremental.start_incremental(
             spark, landed, facts, mark, tables=["dependencies"], buckets=16
         )

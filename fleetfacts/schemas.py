@@ -1,6 +1,8 @@
 """Table schemas, as Spark DDL."""
 
 FILES = "repo_id STRING, path STRING, content STRING, size_bytes BIGINT"
+# A landed row replaces older rows of its file; `deleted` takes the file away.
+LANDED_FILES = f"{FILES}, version BIGINT, deleted BOOLEAN"
 RAW_FILES = "repo_id STRING, path STRING, content BINARY, size_bytes BIGINT"
 REPOSITORIES = "repo_id STRING, url STRING, default_branch STRING, commit_sha STRING"
 PROJECTS = (

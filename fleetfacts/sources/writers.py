@@ -11,24 +11,40 @@ from fleetfacts.functions import text as X
 BUCKETS = 256
 
 
-def land_files(files: DataFrame, path: str, partitions: int | None = None) -> None:
+def land_files(
+    files: DataFrame,
+    path: str,
+    partitions: int | None = None,
+    mode: str = "overwrite",
+    buckets: int | None = None,
+) -> None:
     """Write the file table clustered for the operators' filters.
 
     Rows are spread by (repo_id, path), so a huge repository is many output files, and sorted
     by extension and path inside each, so that row-group statistics skip content that an
-    operator does not ask for (root manifests, `.py`, `.sql`, …).
+    operator does not ask for (root manifests, `.py`, `.sql`, …). With `buckets`, the table is
+    also partitioned by a hash bucket of repo_id, so that incremental runs read only the
+    buckets of changed repositories; add later rows with mode "append" and the same buckets.
     """
     keyed = files.withColumn("extension", X.file_extension(F.col("path")))
     keys = ["repo_id", "path"]
-    spread = keyed.repartition(partitions, *keys) if partitions else keyed.repartition(*keys)
-    spread.sortWithinPartitions("extension", "path", "repo_id").write.mode("overwrite").parquet(path)
+    if buckets is None:
+        spread = keyed.repartition(partitions, *keys) if partitions else keyed.repartition(*keys)
+        spread.sortWithinPartitions("extension", "path", "repo_id").write.mode(mode).parquet(path)
+        return
+    bucket = bucket_column(buckets)
+    keyed = keyed.withColumn(bucket, repo_bucket(F.col("repo_id"), buckets))
+    # Rebalancing splits a bucket that holds a huge repository and keeps small ones in one file.
+    spread = keyed.hint("rebalance", F.col(bucket))
+    ordered = spread.sortWithinPartitions(bucket, "extension", "path", "repo_id")
+    ordered.write.mode(mode).partitionBy(bucket).parquet(path)
 
 
 def repo_bucket(repo_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
 
 
-def _bucket_column(buckets: int) -> str:
+def bucket_column(buckets: int) -> str:
     """The partition column; it names the bucket count, so that counts cannot be mixed."""
     return f"repo_bucket_{buckets}"
 
@@ -60,7 +76,7 @@ def write_facts(
     less per changed repository and make more files.
     """
     spark = facts.sparkSession
-    bucket = _bucket_column(buckets)
+    bucket = bucket_column(buckets)
     of_repo = repo_bucket(F.col("repo_id"), buckets).alias(bucket)
     repos = (facts if repos is None else repos).select("repo_id").distinct()
     touched = repos.select(of_repo).distinct()
@@ -92,7 +108,7 @@ def read_facts(
     spark: SparkSession, path: str, repo_ids: list[str] | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Fact table; for named repositories only their buckets are read."""
-    bucket = _bucket_column(buckets)
+    bucket = bucket_column(buckets)
     facts = spark.read.parquet(path).where("repo_id IS NOT NULL")
     if repo_ids is not None:
         in_bucket = F.lit(False)

@@ -148,6 +148,34 @@ def test_incremental_equals_batch(spark, make_files, tmp_path):
         assert rows(stored.select(*expected[name].columns)) == rows(expected[name]), name
 
 
+@pytest.mark.parametrize("land", [{}, {"buckets": 4}])
+def test_incremental_changes_and_deletions(spark, tmp_path, land):
+    files_path, out, mark = (str(tmp_path / d) for d in ("files", "facts", "checkpoint"))
+
+    def settle(*landed):
+        rows_ = [(repo, path, text, len(text or ""), version, gone) for repo, path, text, version, gone in landed]
+        W.land_files(spark.createDataFrame(rows_, S.LANDED_FILES), files_path, mode="append", **land)
+        query = start_incremental(spark, files_path, out, mark, tables=["dependencies", "file_inventory"], buckets=4)
+        query.awaitTermination()
+        assert query.exception() is None
+        found = W.read_facts(spark, os.path.join(out, "dependencies"), buckets=4)
+        inventory = W.read_facts(spark, os.path.join(out, "file_inventory"), buckets=4)
+        return rows(found, "repo_id", "name", "version"), rows(inventory, "repo_id", "path")
+
+    name = "requirements.txt"
+    first, _ = settle(("a", name, "flask==1", None, None), ("b", name, "django==4", 5, False))
+    assert [r[:2] for r in first] == [("a", "flask"), ("b", "django")]
+    old = first[0][2]
+    # A change, by landing time or version; an older version that arrives late; another file.
+    changed, paths = settle(("a", name, "flask==2", None, None), ("b", name, "django==3", 4, False), ("a", "x.py", "", 1, None))
+    assert [r[:2] for r in changed] == [r[:2] for r in first]
+    assert changed[0][2] == old.replace("1", "2") and changed[1] == first[1]
+    assert paths == [("a", name), ("a", "x.py"), ("b", name)]
+    assert settle(("b", name, None, 6, True)) == (changed[:1], paths[:2])
+    back, paths = settle(("b", name, "django==4", 7, None), ("b", name, "django==4", 7, None))
+    assert back == [changed[0], first[1]] and len(paths) == 3
+
+
 def test_unknown_decode_mode(make_files):
     with pytest.raises(ValueError):
         V.decode_content(make_files(("r", "a", "")), "guess")
