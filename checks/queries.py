@@ -192,7 +192,7 @@ def incremental_dependencies(spark, sf):
     early = F.col("path").isin("package.json", "go.mod")
     empty = F.when(early, F.col("content")).otherwise("").alias("content")
     steps = (
-        files.select("repo_id", "path", empty, "size_bytes"),
+        files.select("repo_id", "path", empty),
         files.withColumn("deleted", early),
         files.where(early),
     )
