@@ -444,6 +444,7 @@ TOP_FILES = f"""(
     true AS inferred
   FROM {SCORES} QUALIFY position <= 10)"""
 ORACLES["top_files_per_issue"] = f"SELECT * FROM {TOP_FILES}"
+ORACLES["top_files_heavy_keywords"] = ORACLES["top_files_per_issue"]
 
 # --- issues --------------------------------------------------------------------------
 
@@ -614,11 +615,11 @@ RUNS = """(
     CASE WHEN event_id % 5 = 0 THEN event_id % 2 ELSE 0 END AS errors,
     round(value, 2) AS duration_seconds, event_type = 'signup' AND event_id % 10 = 3 AS timed_out,
     event_id % 17 AS p, CASE WHEN event_type = 'error' THEN 1 + event_id % 3 ELSE 0 END AS f, event_id
-  FROM events WHERE event_type NOT IN ('purchase', 'view'))"""
+  FROM events)"""
+OUTPUT_LENGTH = """CAST(CASE event_id % 5 WHEN 0 THEN 59 + length(p::VARCHAR) WHEN 1 THEN 34 + length(p::VARCHAR)
+    WHEN 2 THEN 72 + length(p::VARCHAR) WHEN 3 THEN 12 * (p + f) ELSE 18 END AS INTEGER)"""
 ORACLES["parse_test_logs"] = f"""
-SELECT session_id, attempt, command, passed, failed, errors, duration_seconds, timed_out,
-  CAST(CASE event_id % 5 WHEN 0 THEN 59 + length(p::VARCHAR) WHEN 1 THEN 34 + length(p::VARCHAR)
-    WHEN 2 THEN 72 + length(p::VARCHAR) WHEN 3 THEN 12 * (p + f) ELSE 18 END AS INTEGER) AS output
+SELECT session_id, attempt, command, passed, failed, errors, duration_seconds, timed_out, {OUTPUT_LENGTH} AS output
 FROM {RUNS}"""
 TOTALS = f"""(
   SELECT session_id, CAST(sum(passed + failed + errors) AS BIGINT) AS tests_run, CAST(sum(passed) AS BIGINT) AS tests_passed,
@@ -630,8 +631,9 @@ SELECT session_id, attempt, passed, failed, errors, duration_seconds, timed_out,
 FROM {RUNS}"""
 STATES = f"""(
   SELECT session_id, repo_id, issue_number, branch_name, state, coalesce(n, 0) AS files_analyzed,
-    CAST(coalesce(files_modified, 0) AS INTEGER) AS files_modified, started_at,
-    CASE WHEN state <> 'GUIDING' THEN decided_at END AS finished_at
+    CAST(coalesce(s.files_modified, 0) AS INTEGER) AS files_modified,
+    CASE WHEN s.files_modified IS NOT NULL THEN array_to_string(['a.py', 'b.py', 'c.py'][1:s.files_modified], '|') END AS changed_files,
+    started_at, CASE WHEN state <> 'GUIDING' THEN decided_at END AS finished_at
   FROM (SELECT e.*, CASE e.last WHEN 'branch_failed' THEN 'FAILED' WHEN 'no_command' THEN 'DONE'
         WHEN 'test' THEN CASE WHEN r.timed_out OR (r.failed = 0 AND r.errors = 0) THEN 'DONE' ELSE 'GUIDING' END
         ELSE 'GUIDING' END AS state
@@ -673,7 +675,7 @@ Addresses issue #' || s.issue_number || ': ' || coalesce(i.title, '') || '
 ## Related Issue
 
 Closes #' || s.issue_number AS draft,
-    files_modified, coalesce(tests_run, 0) AS tests_run, coalesce(tests_passed, 0) AS tests_passed,
+    files_analyzed, files_modified, changed_files, started_at, finished_at, coalesce(tests_run, 0) AS tests_run, coalesce(tests_passed, 0) AS tests_passed,
     coalesce(tests_failed, 0) AS tests_failed, coalesce(test_runs, 0) AS test_runs
   FROM (SELECT *, 1 + issue_number % 3 AS files FROM {STATES} WHERE state <> 'GUIDING') s
   LEFT JOIN {TOTALS} t ON t.session_id = s.session_id
@@ -735,7 +737,10 @@ FROM part WHERE p_partkey % 10 IN (3, 4, 5) GROUP BY 1"""
 ORACLES["read_issues"] = f"""
 SELECT repo_id, issue_number AS number, comments, url AS html_url FROM {ORDER_ISSUES} WHERE issue_number % 11 <> 0"""
 ORACLES["read_test_logs"] = f"""
-SELECT session_id, attempt, command, duration_seconds, timed_out FROM {RUNS}"""
+SELECT session_id, attempt, command, duration_seconds, timed_out, {OUTPUT_LENGTH} AS output FROM {RUNS}"""
+ORACLES["issue_rejects"] = """
+SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'unreadable' ELSE 'no repo_id' END AS reason, count(*) AS records
+FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 GROUP BY 1"""
 ORACLES["read_session_events"] = """
 SELECT 's' || user_id AS session_id,
   CASE WHEN event_id % 1009 = 0 THEN 'branch_failed' WHEN event_type = 'view' THEN 'start'

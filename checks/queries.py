@@ -22,7 +22,7 @@ from fleetfacts.operators import (
     sessions,
     technologies,
 )
-from fleetfacts.plans.staging import staging_folder
+from fleetfacts.plans.staging import cut_lineage, staging_folder
 from fleetfacts.sources import readers, writers
 from fleetfacts.streaming import incremental
 
@@ -142,7 +142,19 @@ def read_issues(spark, sf):
 def read_test_logs(spark, sf):
     path = staging_folder(spark, "logs")
     K.test_logs(spark, sf).write.json(path)
-    return readers.read_test_logs(spark, path).drop("output")
+    return readers.read_test_logs(spark, path).withColumn("output", F.length("output"))
+
+
+@query
+def issue_rejects(spark, sf):
+    """Some issues are cut off, some name no repository."""
+    path = staging_folder(spark, "issues")
+    key = F.col("number")
+    repo = F.when(key % 17 != 0, F.col("repo_id"))
+    text = K.order_issues(spark, sf).withColumn("repo_id", repo).select("number", F.to_json(F.struct("*")).alias("json"))
+    cut = F.when(key % 13 == 0, F.substring("json", 1, 40)).otherwise(F.col("json"))
+    text.select(cut.alias("json")).write.text(path)
+    return readers.read_rejects(spark, path, "issues").groupBy("reason").agg(F.count("*").alias("records"))
 
 
 @query
@@ -465,22 +477,22 @@ def schema_candidates(spark, sf):
     return dbschema.schema_candidates(K.schema_files(spark, sf)).drop("content")
 
 
-def _models(spark, sf):
-    return dbschema.schema_models(K.schema_files(spark, sf))
+def _models(spark, sf, dialects=tuple(dbschema.PARSERS)):
+    return dbschema.schema_models(K.schema_files(spark, sf), dialects)
 
 
 def _model_query(source_type: str) -> None:
     def tables(spark, sf):
-        models = _models(spark, sf).where(F.col("source_type") == source_type)
+        models = _models(spark, sf, [source_type])
         return models.where("is_table").select("repo_id", "name", "source", "confidence")
 
     def columns(spark, sf):
-        models = _models(spark, sf).where(F.col("source_type") == source_type)
+        models = _models(spark, sf, [source_type])
         return models.select("repo_id", "source", F.col("name").alias("table_name"), F.inline("columns"))
 
     def relationships(spark, sf):
-        found = dbschema.declared_relationships(_models(spark, sf))
-        return found.where(F.col("source_type") == source_type).select(
+        found = dbschema.declared_relationships(_models(spark, sf, [source_type]))
+        return found.select(
             "repo_id", "source", "from_table", "from_column", "to_table", "to_column",
             "relationship_type", "inferred",
         )
@@ -512,7 +524,7 @@ def dedupe_relationships(spark, sf):
 
 @query
 def schema_overview(spark, sf):
-    models = _models(spark, sf)
+    models = cut_lineage(_models(spark, sf), "models")
     repositories = K.table(spark, sf, "nation").selectExpr("concat('repo', n_nationkey) AS repo_id")
     return dbschema.schema_overview(
         repositories, dbschema.schema_tables(models), dbschema.schema_relationships(models)
@@ -564,6 +576,13 @@ def top_files_per_issue(spark, sf):
     return search.top_files_per_issue(keywords, K.document_files(spark, sf))
 
 
+@query
+def top_files_heavy_keywords(spark, sf):
+    """The same with so low a limit that common keywords make no pairs."""
+    keywords = search.issue_keywords(K.benchmark_issues(spark, sf))
+    return search.top_files_per_issue(keywords, K.document_files(spark, sf), heavy_term=3)
+
+
 # --- issues --------------------------------------------------------------------------
 
 
@@ -686,24 +705,24 @@ def _states(spark, sf):
 
 @query
 def session_state(spark, sf):
-    return _states(spark, sf)
+    return _states(spark, sf).withColumn("changed_files", joined("changed_files"))
 
 
-@query
-def session_report(spark, sf):
+def _reports(spark, sf):
     return sessions.session_report(
         _states(spark, sf), sessions.session_totals(_runs(spark, sf)),
         K.session_diffs(spark, sf), K.order_issues(spark, sf),
     )
 
 
+@query
+def session_report(spark, sf):
+    return _reports(spark, sf).withColumn("changed_files", joined("changed_files"))
+
+
 @query
 def report_draft(spark, sf):
-    reports = sessions.session_report(
-        _states(spark, sf), sessions.session_totals(_runs(spark, sf)),
-        K.session_diffs(spark, sf), K.order_issues(spark, sf),
-    )
-    return reports.select("session_id", "draft")
+    return _reports(spark, sf).select("session_id", "draft")
 
 
 @query

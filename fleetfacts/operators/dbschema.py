@@ -9,6 +9,8 @@ depth, however deep it is nested.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -455,22 +457,29 @@ def schema_candidates(files: DataFrame) -> DataFrame:
     return gated.where("is_sql OR is_prisma OR is_sqlalchemy OR is_django")
 
 
-def schema_models(files: DataFrame) -> DataFrame:
-    """Every model found, in reading order within its file, before deduplication."""
-    content = F.col("content")
-    none = F.array().cast(MODELS)
+PARSERS = {
+    "sql": sql_models,
+    "prisma": prisma_models,
+    "sqlalchemy": sqlalchemy_models,
+    "django": django_models,
+}
 
-    def parsed(gate: str, models: Column) -> Column:
-        return F.when(F.col(gate), models).otherwise(none)
 
-    models = F.concat(
-        parsed("is_sql", sql_models(content)),
-        parsed("is_prisma", prisma_models(content)),
-        parsed("is_sqlalchemy", sqlalchemy_models(content)),
-        parsed("is_django", django_models(content)),
-    )
+def schema_models(files: DataFrame, dialects: Iterable[str] = tuple(PARSERS)) -> DataFrame:
+    """Every model found, in reading order within its file, before deduplication.
+
+    Only files of the named dialects are read and only their parsers run; `ordinal` counts the
+    models of those.
+    """
+    wanted = [d for d in PARSERS if d in set(dialects)]
+    if not wanted or set(dialects) - set(wanted):
+        raise ValueError(f"dialects are some of {', '.join(PARSERS)}")
+    none = F.array().cast(MODELS)
+    parsed = [F.when(F.col(f"is_{d}"), PARSERS[d](F.col("content"))).otherwise(none) for d in wanted]
+    models = F.concat(*parsed)
     return (
         schema_candidates(files)
+        .where(" OR ".join(f"is_{d}" for d in wanted))
         .select("repo_id", F.col("path").alias("source"), F.posexplode(models))
         .select("repo_id", "source", F.col("pos").alias("ordinal"), "col.*")
     )

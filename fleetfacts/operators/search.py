@@ -29,8 +29,9 @@ def code_search(
     """Lines containing each needle, ignoring case.
 
     `queries` is (query_id, repo_id or None for all, needle): a list of literals, so it is
-    part of the plan instead of a joined table. A file is opened up into lines only for the
-    queries whose needle occurs somewhere in it. All matches are returned unless `max_matches`
+    part of the plan instead of a joined table. A file is opened up into lines once, and only
+    if some needle occurs in it; its lines are tried for those needles. Only matching lines
+    leave the expression. All matches are returned unless `max_matches`
     asks for the first ones per repository and query by (path, line); up to
     spark.sql.optimizer.windowGroupLimitThreshold that limit is applied per task before the shuffle.
     """
@@ -56,17 +57,19 @@ def code_search(
             & F.contains(low, q["needle"]),
         ),
     )
-    opened = scope.select("repo_id", "path", "content", F.explode(hits).alias("q"))
+
+    def matching_lines(asked: Column) -> Column:
+        def tried(text: Column, i: Column) -> Column:
+            found = X.let(F.lower(text), lambda low: F.filter(asked, lambda q: F.contains(low, q["needle"])))
+            return F.struct((i + 1).alias("line"), text.alias("text"), found.alias("found"))
+
+        opened = F.transform(X.lines(F.col("content")), tried)
+        return F.when(F.size(asked) > 0, F.filter(opened, lambda l: F.size(l["found"]) > 0))
+
     matches = (
-        opened.select(
-            "repo_id",
-            "q.query_id",
-            "q.needle",
-            "path",
-            F.posexplode(X.lines(F.col("content"))).alias("pos", "text"),
-        )
-        .where(F.contains(F.lower("text"), F.col("needle")))
-        .select("repo_id", "query_id", "path", (F.col("pos") + 1).alias("line"), "text")
+        scope.select("repo_id", "path", F.inline(X.let(hits, matching_lines)))
+        .select("repo_id", "path", "line", "text", F.explode("found").alias("q"))
+        .select("repo_id", "q.query_id", "path", "line", "text")
     )
     if max_matches is None:
         return matches.withColumn("truncated", F.lit(False))
@@ -83,36 +86,53 @@ def code_search(
 # --- keywords ------------------------------------------------------------------------
 
 
-def keyword_counts(texts: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Keyword frequency and first position per text.
+def _ranked_words(text: Column, limit: int) -> Column:
+    """array<struct(negated frequency, first position, keyword)> of a text, best first.
 
-    Texts are placed by key before they are cut into words. Counting and ranking then need
-    no further shuffle, because both are per key.
+    Words are sorted with their positions, so each keyword is one run of the sorted array and
+    its frequency is the distance to the next run.
     """
     words = F.filter(
-        X.extract_all(F.lower("_text"), "[a-z][a-z0-9_]{2,}", 0),
-        lambda w: ~w.isin(C.STOP_WORDS),
-    )
-    return (
-        texts.select(*keys, text.alias("_text"))
-        .repartition(*keys)
-        .select(*keys, F.posexplode(words).alias("pos", "keyword"))
-        .groupBy(*keys, "keyword")
-        .agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
+        X.extract_all(F.lower(text), "[a-z][a-z0-9_]{2,}", 0), lambda w: ~w.isin(C.STOP_WORDS)
     )
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("keyword"), i.alias("pos")))
+
+    def counted(ordered: Column) -> Column:
+        numbered = F.transform(ordered, lambda w, i: F.struct(w.alias("w"), i.alias("at")))
+        firsts = F.filter(
+            numbered,
+            lambda n: (n["at"] == 0) | (F.get(ordered, n["at"] - 1)["keyword"] != n["w"]["keyword"]),
+        )
+
+        def measured(runs: Column) -> Column:
+            def one(run: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(runs, i + 1)["at"], F.size(ordered))
+                return F.struct(
+                    (run["at"] - end).alias("negated"), run["w"]["pos"].alias("pos"),
+                    run["w"]["keyword"].alias("keyword"),
+                )
+
+            return F.transform(runs, one)
+
+        return F.slice(F.sort_array(X.let(firsts, measured)), 1, limit)
+
+    return X.let(F.sort_array(placed), counted)
 
 
 def extract_keywords(
     texts: DataFrame, keys: list[str], text: Column, max_keywords: int = 20
 ) -> DataFrame:
-    """Top keywords per text: most frequent first, then first seen."""
+    """Top keywords per text: most frequent first, then first seen.
+
+    A text is one row, so words are counted and ranked inside the row, without a shuffle.
+    """
     _check_limit("max_keywords", max_keywords)
-    w = Window.partitionBy(*keys).orderBy(F.desc("frequency"), "first_pos")
-    return (
-        keyword_counts(texts, keys, text)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= max_keywords)
-        .select(*keys, "rank", "keyword", "frequency")
+    ranked = texts.select(*keys, F.posexplode(_ranked_words(text, max_keywords)).alias("_pos", "_k"))
+    return ranked.select(
+        *keys,
+        (F.col("_pos") + 1).alias("rank"),
+        F.col("_k.keyword").alias("keyword"),
+        (-F.col("_k.negated")).cast("bigint").alias("frequency"),
     )
 
 
@@ -309,9 +329,6 @@ def best_files(
         .where(F.col("files") > heavy_term)
         .drop("files")
     )
-    if heavy.isEmpty():
-        pairs = keywords.drop("frequency").join(terms, ["repo_id", "keyword"])
-        return _top(_summed(pairs.select(*_contribution())), ISSUE, limit)
     asked_heavy = keywords.drop("frequency").join(heavy, ["repo_id", "keyword"])
     place = F.when(F.col("in_path"), "/path").otherwise("/content")
     bounds = asked_heavy.groupBy(*ISSUE).agg(
@@ -373,7 +390,7 @@ def top_files_per_issue(
     """Best files per issue by score, then path, with the reason.
 
     Runs jobs when called: keywords and postings are read by many steps, so their lineage is
-    cut, and the steps for heavy keywords are planned only if there are any.
+    cut. The plan is the same at every size.
     """
     _check_limit("max_results", max_results)
     keywords = cut_lineage(keywords)

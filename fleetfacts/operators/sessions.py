@@ -95,7 +95,8 @@ def session_state(
     Events: `start`, `branch_failed`, `test` (a test request) and `no_command` (a request in a
     repository without a runner). A failed branch fails the session; a passing, timed-out or
     impossible run completes it; a failing run returns it to guiding. `finished_at` is the
-    time of the event that ended the session.
+    time of the event that ended the session; `changed_files` are those of its last request,
+    null before the first.
     """
     is_run = F.col("event").isin("test", "no_command")
     decides = is_run | (F.col("event") == "branch_failed")
@@ -105,6 +106,7 @@ def session_state(
         F.max("branch_name").alias("branch_name"),
         F.max(F.when(decides, F.struct("ts", "event"))).alias("last"),
         F.max_by(F.size("changed_files"), F.when(is_run, F.col("ts"))).alias("files_modified"),
+        F.max_by("changed_files", F.when(is_run, F.col("ts"))).alias("changed_files"),
         F.min("ts").alias("started_at"),
     )
     passed = F.col("timed_out") | ((F.col("failed") == 0) & (F.col("errors") == 0))
@@ -128,6 +130,7 @@ def session_state(
         "state",
         F.coalesce("files_analyzed", F.lit(0)).alias("files_analyzed"),
         F.coalesce("files_modified", F.lit(0)).alias("files_modified"),
+        "changed_files",
         "started_at",
         F.when(F.col("state").isin(TERMINAL), F.col("last.ts")).alias("finished_at"),
     )
@@ -209,8 +212,12 @@ def session_report(
             F.coalesce("files_modified", zero), F.col("tests_run"), F.col("tests_passed"),
             F.col("tests_failed"), F.col("test_runs"),
         ).alias("draft"),
+        "files_analyzed",
         "files_modified",
+        "changed_files",
         *counters,
+        "started_at",
+        "finished_at",
     )
 
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fleetfacts.operators import dbschema, dependencies, imports, inventory, technologies
+from fleetfacts.plans.staging import cut_lineage
 from fleetfacts.sources.writers import BUCKETS, write_facts
 
+SCHEMA_TABLES = {"schema_tables", "schema_columns", "schema_relationships"}
 
-def analyze_files(files: DataFrame) -> dict[str, DataFrame]:
+
+def analyze_files(files: DataFrame, models: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lazy fact tables of a decoded file table.
 
     Each is its own branch of the same scan; filters and columns differ per branch, so they
-    are pushed to the scan separately and nothing is cached.
+    are pushed to the scan separately and nothing is cached. `models` are the parsed schema
+    models of the files, where they are already there.
     """
-    models = dbschema.schema_models(files)
+    models = dbschema.schema_models(files) if models is None else models
     tables = dbschema.schema_tables(models)
     return {
         "file_inventory": inventory.file_inventory(files),
@@ -34,8 +38,14 @@ def write_analysis(
     tables: list[str] | None = None,
     buckets: int = BUCKETS,
 ) -> None:
-    """Replace the facts of the repositories of `files` in every (or each named) fact table."""
+    """Replace the facts of the repositories of `files` in every (or each named) fact table.
+
+    Schema sources are parsed once, into a staged table that the three schema tables share.
+    """
     repos = files.select("repo_id").distinct() if repos is None else repos
-    for name, facts in analyze_files(files).items():
+    models = None
+    if tables is None or SCHEMA_TABLES & set(tables):
+        models = cut_lineage(dbschema.schema_models(files), "models")
+    for name, facts in analyze_files(files, models).items():
         if tables is None or name in tables:
             write_facts(facts, f"{out_dir.rstrip('/')}/{name}", repos, buckets)

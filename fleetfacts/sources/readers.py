@@ -10,22 +10,23 @@ from fleetfacts import schemas as S
 from fleetfacts.operators.inventory import exclude_vendored
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """A folder's path with scheme and authority, as its file system lists it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
 def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
     """Checkouts below `root`, one directory per repository, as raw files.
 
-    Paths are relative to the repository. For a large fleet land the files once as Parquet
-    (`land_files`): listing very many small files is the slow part.
+    Paths are relative to the repository: what a listed path has beyond the root as its file
+    system names it. For a large fleet land the files once as Parquet (`land_files`): listing
+    very many small files is the slow part.
     """
-    base = root.rstrip("/")
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    )
-    marker = base.rsplit("/", 1)[-1] + "/"
-    full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    prefix = base if base.startswith("/") else "/" + base
-    below = F.when(
-        full.startswith(prefix + "/"), F.substr(full, F.lit(len(prefix) + 2))
-    ).otherwise(F.regexp_extract(full, f".*?{marker}(.*)$", 1))
+    base = _qualified(spark, root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     files = raw.select(
         F.substring_index(below, "/", 1).alias("repo_id"),
         F.regexp_replace(below, "^[^/]*/", "").alias("path"),
@@ -40,22 +41,66 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_issues(spark: SparkSession, path: str) -> DataFrame:
-    """Exported issue JSON, one object per line or one array per file."""
-    return spark.read.schema(S.ISSUES).option("multiLine", False).json(path)
+# Schema and keys of each kind of record; one without a key is a reject.
+RECORDS = {
+    "issues": (S.ISSUES, ["repo_id", "number"]),
+    "test_logs": (S.TEST_LOGS, ["session_id", "attempt"]),
+    "session_events": (S.SESSION_EVENTS, ["session_id", "event", "ts"]),
+}
+
+
+def _read_json(spark: SparkSession, path: str, kind: str, whole_files: bool) -> DataFrame:
+    """Records and their first fault in `reason`, null when valid.
+
+    One object or array a line; with `whole_files` a file is one object or array over any lines.
+    """
+    records = (
+        spark.read.schema(f"{RECORDS[kind][0]}, _corrupt STRING")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .option("multiLine", whole_files)
+        .json(path)
+    )
+    return _with_reason(records, kind)
+
+
+def _with_reason(records: DataFrame, kind: str) -> DataFrame:
+    reason = F.when(F.col("_corrupt").isNotNull(), "unreadable")
+    for key in RECORDS[kind][1]:
+        reason = reason.when(F.col(key).isNull(), f"no {key}")
+    return records.withColumn("reason", reason)
+
+
+def _valid(checked: DataFrame) -> DataFrame:
+    return checked.where("reason IS NULL").drop("_corrupt", "reason")
+
+
+def read_rejects(spark: SparkSession, path: str, kind: str, whole_files: bool = False) -> DataFrame:
+    """(record, reason) of the records that the reader of this kind leaves out."""
+    checked = _read_json(spark, path, kind, whole_files).where("reason IS NOT NULL")
+    fields = [c for c in checked.columns if c not in ("_corrupt", "reason")]
+    return checked.select(
+        F.coalesce("_corrupt", F.to_json(F.struct(*fields))).alias("record"), "reason"
+    )
+
+
+def read_issues(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Valid issues of exported JSON."""
+    return _valid(_read_json(spark, path, "issues", whole_files))
 
 
 def parse_issues(texts: DataFrame, column: str) -> DataFrame:
-    """Issues from a column of JSON objects, with the same schema as `read_issues`."""
-    return texts.select(F.from_json(column, S.ISSUES).alias("i")).select("i.*")
+    """Valid issues from a column of JSON objects, with the same schema as `read_issues`."""
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json(column, f"{S.ISSUES}, _corrupt STRING", options)
+    return _valid(_with_reason(texts.select(parsed.alias("i")).select("i.*"), "issues"))
 
 
-def read_test_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.TEST_LOGS).json(path)
+def read_test_logs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    return _valid(_read_json(spark, path, "test_logs", whole_files))
 
 
-def read_session_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.SESSION_EVENTS).json(path)
+def read_session_events(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    return _valid(_read_json(spark, path, "session_events", whole_files))
 
 
 def read_knowledge_docs(spark: SparkSession, path: str) -> DataFrame:

@@ -53,11 +53,32 @@ def test_keywords(spark):
     texts = ["The parser crashes. Parser error in parse_config, error error!", "", "the and it", "9abc _x1y2 zz9"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = S.extract_keywords(df, ["id"], df.text).collect()
+    assert {(r.keyword, r.frequency) for r in found if r.id == 0} >= {("parser", 2), ("error", 3), ("crashes", 1)}
     for i, text in enumerate(texts):
         got = [r.keyword for r in sorted(found, key=lambda r: r.rank) if r.id == i]
         assert got == keywords_of(text)
 
 
+def test_keywords_need_no_shuffle(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 60))) for _ in range(20)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for limit in (1, 3, 200):
+        found = S.extract_keywords(df, ["id"], df.text, limit)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        for i, text in enumerate(texts):
+            got = [r.keyword for r in found.where(f"id = {i}").orderBy("rank").collect()] if i % 7 == 0 else None
+            assert got is None or got == keywords_of(text or "", limit)
+
+
+def test_code_search_tries_every_needle_per_line(make_files):
+    files = make_files(("r", "a", "alpha beta\nbeta\n\ngamma"), ("r", "b", ""))
+    found = S.code_search(files, [(1, None, "beta"), (2, "r", "ALPHA"), (3, "s", "beta"), (4, None, "a")])
+    assert rows(found, "query_id", "path", "line") == [
+        (1, "a", 1), (1, "a", 2), (2, "a", 1), (4, "a", 1), (4, "a", 2), (4, "a", 4),
+    ]
+
+
 def brute_force(issues, files, limit=10):
     out = []
     for repo, number, title, body in issues:

@@ -74,6 +74,8 @@ def test_states_and_reports(spark, make_files):
     assert ok.diff_stat == "1 file(s) changed, 1 insertion(s), 0 deletion(s)"
     assert "Addresses issue #5: Crash\n" in ok.draft and ok.draft.endswith("Closes #5")
     assert "- 4 test(s) passed, 1 failed\n- Verification attempts: 2\n" in ok.draft
+    assert (ok.files_analyzed, ok.changed_files, ok.started_at, ok.finished_at) == (2, ["a.py", "a.py"], at(0), at(2))
+    assert reports["nobranch"].changed_files is None
     assert "- No test suite detected\n\n" in reports["nocmd"].draft
 
 

@@ -43,6 +43,38 @@ def test_read_issues(spark, tmp_path):
     assert rows(issues.where("pull_request IS NULL"), "number", "title", "labels.name") == [(1, "a", ["bug"])]
 
 
+def test_repository_ids_where_the_root_occurs_twice(spark, tmp_path):
+    root = tmp_path / "checkouts" / "fleet-checkouts" / "checkouts"
+    target = root / "one" / "checkouts" / "a.py"
+    target.parent.mkdir(parents=True)
+    target.write_bytes(b"x")
+    for form in (str(root), f"{root}/", f"file://{root}"):
+        assert rows(R.read_repo_files(spark, form), "repo_id", "path") == [("one", "checkouts/a.py")]
+
+
+def test_bad_records_are_rejects(spark, tmp_path):
+    good = {"repo_id": "r", "number": 1, "title": "a"}
+    path = write_lines(tmp_path / "issues.json", good, '{"repo_id": "r", "num', {"repo_id": "r", "title": "b"}, {"number": 3})
+    assert rows(R.read_issues(spark, path), "repo_id", "number", "title") == [("r", 1, "a")]
+    assert R.read_issues(spark, path).count() == 1
+    assert rows(R.read_rejects(spark, path, "issues"), "reason") == [("no number",), ("no repo_id",), ("unreadable",)]
+    kept = {r.reason: r.record for r in R.read_rejects(spark, path, "issues").collect()}
+    assert kept["unreadable"] == '{"repo_id": "r", "num' and json.loads(kept["no repo_id"]) == {"number": 3}
+    texts = spark.createDataFrame([(json.dumps(good),), ("{",), (None,)], "j string")
+    assert rows(R.parse_issues(texts, "j"), "number") == [(1,)]
+    # An array over several lines is one file of records, or else all of its lines are rejects.
+    array = tmp_path / "array.json"
+    array.write_text(json.dumps([good, dict(good, number=2)], indent=1))
+    assert rows(R.read_issues(spark, str(array), whole_files=True), "number") == [(1,), (2,)]
+    assert R.read_issues(spark, str(array)).count() == 0 and R.read_rejects(spark, str(array), "issues").count() > 0
+    logs = write_lines(tmp_path / "logs.json", {"session_id": "s", "attempt": 1}, {"attempt": 2}, "nothing")
+    assert rows(R.read_test_logs(spark, logs), "attempt") == [(1,)]
+    assert rows(R.read_rejects(spark, logs, "test_logs"), "reason") == [("no session_id",), ("unreadable",)]
+    events = write_lines(tmp_path / "events.json", {"session_id": "s", "event": "test", "ts": "2024-05-01T00:00:00Z"}, {"session_id": "s", "event": "test"})
+    assert R.read_session_events(spark, events).count() == 1
+    assert rows(R.read_rejects(spark, events, "session_events"), "reason") == [("no ts",)]
+
+
 def test_logs_and_events(spark, tmp_path):
     logs = write_lines(tmp_path / "logs.json", {"session_id": "s", "attempt": 1, "command": "x", "timed_out": False})
     events = write_lines(
