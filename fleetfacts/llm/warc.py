@@ -22,6 +22,8 @@ from fleetfacts.llm.common import cut_lineage, read_table, staging_folder
 # Payloads of at least this many bytes are written once.
 REVISIT_BYTES = 1_000
 RANGE_BYTES = 8_000_000
+# A reading task is meant to get about this many bytes of archives.
+TASK_BYTES = 64_000_000
 _BLOCK = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 
@@ -225,12 +227,16 @@ def _read_batches(folder: str):
 
 
 def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of archives listed as (path, size); each byte range of `range_bytes` is a unit of work."""
+    """The records of archives listed as (path, size); each byte range of `range_bytes` is a unit of work.
+
+    Ranges are dealt out by number. Their rows are tiny, so by size Spark would give all of them to one task.
+    """
+    total = manifest.agg(F.sum("size")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     ranges = manifest.select(
         "path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("size") - 1), F.lit(range_bytes))).alias("start")
     ).select("path", "size", "start", F.least("size", F.col("start") + range_bytes).alias("end"))
-    spread = ranges.repartition(F.col("path"), F.col("start"))
-    return spread.mapInArrow(_read_batches(folder), RECORDS)
+    return ranges.repartition(tasks).mapInArrow(_read_batches(folder), RECORDS)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
