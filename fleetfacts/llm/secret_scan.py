@@ -46,6 +46,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=18),
     Rule("hex", r"[0-9a-f]{16,}", least=16),
 )
+# A key block goes to its END line, whatever stands between. Where END is missing (or another block begins first), it goes to
+# the end of the base64 run: optional header lines, chunks of 16 characters or more between line ends (also escaped ones),
+# quotes and the like, and a shorter last chunk that fills its line.
+_GAP = r"""(?:[\s"'+,>|*#]|\\+[nrt]?|<br\s*/?>)"""
+_KEY_RUN = (
+    rf"(?:{_GAP}*+(?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\\"]*+{_GAP}++)*+[A-Za-z0-9+/]{{16,}}+={{0,2}}"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"""(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t]*+(?:[\r\n\\"'<]|\Z)))?+"""
+    rf"|{_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}\Z)?+"
+)
+_KEY_END = r"(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 # Formats of well-known issuers.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -53,7 +64,7 @@ MORE_RULES = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----(?:{_KEY_END}|{_KEY_RUN})"),
 )
 
 # Alternatives that are followed through a concatenation before the query is cut there.
