@@ -7,14 +7,17 @@ no bound can reach the k-th best cosine. The k nearest examples vote, weighted b
 mapped to a probability by a logistic curve fitted on leave-one-out votes of the examples, and the nearest
 examples are the evidence.
 
-Terms are words and, for longer words, their first 5, 6 and 7 letters. Terms are chosen on the sample by a chi-square
-test of their share of the label, counted once per preceding word, so that copies of a text count once.
+Terms are all words of a text, weighted with numbers of documents counted in Spark over all documents. Words, and for longer words
+their first 5, 6 and 7 letters, whose share of the label differs on the sample by a chi-square test (counted once per preceding word, so that
+copies of a text count once) weigh more; such beginnings are terms too. No word is left out of a vector or its norm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -33,10 +36,19 @@ FOLDS, HELD_OUT_FOLD = 3, 1
 NEIGHBOURS = 15
 BLOCK_EXAMPLES = 64
 THRESHOLD = 0.7
-# A term is kept with a chi-square of at least this (a chance of about 1e-6) and this many times the overall share.
+# A term is telling with a chi-square of at least this (a chance of about 1e-6) and odds that differ this many times from the
+# overall odds, which is possible at any share. The weight of a telling term is multiplied by the root of its chi-square, at most by this.
 LEAST_CHI_SQUARE = 24.0
-LEAST_LIFT = 3.0
-# Pseudo-votes of the overall share: a document without any term gets the share among such examples.
+LEAST_ODDS = 3.0
+MOST_FACTOR = 8.0
+# Terms whose numbers of documents are kept, the most frequent ones; the others count as if in as many documents as the last of them.
+MAX_COUNTED = 131_072
+FLUSH_TERMS = 200_000
+# Blocks scored before the bounds of the others are looked at.
+FIRST_BLOCKS = 2
+# Terms in more than one of this many examples are kept as rows over all examples, at most MAX_DENSE (16 MB).
+DENSE_SHARE, MAX_DENSE = 8, 512
+# Pseudo-votes of the overall share: a document without any word gets the share among such examples.
 PRIOR_VOTES = 0.5
 CACHE_ENTRIES = 100_000
 
@@ -56,8 +68,8 @@ def _with_stems(words: Counter) -> Counter:
     return out
 
 
-def choose_terms(examples: list[tuple[str, int]]) -> list[str]:
-    """The terms that tell the labels apart, by falling chi-square; at most MAX_TERMS."""
+def telling_terms(examples: list[tuple[str, int]]) -> dict[str, float]:
+    """Terms that tell the labels apart, either way, and the factors of their weights; at most MAX_TERMS, by falling chi-square."""
     # Pairs are kept as hashes, and terms only once, so that the driver holds no word twice.
     seen: tuple[set, set] = (set(), set())
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -73,91 +85,140 @@ def choose_terms(examples: list[tuple[str, int]]) -> list[str]:
     total = len(seen[0]) + len(seen[1])
     share = len(seen[1]) / total if total else 0.0
     if not 0.0 < share < 1.0:
-        return []
+        return {}
     scored = []
-    for term, hits in counts[1].items():
-        n = hits + counts[0][term]
-        expected = n * share
-        chi = (hits - expected) ** 2 / (expected * (1 - share))
-        if chi >= LEAST_CHI_SQUARE and hits >= LEAST_LIFT * expected:
+    for term in counts[0].keys() | counts[1].keys():
+        hits, misses = counts[1][term], counts[0][term]
+        n = hits + misses
+        chi = (hits - n * share) ** 2 / (n * share * (1 - share))
+        odds = (hits + 0.5) / (misses + 0.5) * (1 - share) / share
+        if chi >= LEAST_CHI_SQUARE and (odds >= LEAST_ODDS or odds <= 1 / LEAST_ODDS):
             scored.append((-chi, term))
-    return [term for _, term in sorted(scored)[:MAX_TERMS]]
+    return {term: min(MOST_FACTOR, math.sqrt(-chi)) for chi, term in sorted(scored)[:MAX_TERMS]}
+
+
+def words_and_stems(text: str, stems) -> list[str]:
+    """The words of a text, with repeats, and those stems of them that are in `stems`."""
+    words = _WORDS(text.lower())
+    # One look at the shortest stem spares most words the others.
+    heads = {t[: _STEMS[0]] for t in stems}
+    if heads:
+        words += [t for w in words if w[: _STEMS[0]] in heads for t in terms_of(w)[1:] if t in stems]
+    return words
 
 
 class Index:
-    """Block-max inverted index over labelled examples, and the calibration of their votes."""
-
-    def __init__(self, examples: list[tuple[int, str, int]]):
-        terms = choose_terms([(text, label) for _, text, label in examples])
-        self.terms = {term: i for i, term in enumerate(terms)}
-        self.heads = frozenset(t.rstrip("*")[:5] for t in terms)
-        counted = [self.count(text) for _, text, _ in examples]
-        frequency = np.ones(len(terms))
-        for vector in counted:
-            for term, _ in vector:
-                frequency[term] += 1
-        self.idf = np.log((1 + len(examples)) / frequency) + 1
-        # Examples with like vectors stand together, so that blocks have tight maxima.
-        order = sorted(range(len(examples)), key=lambda i: (counted[i], examples[i][0]))
+    """Block-max inverted index over labelled examples, and the calibration of their votes.
+
+    A vector holds every word of its text, and so does its norm. `frequency` has the numbers of documents of terms, `n_docs` that of all
+    documents; a term that is not in it counts as one in `floor` documents. Without it, the examples are the documents.
+    """
+
+    def __init__(self, examples: list[tuple[int, str, int]], frequency: dict[str, int] | None = None, n_docs: int = 0, floor: int = 1):
+        self.factors = telling_terms([(text, label) for _, text, label in examples])
+        self.stems = frozenset(t for t in self.factors if t.endswith("*"))
+        if frequency is None:
+            frequency, n_docs = Counter(), len(examples)
+            for _, text, _ in examples:
+                frequency.update(set(words_and_stems(text, self.stems)))
+        self.n_docs, self.floor = n_docs, floor
+        self.idf = {term: math.log((1 + n_docs) / (1 + max(n, floor))) + 1 for term, n in frequency.items()}
+        self.rare = math.log((1 + max(n_docs, floor)) / (1 + floor)) + 1
+        # Examples with like telling terms stand together, so that blocks have tight maxima.
+        telling = [tuple(sorted(set(words_and_stems(t, self.stems)) & self.factors.keys())) for _, t, _ in examples]
+        order = sorted(range(len(examples)), key=lambda i: (telling[i], examples[i][0]))
         self.ids = [examples[i][0] for i in order]
         self.labels = np.array([examples[i][2] for i in order], float)
         self.n_blocks = -(-len(order) // BLOCK_EXAMPLES)
-        postings = [[] for _ in terms]
-        vectors = [counted[i] for i in order]
-        for place, vector in enumerate(vectors):
-            for term, weight in self.weights(vector):
-                postings[term].append((place, weight))
-        sizes = [len(p) for p in postings]
-        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        self.places = np.array([p for row in postings for p, _ in row], int)
-        self.values = np.array([w for row in postings for _, w in row], float)
-        self.block_max = np.zeros((len(terms), max(1, self.n_blocks)))
-        owner = np.repeat(np.arange(len(terms)), sizes)
-        np.maximum.at(self.block_max, (owner, self.places // BLOCK_EXAMPLES), self.values)
-        empty = np.array([not v for v in vectors], bool)
+        self.terms: dict[str, int] = {}
+        term, place, value = array("i"), array("i"), array("d")
+        for p, i in enumerate(order):
+            for t, w in self.weights(self.count(examples[i][1])):
+                term.append(self.terms.setdefault(t, len(self.terms)))
+                place.append(p)
+                value.append(w)
+        terms, places, values = (np.array(a) for a in (term, place, value))
+        # Forward: by example. Inverted: by term, then example; and the largest weight of each term in each block.
+        self.first = np.searchsorted(places, np.arange(len(order) + 1))
+        self.forward = (terms.astype(np.int32), values)
+        by_term = np.argsort(terms, kind="stable")
+        terms, self.places, self.values = terms[by_term], places[by_term].astype(np.int32), values[by_term]
+        rows = np.arange(len(self.terms) + 1)
+        self.start = np.searchsorted(terms, rows)
+        blocks = self.places // BLOCK_EXAMPLES
+        new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms) else terms
+        self.block_of = blocks[new] if len(terms) else self.places
+        self.block_max = np.maximum.reduceat(self.values, new) if len(terms) else self.values
+        self.block_start = np.searchsorted(terms[new] if len(terms) else terms, rows)
+        # The most common terms are rows over all examples too, which sum faster.
+        sizes = np.diff(self.start)
+        common = np.argsort(-sizes, kind="stable")[:MAX_DENSE]
+        common = common[sizes[common] * DENSE_SHARE > len(order)]
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(order)))
+        for row, t in enumerate(common.tolist()):
+            entries = slice(self.start[t], self.start[t + 1])
+            self.dense[row, self.places[entries]] = self.values[entries]
+        empty = np.diff(self.first) == 0
         self.share = (float(self.labels.sum()) + 1) / (len(order) + 2)
         self.empty_share = (float(self.labels[empty].sum()) + 1) / (float(empty.sum()) + 2)
-        votes = np.array([self.vote(v, leave=i) for i, v in enumerate(vectors) if v])
-        self.slope, self.offset = fit_logistic(votes, self.labels[~empty])
+        full = np.flatnonzero(~empty).tolist()
+        votes = np.array([self._vote(self.nearest(self.count(examples[order[p]][1]), leave=p)) for p in full])
+        self.slope, self.offset = fit_logistic(votes, self.labels[full])
 
-    def count(self, text: str) -> tuple[tuple[int, int], ...]:
+    def count(self, text: str) -> tuple[tuple[str, int], ...]:
         """(term, occurrences) of a text, sorted."""
-        heads, found = self.heads, Counter()
-        for word in _WORDS(text.lower()):
-            if word[:5] in heads:
-                found.update(self.terms[t] for t in terms_of(word) if t in self.terms)
-        return tuple(sorted(found.items()))
+        return tuple(sorted(Counter(words_and_stems(text, self.stems)).items()))
 
-    def weights(self, vector) -> list[tuple[int, float]]:
-        raw = [(term, (1 + math.log(n)) * self.idf[term]) for term, n in vector]
+    def weights(self, vector) -> list[tuple[str, float]]:
+        idf, factors, rare = self.idf, self.factors, self.rare
+        raw = [(t, (1 + math.log(n)) * idf.get(t, rare) * factors.get(t, 1.0)) for t, n in vector]
         norm = math.sqrt(sum(w * w for _, w in raw))
-        return [(term, w / norm) for term, w in raw] if norm else []
+        return [(t, w / norm) for t, w in raw] if norm else []
+
+    def _sum(self, start, ids, values, rows, weight, n: int) -> np.ndarray:
+        """Sums by id of the entries of some rows, times the rows' weights."""
+        first, size = start[rows], start[rows + 1] - start[rows]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        return np.bincount(ids[at], values[at] * np.repeat(weight, size), n)
+
+    def _blocks(self, blocks: list[int], rows, weight) -> list[tuple[float, int]]:
+        """(cosine, place) of all examples of some blocks that share a term with the query."""
+        query = np.zeros(len(self.terms))
+        query[rows] = weight
+        out, (terms, values) = [], self.forward
+        for block in blocks:
+            low, high = block * BLOCK_EXAMPLES, min((block + 1) * BLOCK_EXAMPLES, len(self.ids))
+            a, b = self.first[low], self.first[high]
+            owner = np.repeat(np.arange(high - low), np.diff(self.first[low : high + 1]))
+            scores = np.bincount(owner, query[terms[a:b]] * values[a:b], high - low)
+            out += [(float(scores[p]), low + p) for p in np.flatnonzero(scores).tolist()]
+        return out
 
     def nearest(self, vector, k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, place), ties by place, exactly; fewer if fewer share a term."""
-        query = self.weights(vector)
-        if not query:
+        known = [(self.terms[t], w) for t, w in self.weights(vector) if t in self.terms]
+        if not known:
             return []
-        terms = np.array([t for t, _ in query])
-        weight = np.array([w for _, w in query])
-        bounds = weight @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1][0] - 1e-12):
-                break
-            first = block * BLOCK_EXAMPLES
-            scores = np.zeros(BLOCK_EXAMPLES)
-            for t, w in query:
-                places = self.places[self.start[t] : self.start[t + 1]]
-                low, high = np.searchsorted(places, (first, first + BLOCK_EXAMPLES))
-                scores[places[low:high] - first] += w * self.values[self.start[t] + low : self.start[t] + high]
-            found = [(float(scores[p]), first + p) for p in np.flatnonzero(scores).tolist() if first + p != leave]
-            best = sorted(best + found, key=lambda f: (-f[0], f[1]))[:k]
-        return best
-
-    def vote(self, vector, leave: int = -1) -> float:
+        rows, weight = np.array([r for r, _ in known]), np.array([w for _, w in known])
+        bounds = self._sum(self.block_start, self.block_of, self.block_max, rows, weight, self.n_blocks)
+        order = np.argsort(-bounds, kind="stable").tolist()
+        best_of = lambda found: sorted((f for f in found if f[1] != leave), key=lambda f: (-f[0], f[1]))[:k]
+        head = order[:FIRST_BLOCKS]
+        best = best_of(self._blocks(head, rows, weight))
+        least = best[-1][0] - 1e-12 if len(best) == k else 0.0
+        more = [b for b in order[FIRST_BLOCKS:] if bounds[b] > 0 and bounds[b] >= least]
+        if len(more) * 8 < self.n_blocks:
+            return best_of(best + self._blocks(more, rows, weight)) if more else best
+        row = self.row_of[rows]
+        scores = self._sum(self.start, self.places, self.values, rows[row < 0], weight[row < 0], len(self.ids))
+        scores = scores + weight[row >= 0] @ self.dense[row[row >= 0]]
+        at = np.flatnonzero((scores > 0) & (scores >= least))
+        return best_of(zip(scores[at].tolist(), at.tolist()))
+
+    def _vote(self, near) -> float:
         """Share of the label among the nearest, weighted by squared cosine, drawn to the overall share."""
-        near = self.nearest(vector, leave=leave)
         weight = sum(c * c for c, _ in near)
         return (sum(c * c * self.labels[p] for c, p in near) + PRIOR_VOTES * self.share) / (weight + PRIOR_VOTES)
 
@@ -165,9 +226,9 @@ class Index:
         """(probability, ids of the nearest examples)."""
         if not vector or not self.n_blocks:
             return self.empty_share, []
-        logit = self.slope * self.vote(vector) + self.offset
-        near = self.nearest(vector, k=3)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [self.ids[p] for _, p in near]
+        near = self.nearest(vector)
+        logit = self.slope * self._vote(near) + self.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [self.ids[p] for _, p in near[:3]]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -222,6 +283,39 @@ def labelled_examples(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str
     return sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
 
 
+def _frequency_batches(stems):
+    def rows(counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+        )
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                counts.update(set(words_and_stems(value.as_py() or "", stems)))
+                if len(counts) > FLUSH_TERMS:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    return run
+
+
+def document_frequencies(docs: DataFrame, stems: frozenset) -> tuple[dict[str, int], int, int]:
+    """(documents by term, number of documents, floor) over all rows of `docs`, for words and the given stems.
+
+    At most MAX_COUNTED terms come to the driver, by falling number; `floor` is a number that no other term exceeds, 1 if all terms in two
+    documents or more came.
+    """
+    counted = docs.select("text").mapInArrow(_frequency_batches(stems), "term string, n long")
+    terms = counted.groupBy("term").agg(F.sum("n").alias("n")).where("n > 1")
+    table = terms.orderBy(F.desc("n"), "term").limit(MAX_COUNTED + 1).toArrow()
+    names, numbers = table.column("term").to_pylist(), table.column("n").to_pylist()
+    floor = numbers[-1] if len(numbers) > MAX_COUNTED else 1
+    return {t: n for t, n in zip(names, numbers) if n > floor}, docs.count(), floor
+
+
 SCHEMA = "doc_id long, score double, nearest array<long>"
 
 
@@ -232,12 +326,13 @@ def _score_batches(shared, keep_rows: bool):
         for batch in batches:
             scores, nearest = [], []
             for value in batch.column(batch.schema.get_field_index("text")):
-                vector = index.count(value.as_py() or "")
-                if vector not in known:
+                text = value.as_py() or ""
+                key = hashlib.blake2b(text.encode(), digest_size=16).digest()
+                if key not in known:
                     if len(known) >= CACHE_ENTRIES:
                         known.clear()
-                    known[vector] = index.score(vector)
-                score, near = known[vector]
+                    known[key] = index.score(index.count(text))
+                score, near = known[key]
                 scores.append(score)
                 nearest.append(near)
             columns = [batch.column(i) for i in range(batch.num_columns)] if keep_rows else [batch.column(0)]
@@ -253,11 +348,13 @@ def _score_batches(shared, keep_rows: bool):
 def score_toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and ids of up to 3 nearest examples of every row of `docs` (and the columns in `keep`).
 
-    `labelled` holds the texts of the labelled rows. A null or empty text, like any text without a chosen term, gets
-    the share of the label among such examples (one half if there are no examples at all). Repeated rows are scored
+    `labelled` holds the texts of the labelled rows; numbers of documents are counted over all of its rows. A null or empty text, like any
+    text without a word, gets the share of the label among such examples (one half if there are no examples at all). Repeated rows are scored
     each; a null doc_id stays null; other columns are not looked at. Whole texts are read.
     """
-    index = Index(labelled_examples(labelled, labels))
+    examples = labelled_examples(labelled, labels)
+    stems = frozenset(t for t in telling_terms([(text, label) for _, text, label in examples]) if t.endswith("*"))
+    index = Index(examples, *document_frequencies(labelled, stems)) if examples else Index([])
     shared = docs.sparkSession.sparkContext.broadcast(vars(index))
     names = ["doc_id", "text", *keep]
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in names[1:]])
