@@ -153,40 +153,48 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row and of its edited text, and the likenesses (columns of SCHEMA).
 
     The next document is the next by descending doc_id, and after the last the first; rows with an equal
-    doc_id follow each other in text order, rows without one come last. A null text is empty. A single row is
-    its own next. Repeated rows stay.
+    doc_id follow each other in text order, rows without one come last, by a hash of the text, then the text. A null text is empty. A
+    single row is its own next. Repeated rows stay.
 
-    Rows are dealt by ranges of doc_id, from approximate quantiles of the ids. A range ends with a guest, the first
-    row of the range after it; finding those needs the ids only.
+    Rows are dealt by ranges of doc_id, from approximate quantiles of the ids; rows without one by ranges of the hash. A range ends
+    with a guest, the first row of the range after it; finding those needs the ids only, where every row has one.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = picked.count()
+    n, n_ids = picked.agg(F.count("*"), F.count("doc_id")).first()
     if n == 0:
         return spark.createDataFrame([], SCHEMA)
-    n_ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
+    ranges_for = lambda rows: max(1, min(MAX_RANGES, rows // RANGE_ROWS))
+    n_ranges = ranges_for(n_ids)
     cuts = picked.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges) if n_ranges > 1 else []
     # doc_ids from 2^53 on lose their last bits as doubles; as bounds of ranges that does no harm.
     bounds = sorted({int(c) for c in cuts})
-    # Ranges count downwards with doc_id: 0 holds the largest; rows without an id share the last one.
-    position = F.lit(0)
+    # Ranges count downwards with doc_id: 0 holds the largest; rows without an id have ranges of their own after all others.
+    position, text_key = F.lit(0), F.lit(None).cast("long")
     if bounds:
         above = F.array(*[F.lit(b).cast("long") for b in bounds])
-        position = F.coalesce(F.size(F.filter(above, lambda b: b > F.col("doc_id"))), F.lit(len(bounds)))
-    ranged = picked.withColumn("range", position.cast("int"))
+        position = F.size(F.filter(above, lambda b: b > F.col("doc_id")))
+    if n_ids < n:
+        text_key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+        # The upper 31 bits of the hash, in its order from 0 on.
+        upper = F.shiftrightunsigned(text_key.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 33)
+        beyond = len(bounds) + 1 + F.shiftright(upper * F.lit(ranges_for(n - n_ids)).cast("long"), 31)
+        position = F.when(F.col("doc_id").isNull(), beyond).otherwise(position)
+    ranged = picked.withColumn("range", position.cast("int")).withColumn("text_key", text_key)
     # The first row of each range: at most MAX_RANGES rows.
-    firsts = ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect()
+    firsts = ranged.groupBy("range").agg(F.max("doc_id").alias("top"), F.min("text_key").alias("top_key")).collect()
     present = sorted(row["range"] for row in firsts)
     before = {r: present[i - 1] for i, r in enumerate(present)}
-    first = spark.createDataFrame([(r["range"], r["top"], before[r["range"]]) for r in firsts], "range int, top long, goes_to int")
+    first = spark.createDataFrame([(r["range"], r["top"], r["top_key"], before[r["range"]]) for r in firsts], "range int, top long, top_key long, goes_to int")
     guests = (
-        ranged.join(F.broadcast(first), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
+        ranged.join(F.broadcast(first), "range")
+        .where(F.col("doc_id").eqNullSafe(F.col("top")) & F.col("text_key").eqNullSafe(F.col("top_key")))
         .groupBy("goes_to", "top").agg(F.min("text").alias("text"))
-        .select(F.col("goes_to").alias("range"), F.col("top").alias("doc_id"), F.lit(True).alias("guest"), "text")
+        .select(F.col("goes_to").alias("range"), F.col("top").alias("doc_id"), F.lit(True).alias("guest"), F.lit(None).cast("long").alias("text_key"), "text")
     )
-    rows = ranged.select("range", "doc_id", F.lit(False).alias("guest"), "text").union(guests)
-    dealt = rows.repartition(len(present), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInArrow(_compare_batches, SCHEMA)
+    rows = ranged.select("range", "doc_id", F.lit(False).alias("guest"), "text_key", "text").union(guests)
+    dealt = rows.repartition(len(present), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text_key", "text")
+    return dealt.select("range", "doc_id", "guest", "text").mapInArrow(_compare_batches, SCHEMA)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
