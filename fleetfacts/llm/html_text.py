@@ -4,7 +4,7 @@ Method: a page is cut into blocks at block-level tags. The first pass classifies
 stop words and its density of link text: good, bad, or undecided where it is short. Undecided blocks then
 inherit the label of their nearest decided neighbours. Elements that never hold an article's text (navigation, headers
 and footers of the page, sidebars, forms, scripts, reader comments, adverts, notices) are bad whatever they
-say; inside an article element, or the page's only text, undecided blocks have neighbours within it only.
+say; undecided blocks have neighbours within their own article element, or outside of all of them, only. Such an element is evidence, not a verdict.
 """
 
 from __future__ import annotations
@@ -48,10 +48,14 @@ SILENT_TAGS = frozenset("script style noscript template head svg math canvas obj
 # Elements that hold no article's text.
 FURNITURE_TAGS = frozenset("nav aside footer form menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
+# Names of such elements, as whole class tokens or ids; the first kind holds texts of its own, also in article elements.
+_AROUND = r"(?:(?:site|main|page|global|top|bottom|left|right|post|entry)[_-])?(?:%s)(?:[_-](?:area|bar|block|box|container|content|form|inner|links?|list|menu|section|slot|thread|unit|wrap|wrapper|\d+))?"
+FOREIGN_NAMES = re.compile(_AROUND % r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus|respond|replies|related|recommended", re.IGNORECASE)
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|widget|footer|"
-    r"comments?|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|social|share|"
-    r"sharing|related|recommended|login|search|pagination|pager|toolbar|masthead|skip-?link|copyright)(?:$|[\s_-])",
+    _AROUND % (
+        r"banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|widget|footer|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|"
+        r"subscribe|signup|social|share|sharing|login|search|pagination|pager|toolbar|masthead|skip-?link|copyright"
+    ),
     re.IGNORECASE,
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,40 +77,44 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, furniture, article
+        self.stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, silent, furniture, article and named before it
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
         self.articles = 1
         self.silent = self.furniture = 0
         self.article = 1
+        self.named = False  # inside an element of a furniture name, and no article below it
 
     def _cut(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.linked, 0 if self.furniture else self.article))
+            self.blocks.append((text, self.linked, 0 if self.furniture or self.named else self.article))
         self.parts, self.linked = [], 0
 
     def _push(self, tag, attributes):
         names = {k: v or "" for k, v in attributes}
         silent = tag in SILENT_TAGS or "hidden" in names
+        own = tag in ("article", "main") or names.get("role", "").lower() == "main"
+        tokens = [] if own or tag in ("html", "body") else [*names.get("class", "").split(), names.get("id", "").strip()]
         furniture = (
             tag in FURNITURE_TAGS
             or names.get("role", "").lower() in FURNITURE_ROLES
-            or (tag not in ("html", "body", "article", "main") and bool(FURNITURE_NAMES.search(names.get("class", "") + " " + names.get("id", ""))))
+            or any(FOREIGN_NAMES.fullmatch(t) for t in tokens)
             or (tag == "header" and self.article == 1)
         )
-        self.stack.append((tag, silent, furniture, self.article))
+        self.stack.append((tag, silent, furniture, self.article, self.named))
         self.silent += silent
         self.furniture += furniture
-        if tag in ("article", "main") or names.get("role", "").lower() == "main":
+        self.named = not own and (self.named or any(FURNITURE_NAMES.fullmatch(t) for t in tokens))
+        if own:
             self.articles += 1
             self.article = self.articles
         if tag == "a":
             self.links += 1
 
     def _pop(self):
-        tag, silent, furniture, self.article = self.stack.pop()
+        tag, silent, furniture, self.article, self.named = self.stack.pop()
         self.silent -= silent
         self.furniture -= furniture
         if tag == "a":
@@ -161,23 +169,28 @@ GOOD, BAD, UNDECIDED = 1, -1, 0
 
 
 def first_pass(text: str, linked: int, region: int) -> int:
-    """Label of a block by itself."""
+    """Label of a block by itself; the rules are the same in every region but furniture."""
     if region == 0:
         return BAD
+    words = _WORD.findall(text.lower())
+    prose = sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * max(1, len(words))
     if linked > LINK_DENSITY * len(text):
-        return BAD
+        # Linked sentences, and short links, may belong to the prose around them.
+        return UNDECIDED if prose or len(text) < LONG_CHARS else BAD
     if len(text) < LONG_CHARS:
         return UNDECIDED
-    words = _WORD.findall(text.lower())
-    if region == 1 and sum(w in STOP_WORDS for w in words) < STOP_DENSITY * max(1, len(words)):
-        return BAD if linked > 0.2 * len(text) else UNDECIDED
-    return GOOD
+    if prose:
+        return GOOD
+    return BAD if linked > 0.2 * len(text) else UNDECIDED
 
 
-def second_pass(labels: list[int], regions: list[int]) -> list[int]:
-    """Undecided blocks take the label of the nearest decided neighbours in their region: good if either is good.
+def second_pass(labels: list[int], regions: list[int], blocks: list[tuple[str, int, int]]) -> list[int]:
+    """Undecided blocks take the label of the nearest decided neighbours in their region: good if either is good, a block that is
+    mostly link only if both are (at the ends of the region, the one there is).
 
-    Without a decided neighbour, a block of an article is good; one outside of any is good where the page has no article.
+    The article element is evidence beforehand: without a decided neighbour a block of it is good, unless the page's good blocks outside of
+    articles are longer together than those inside; then, and on pages without article, such blocks outside are good. Good
+    blocks outside stay good where they are the longer part, or are twice LONG_CHARS long.
     """
     n = len(labels)
     before, after = [UNDECIDED] * n, [UNDECIDED] * n
@@ -188,17 +201,21 @@ def second_pass(labels: list[int], regions: list[int]) -> list[int]:
             if labels[i] != UNDECIDED:
                 last[regions[i]] = labels[i]
     has_article = any(r > 1 for r in regions)
+    size = lambda inside: sum(len(blocks[i][0]) for i in range(n) if labels[i] == GOOD and (regions[i] > 1) == inside)
+    outside = not has_article or size(False) > size(True)
     out = []
     for i, label in enumerate(labels):
         if label == UNDECIDED:
-            near = {before[i], after[i]}
-            if GOOD in near:
-                label = GOOD
-            elif BAD in near:
-                label = BAD if regions[i] == 1 else GOOD
+            near = {before[i], after[i]} - {UNDECIDED}
+            mostly_link = blocks[i][1] > LINK_DENSITY * len(blocks[i][0])
+            prior = GOOD if (regions[i] == 1) == outside else BAD
+            if not near:
+                label = BAD if mostly_link and regions[i] == 1 else prior
+            elif mostly_link or (regions[i] == 1 and not outside):
+                label = GOOD if near == {GOOD} else BAD
             else:
-                label = BAD if regions[i] == 1 and has_article else GOOD
-        elif label == GOOD and regions[i] == 1 and has_article:
+                label = GOOD if GOOD in near else BAD
+        elif label == GOOD and regions[i] == 1 and not outside and len(blocks[i][0]) < 2 * LONG_CHARS:
             label = BAD
         out.append(label)
     return out
@@ -210,7 +227,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     labels = [first_pass(*block) for block in parser.blocks]
-    final = second_pass(labels, [region for _, _, region in parser.blocks])
+    final = second_pass(labels, [region for _, _, region in parser.blocks], parser.blocks)
     return "\n".join(text for (text, _, _), label in zip(parser.blocks, final) if label == GOOD)
 
 
