@@ -29,8 +29,8 @@ BINS = 1_024
 # Candidates come from bands of 4 bins over the first 128. A pair of similarity 0.75 shares none of 32 with probability 5e-6.
 BANDS, BAND_BINS = 32, 4
 # Two bits of each bin are kept next to the bands. At a similarity of 0.75 they agree in 1792 of 2048 places on average,
-# with a deviation of about 17.9; fewer than 1717 agree with a probability of about 1e-5.
-AGREEING_BITS = 1_717
+# with a deviation of about 17.9; fewer than 1694 agree with a probability of 8.6e-8 (summed exactly, bits of a bin together).
+AGREEING_BITS = 1_694
 # Texts sketched together, a bound of memory.
 CHUNK_TEXTS = 1_000
 # Up to this many pairs, the ids of their texts are broadcast (16 bytes each); beyond it, they are joined by a shuffle.
