@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetfacts.llm import chat_format, decontaminate, fingerprint, html_text, near_dedup, pii, toxicity, warc
+from fleetfacts.llm import chat_format, decontaminate, filter_audit, fingerprint, html_text, near_dedup, pii, toxicity, warc
 from fleetfacts.llm.bpe import op9_bpe
 from fleetfacts.llm.secret_scan import op10_secrets
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op6_warc": warc.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
