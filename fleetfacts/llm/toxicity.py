@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Method: a bounded sample of labelled documents is indexed by an inverted index whose postings are cut into blocks of
-examples; each term keeps the largest weight it has in each block. A document's upper bound for a block is
-the sum over its terms of weight times block maximum; blocks are scored exactly in the order of their bounds, until
-no bound can reach the k-th best cosine. The k nearest examples vote, weighted by closeness; the vote is
-mapped to a probability by a logistic curve fitted on leave-one-out votes of the examples, and the nearest
-examples are the evidence.
-
-Terms are all words of a text, weighted with numbers of documents counted in Spark over all documents. Words, and for longer words
-their first 5, 6 and 7 letters, whose share of the label differs on the sample by a chi-square test (counted once per preceding word, so that
-copies of a text count once) weigh more; such beginnings are terms too. No word is left out of a vector or its norm.
+Method: a bounded sample of labelled documents is indexed by inverted lists. Examples are ordered so that like ones stand together, and cut into
+blocks; each common term keeps its largest weight in each block. For a text, the lists of its less common terms give a part of every
+cosine, and a block's bound is the largest of these parts plus the text's common terms times their block maxima. The best blocks are
+scored exactly, then all blocks whose bound reaches the k-th best cosine so far, so that the k nearest are exact. They vote, weighted by
+closeness; the vote is mapped to a probability by a logistic curve fitted on leave-one-out votes of the examples, and the nearest examples are the
+evidence. Texts are worked through in batches, as arrays.
+
+Terms are all words of a text. The numbers of documents of every term of the sample are counted in Spark over all documents; a word that no example
+has weighs like the words of a single example do on average. Words, and for longer words their first 5, 6 and 7 letters, whose share of the label
+differs on the sample by a chi-square test (counted once per preceding word, so that copies of a text count once) weigh more; such
+beginnings are terms too. No word is left out of a vector or its norm.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,31 +25,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfacts.llm.common import read_table
+from fleetfacts.llm.common import mix, read_table
 
-# Bounds of what is learnt from: labelled rows, their text in bytes, and terms. Which rows: by a hash of the id.
+# Bounds of what is learnt from: labelled rows and their text in bytes. Which rows: by a hash of the id.
 MAX_EXAMPLES = 4_000
 MAX_EXAMPLE_BYTES = 16_000_000
-MAX_TERMS = 4_096
 # Documents that are not held out are learnt from: crc32(doc_id as text) mod 3 other than 1.
 FOLDS, HELD_OUT_FOLD = 3, 1
 NEIGHBOURS = 15
-BLOCK_EXAMPLES = 64
+BLOCK_EXAMPLES = 8
 THRESHOLD = 0.7
 # A term is telling with a chi-square of at least this (a chance of about 1e-6) and odds that differ this many times from the
 # overall odds, which is possible at any share. The weight of a telling term is multiplied by the root of its chi-square, at most by this.
 LEAST_CHI_SQUARE = 24.0
 LEAST_ODDS = 3.0
 MOST_FACTOR = 8.0
-# Terms whose numbers of documents are kept, the most frequent ones; the others count as if in as many documents as the last of them.
-MAX_COUNTED = 131_072
-FLUSH_TERMS = 200_000
 # Blocks scored before the bounds of the others are looked at.
-FIRST_BLOCKS = 2
-# Terms in more than one of this many examples are kept as rows over all examples, at most MAX_DENSE (16 MB).
-DENSE_SHARE, MAX_DENSE = 8, 512
-# Pseudo-votes of the overall share: a document without any word gets the share among such examples.
+FIRST_BLOCKS = 8
+# Terms in more than one of this many examples are common: kept as rows over all examples and bounded by blocks.
+COMMON_SHARE = 8
+# Hashed dimensions in which the order of the examples is found.
+ORDER_DIMENSIONS = 256
+# Pseudo-votes of the overall share: a document without any neighbour gets just that.
 PRIOR_VOTES = 0.5
+BATCH_TEXTS = 128
 CACHE_ENTRIES = 100_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -69,7 +68,7 @@ def _with_stems(words: Counter) -> Counter:
 
 
 def telling_terms(examples: list[tuple[str, int]]) -> dict[str, float]:
-    """Terms that tell the labels apart, either way, and the factors of their weights; at most MAX_TERMS, by falling chi-square."""
+    """Terms that tell the labels apart, either way, and the factors of their weights; as many as the sample tells."""
     # Pairs are kept as hashes, and terms only once, so that the driver holds no word twice.
     seen: tuple[set, set] = (set(), set())
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -94,141 +93,188 @@ def telling_terms(examples: list[tuple[str, int]]) -> dict[str, float]:
         odds = (hits + 0.5) / (misses + 0.5) * (1 - share) / share
         if chi >= LEAST_CHI_SQUARE and (odds >= LEAST_ODDS or odds <= 1 / LEAST_ODDS):
             scored.append((-chi, term))
-    return {term: min(MOST_FACTOR, math.sqrt(-chi)) for chi, term in sorted(scored)[:MAX_TERMS]}
+    return {term: min(MOST_FACTOR, math.sqrt(-chi)) for chi, term in sorted(scored)}
 
 
-def words_and_stems(text: str, stems) -> list[str]:
-    """The words of a text, with repeats, and those stems of them that are in `stems`."""
-    words = _WORDS(text.lower())
-    # One look at the shortest stem spares most words the others.
-    heads = {t[: _STEMS[0]] for t in stems}
+def heads_of(stems) -> frozenset:
+    """The first letters that all words with one of the stems share with it; one look at them spares most words the others."""
+    return frozenset(t[: _STEMS[0]] for t in stems)
+
+
+def term_counts(text: str, stems, heads) -> Counter:
+    """Occurrences of the words of a text, and of those of their stems that are in `stems`."""
+    words = Counter(_WORDS(text.lower()))
     if heads:
-        words += [t for w in words if w[: _STEMS[0]] in heads for t in terms_of(w)[1:] if t in stems]
+        for word in [w for w in words if w[: _STEMS[0]] in heads]:
+            for term in terms_of(word)[1:]:
+                if term in stems:
+                    words[term] += words[word]
     return words
 
 
+def like_together(vectors: np.ndarray, leaf: int) -> list[int]:
+    """The rows of a matrix, halved along the direction in which they differ most until no more than `leaf` are left."""
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            out += rows.tolist()
+            continue
+        centred = vectors[rows] - vectors[rows].mean(0)
+        direction = centred[np.argmax((centred**2).sum(1))]
+        for _ in range(8):
+            direction = centred.T @ (centred @ direction)
+            direction /= np.linalg.norm(direction) + 1e-300
+        rows = rows[np.argsort(centred @ direction, kind="stable")]
+        half = -(-len(rows) // 2 // leaf) * leaf
+        todo += [rows[half:], rows[:half]]
+    return out
+
+
+def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of all slices, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 class Index:
     """Block-max inverted index over labelled examples, and the calibration of their votes.
 
-    A vector holds every word of its text, and so does its norm. `frequency` has the numbers of documents of terms, `n_docs` that of all
-    documents; a term that is not in it counts as one in `floor` documents. Without it, the examples are the documents.
+    A vector holds every word of its text, and so does its norm. `frequency` has the numbers of documents of the examples' terms, `n_docs`
+    that of all documents. Without it, the examples are the documents.
     """
 
-    def __init__(self, examples: list[tuple[int, str, int]], frequency: dict[str, int] | None = None, n_docs: int = 0, floor: int = 1):
+    def __init__(self, examples: list[tuple[int, str, int]], frequency: dict[str, int] | None = None, n_docs: int = 0):
         self.factors = telling_terms([(text, label) for _, text, label in examples])
         self.stems = frozenset(t for t in self.factors if t.endswith("*"))
+        self.heads = heads_of(self.stems)
+        counts = [self.count(text) for _, text, _ in examples]
+        shared: Counter = Counter()
+        for c in counts:
+            shared.update(c.keys())
         if frequency is None:
-            frequency, n_docs = Counter(), len(examples)
-            for _, text, _ in examples:
-                frequency.update(set(words_and_stems(text, self.stems)))
-        self.n_docs, self.floor = n_docs, floor
-        self.idf = {term: math.log((1 + n_docs) / (1 + max(n, floor))) + 1 for term, n in frequency.items()}
-        self.rare = math.log((1 + max(n_docs, floor)) / (1 + floor)) + 1
-        # Examples with like telling terms stand together, so that blocks have tight maxima.
-        telling = [tuple(sorted(set(words_and_stems(t, self.stems)) & self.factors.keys())) for _, t, _ in examples]
-        order = sorted(range(len(examples)), key=lambda i: (telling[i], examples[i][0]))
+            frequency, n_docs = shared, len(examples)
+        self.terms = {t: i for i, t in enumerate(shared)}
+        idf = np.array([math.log((1 + n_docs) / (1 + max(1, frequency.get(t, 0)))) + 1 for t in shared])
+        alone = np.array([n == 1 for n in shared.values()], bool)
+        # Weights by term; the last one is that of a word that no example has.
+        self.base = np.append(idf * np.array([self.factors.get(t, 1.0) for t in shared]), idf[alone].mean() if alone.any() else 1.0)
+        vectors = [self.encode(c) for c in counts]
+        hashed = np.zeros((len(examples), ORDER_DIMENSIONS))
+        spread = mix(np.arange(len(self.terms), dtype=np.uint64))
+        bucket, sign = (spread % np.uint64(ORDER_DIMENSIONS)).astype(np.int64), np.where(spread >> np.uint64(63), 1.0, -1.0)
+        for row, (rows, weight) in zip(hashed, vectors):
+            np.add.at(row, bucket[rows], sign[rows] * weight)
+        order = like_together(hashed, BLOCK_EXAMPLES)
         self.ids = [examples[i][0] for i in order]
         self.labels = np.array([examples[i][2] for i in order], float)
         self.n_blocks = -(-len(order) // BLOCK_EXAMPLES)
-        self.terms: dict[str, int] = {}
-        term, place, value = array("i"), array("i"), array("d")
-        for p, i in enumerate(order):
-            for t, w in self.weights(self.count(examples[i][1])):
-                term.append(self.terms.setdefault(t, len(self.terms)))
-                place.append(p)
-                value.append(w)
-        terms, places, values = (np.array(a) for a in (term, place, value))
-        # Forward: by example. Inverted: by term, then example; and the largest weight of each term in each block.
-        self.first = np.searchsorted(places, np.arange(len(order) + 1))
-        self.forward = (terms.astype(np.int32), values)
-        by_term = np.argsort(terms, kind="stable")
-        terms, self.places, self.values = terms[by_term], places[by_term].astype(np.int32), values[by_term]
-        rows = np.arange(len(self.terms) + 1)
-        self.start = np.searchsorted(terms, rows)
-        blocks = self.places // BLOCK_EXAMPLES
-        new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms) else terms
-        self.block_of = blocks[new] if len(terms) else self.places
-        self.block_max = np.maximum.reduceat(self.values, new) if len(terms) else self.values
-        self.block_start = np.searchsorted(terms[new] if len(terms) else terms, rows)
-        # The most common terms are rows over all examples too, which sum faster.
-        sizes = np.diff(self.start)
-        common = np.argsort(-sizes, kind="stable")[:MAX_DENSE]
-        common = common[sizes[common] * DENSE_SHARE > len(order)]
-        self.row_of = np.full(len(self.terms), -1)
+        vectors = [vectors[i] for i in order]
+        sizes = np.array(list(shared.values()), np.int64)
+        common = np.flatnonzero(sizes * COMMON_SHARE > len(order))
+        self.row_of = np.full(len(sizes), -1)
         self.row_of[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(order)))
-        for row, t in enumerate(common.tolist()):
-            entries = slice(self.start[t], self.start[t + 1])
-            self.dense[row, self.places[entries]] = self.values[entries]
-        empty = np.diff(self.first) == 0
+        # Inverted lists of the less common terms, and rows over blocks of examples of the common ones.
+        places = np.repeat(np.arange(len(order)), [len(v[0]) for v in vectors])
+        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        values = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        is_common = self.row_of[terms] >= 0
+        self.dense = np.zeros((self.n_blocks, BLOCK_EXAMPLES, len(common)))
+        self.dense[places[is_common] // BLOCK_EXAMPLES, places[is_common] % BLOCK_EXAMPLES, self.row_of[terms[is_common]]] = values[is_common]
+        self.block_max = np.ascontiguousarray(self.dense.max(1).T)
+        terms, places, values = terms[~is_common], places[~is_common], values[~is_common]
+        by_term = np.argsort(terms, kind="stable")
+        self.places, self.values = places[by_term], values[by_term]
+        self.start = np.searchsorted(terms[by_term], np.arange(len(sizes) + 1))
         self.share = (float(self.labels.sum()) + 1) / (len(order) + 2)
-        self.empty_share = (float(self.labels[empty].sum()) + 1) / (float(empty.sum()) + 2)
-        full = np.flatnonzero(~empty).tolist()
-        votes = np.array([self._vote(self.nearest(self.count(examples[order[p]][1]), leave=p)) for p in full])
-        self.slope, self.offset = fit_logistic(votes, self.labels[full])
-
-    def count(self, text: str) -> tuple[tuple[str, int], ...]:
-        """(term, occurrences) of a text, sorted."""
-        return tuple(sorted(Counter(words_and_stems(text, self.stems)).items()))
-
-    def weights(self, vector) -> list[tuple[str, float]]:
-        idf, factors, rare = self.idf, self.factors, self.rare
-        raw = [(t, (1 + math.log(n)) * idf.get(t, rare) * factors.get(t, 1.0)) for t, n in vector]
-        norm = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / norm) for t, w in raw] if norm else []
-
-    def _sum(self, start, ids, values, rows, weight, n: int) -> np.ndarray:
-        """Sums by id of the entries of some rows, times the rows' weights."""
-        first, size = start[rows], start[rows + 1] - start[rows]
-        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        return np.bincount(ids[at], values[at] * np.repeat(weight, size), n)
-
-    def _blocks(self, blocks: list[int], rows, weight) -> list[tuple[float, int]]:
-        """(cosine, place) of all examples of some blocks that share a term with the query."""
-        query = np.zeros(len(self.terms))
-        query[rows] = weight
-        out, (terms, values) = [], self.forward
-        for block in blocks:
-            low, high = block * BLOCK_EXAMPLES, min((block + 1) * BLOCK_EXAMPLES, len(self.ids))
-            a, b = self.first[low], self.first[high]
-            owner = np.repeat(np.arange(high - low), np.diff(self.first[low : high + 1]))
-            scores = np.bincount(owner, query[terms[a:b]] * values[a:b], high - low)
-            out += [(float(scores[p]), low + p) for p in np.flatnonzero(scores).tolist()]
+        self.slope, self.offset = 1.0, 0.0
+        full = [p for p, v in enumerate(vectors) if len(v[0])]
+        near = self.nearest_of([vectors[p] for p in full], leave=full)
+        self.slope, self.offset = fit_logistic(np.array([self._vote(n) for n in near]), self.labels[full])
+        self.empty_share = self._probability([])
+
+    def count(self, text: str) -> Counter:
+        """Occurrences of the terms of a text."""
+        return term_counts(text, self.stems, self.heads)
+
+    def encode(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(term, weight) of the terms that examples have; all terms are in the norm."""
+        get = self.terms.get
+        rows = np.fromiter((get(t, -1) for t in counts), np.int64, len(counts))
+        weight = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.base[rows]
+        known = rows >= 0
+        norm = math.sqrt(float(weight @ weight))
+        return rows[known], weight[known] / norm if norm else weight[known]
+
+    def weights(self, counts: Counter) -> list[tuple[str, float]]:
+        """The same by name."""
+        return list(zip([t for t in counts if t in self.terms], self.encode(counts)[1].tolist()))
+
+    def nearest_of(self, vectors: list, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector the k largest (cosine, place), ties by place, exactly; fewer if fewer share a term. `leave` has a place to pass over."""
+        out, self.scored = [], 0
+        for low in range(0, len(vectors), BATCH_TEXTS):
+            out += self._nearest_batch(vectors[low : low + BATCH_TEXTS], k, leave[low : low + BATCH_TEXTS] if leave else None)
         return out
 
-    def nearest(self, vector, k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, place), ties by place, exactly; fewer if fewer share a term."""
-        known = [(self.terms[t], w) for t, w in self.weights(vector) if t in self.terms]
-        if not known:
-            return []
-        rows, weight = np.array([r for r, _ in known]), np.array([w for _, w in known])
-        bounds = self._sum(self.block_start, self.block_of, self.block_max, rows, weight, self.n_blocks)
-        order = np.argsort(-bounds, kind="stable").tolist()
-        best_of = lambda found: sorted((f for f in found if f[1] != leave), key=lambda f: (-f[0], f[1]))[:k]
-        head = order[:FIRST_BLOCKS]
-        best = best_of(self._blocks(head, rows, weight))
-        least = best[-1][0] - 1e-12 if len(best) == k else 0.0
-        more = [b for b in order[FIRST_BLOCKS:] if bounds[b] > 0 and bounds[b] >= least]
-        if len(more) * 8 < self.n_blocks:
-            return best_of(best + self._blocks(more, rows, weight)) if more else best
+    def _nearest_batch(self, vectors, k, leave):
+        n, width = len(vectors), self.n_blocks * BLOCK_EXAMPLES
+        rows = np.concatenate([v[0] for v in vectors])
+        weight = np.concatenate([v[1] for v in vectors])
+        owner = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
         row = self.row_of[rows]
-        scores = self._sum(self.start, self.places, self.values, rows[row < 0], weight[row < 0], len(self.ids))
-        scores = scores + weight[row >= 0] @ self.dense[row[row >= 0]]
-        at = np.flatnonzero((scores > 0) & (scores >= least))
-        return best_of(zip(scores[at].tolist(), at.tolist()))
+        query = np.zeros((n, self.dense.shape[2]))
+        query[owner[row >= 0], row[row >= 0]] = weight[row >= 0]
+        first, size = self.start[rows], self.start[rows + 1] - self.start[rows]
+        at = _slices(first, size)
+        part = np.bincount(np.repeat(owner, size) * width + self.places[at], self.values[at] * np.repeat(weight, size), n * width)
+        part = part.reshape(n, self.n_blocks, BLOCK_EXAMPLES)
+        bounds = part.max(2) + query @ self.block_max
+        out = []
+        for i in range(n):
+            bound = bounds[i]
+            head = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.n_blocks > FIRST_BLOCKS else np.arange(self.n_blocks)
+            left = -1 if leave is None else leave[i]
+            scores, places = self._scored(head, part[i], query[i], left)
+            least = np.partition(scores, -k)[-k] - 1e-12 if len(scores) >= k else 0.0
+            rest = (bound >= least) & (bound > 0)
+            rest[head] = False
+            if rest.any():
+                more, others = self._scored(np.flatnonzero(rest), part[i], query[i], left)
+                scores, places = np.concatenate([scores, more]), np.concatenate([places, others])
+            best = np.lexsort((places, -scores))[:k]
+            out.append([(float(scores[b]), int(places[b])) for b in best if scores[b] > 0])
+        return out
+
+    def _scored(self, blocks: np.ndarray, part: np.ndarray, query: np.ndarray, leave: int):
+        """(cosines, places) of the examples of some blocks."""
+        self.scored += len(blocks)
+        scores = part[blocks].ravel() + self.dense[blocks].reshape(len(blocks) * BLOCK_EXAMPLES, len(query)) @ query
+        places = (blocks[:, None] * BLOCK_EXAMPLES + np.arange(BLOCK_EXAMPLES)).ravel()
+        real = (places < len(self.ids)) & (places != leave)
+        return scores[real], places[real]
+
+    def nearest(self, vector: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        return self.nearest_of([self.encode(vector)], k)[0]
 
     def _vote(self, near) -> float:
         """Share of the label among the nearest, weighted by squared cosine, drawn to the overall share."""
         weight = sum(c * c for c, _ in near)
         return (sum(c * c * self.labels[p] for c, p in near) + PRIOR_VOTES * self.share) / (weight + PRIOR_VOTES)
 
-    def score(self, vector) -> tuple[float, list[int]]:
-        """(probability, ids of the nearest examples)."""
-        if not vector or not self.n_blocks:
-            return self.empty_share, []
-        near = self.nearest(vector)
+    def _probability(self, near) -> float:
         logit = self.slope * self._vote(near) + self.offset
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [self.ids[p] for _, p in near[:3]]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """(probability, ids of the nearest examples) of each text; without examples one half."""
+        if not self.n_blocks:
+            return [(0.5, [])] * len(texts)
+        near = self.nearest_of([self.encode(self.count(t)) for t in texts])
+        return [(self._probability(n), [self.ids[p] for _, p in n[:3]]) for n in near]
+
+    def score(self, vector: Counter) -> tuple[float, list[int]]:
+        near = self.nearest(vector)
+        return self._probability(near), [self.ids[p] for _, p in near[:3]]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -283,37 +329,30 @@ def labelled_examples(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str
     return sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
 
 
-def _frequency_batches(stems):
-    def rows(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
-        )
-
+def _frequency_batches(shared):
     def run(batches):
-        counts: Counter = Counter()
+        terms, stems = shared.value
+        heads, counts = heads_of(stems), np.zeros(len(terms), np.int64)
         for batch in batches:
             for value in batch.column(0):
-                counts.update(set(words_and_stems(value.as_py() or "", stems)))
-                if len(counts) > FLUSH_TERMS:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+                found = [terms[t] for t in term_counts(value.as_py() or "", stems, heads) if t in terms]
+                counts[found] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["term", "n"])
 
     return run
 
 
-def document_frequencies(docs: DataFrame, stems: frozenset) -> tuple[dict[str, int], int, int]:
-    """(documents by term, number of documents, floor) over all rows of `docs`, for words and the given stems.
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
+    """(documents by term, number of documents) over all rows of `docs`, for the given words and stems.
 
-    At most MAX_COUNTED terms come to the driver, by falling number; `floor` is a number that no other term exceeds, 1 if all terms in two
-    documents or more came.
+    A task sends one number a term, and the driver gets as many as there are terms, which the sample bounds.
     """
-    counted = docs.select("text").mapInArrow(_frequency_batches(stems), "term string, n long")
-    terms = counted.groupBy("term").agg(F.sum("n").alias("n")).where("n > 1")
-    table = terms.orderBy(F.desc("n"), "term").limit(MAX_COUNTED + 1).toArrow()
-    names, numbers = table.column("term").to_pylist(), table.column("n").to_pylist()
-    floor = numbers[-1] if len(numbers) > MAX_COUNTED else 1
-    return {t: n for t, n in zip(names, numbers) if n > floor}, docs.count(), floor
+    place = {t: i for i, t in enumerate(terms)}
+    shared = docs.sparkSession.sparkContext.broadcast((place, frozenset(t for t in terms if t.endswith("*"))))
+    counted = docs.select("text").mapInArrow(_frequency_batches(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    numbers = zip(counted.column("term").to_pylist(), counted.column("n").to_pylist())
+    return {terms[i]: n for i, n in numbers}, docs.count()
 
 
 SCHEMA = "doc_id long, score double, nearest array<long>"
@@ -323,24 +362,21 @@ def _score_batches(shared, keep_rows: bool):
     def run(batches):
         index, known = Index.__new__(Index), {}
         vars(index).update(shared.value)
-        for batch in batches:
-            scores, nearest = [], []
-            for value in batch.column(batch.schema.get_field_index("text")):
-                text = value.as_py() or ""
-                key = hashlib.blake2b(text.encode(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[key] = index.score(index.count(text))
-                score, near = known[key]
-                scores.append(score)
-                nearest.append(near)
-            columns = [batch.column(i) for i in range(batch.num_columns)] if keep_rows else [batch.column(0)]
-            names = batch.schema.names if keep_rows else ["doc_id"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(scores, pa.float64()), pa.array(nearest, pa.list_(pa.int64()))],
-                names=[*names, "score", "nearest"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(low, BATCH_TEXTS)
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+                keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                if len(known) >= CACHE_ENTRIES:
+                    known.clear()
+                new = {key: text for key, text in zip(keys, texts) if key not in known}
+                known.update(zip(new, index.scores(list(new.values()))))
+                columns = [batch.column(i) for i in range(batch.num_columns)] if keep_rows else [batch.column(0)]
+                names = batch.schema.names if keep_rows else ["doc_id"]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([known[k][0] for k in keys], pa.float64()), pa.array([known[k][1] for k in keys], pa.list_(pa.int64()))],
+                    names=[*names, "score", "nearest"],
+                )
 
     return run
 
@@ -348,13 +384,14 @@ def _score_batches(shared, keep_rows: bool):
 def score_toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and ids of up to 3 nearest examples of every row of `docs` (and the columns in `keep`).
 
-    `labelled` holds the texts of the labelled rows; numbers of documents are counted over all of its rows. A null or empty text, like any
-    text without a word, gets the share of the label among such examples (one half if there are no examples at all). Repeated rows are scored
-    each; a null doc_id stays null; other columns are not looked at. Whole texts are read.
+    `labelled` holds the texts of the labelled rows; numbers of documents are counted over all of its rows. A null or empty text, like any text
+    without a word in common with an example, has no neighbours and gets the calibrated overall share of the label (one half if there are no examples at
+    all). Repeated rows are scored each; a null doc_id stays null; other columns are not looked at. Whole texts are read.
     """
     examples = labelled_examples(labelled, labels)
-    stems = frozenset(t for t in telling_terms([(text, label) for _, text, label in examples]) if t.endswith("*"))
-    index = Index(examples, *document_frequencies(labelled, stems)) if examples else Index([])
+    index = Index(examples)
+    if examples:
+        index = Index(examples, *document_frequencies(labelled, list(index.terms)))
     shared = docs.sparkSession.sparkContext.broadcast(vars(index))
     names = ["doc_id", "text", *keep]
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in names[1:]])
@@ -370,5 +407,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return scored.select(
         "doc_id", (F.coalesce(fold(), F.lit(0)) == HELD_OUT_FOLD).alias("held_out"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join(F.col("nearest").cast("array<string>"), ",").alias("evidence"),
     )

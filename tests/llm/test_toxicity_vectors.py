@@ -58,5 +58,36 @@ def test_recall_where_the_bound_of_the_sample_is_reached_and_at_any_share(spark,
 
 
 def test_numbers_of_documents_are_of_all_documents(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["One two", "two TWO three", None, "", "two three"])], "doc_id long, text string")
-    assert toxicity.document_frequencies(docs, frozenset()) == ({"two": 3, "three": 2}, 5, 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["One two", "two TWO three", None, "", "two threefold"])], "doc_id long, text string")
+    terms = ["two", "three", "three*", "none"]
+    assert toxicity.document_frequencies(docs, terms) == ({"two": 3, "three": 1, "three*": 1}, 5)
+
+
+def test_nearest_are_exact_and_most_blocks_are_not_scored():
+    rng = random.Random(11)
+    tongues = [[sentence(rng, 1) + end for _ in range(300)] for end in ("", "en", "os", "ly")]
+    text = lambda t, n: " ".join(rng.choice(tongues[t]) for _ in range(n))
+    examples = [(i, text(i % 4, rng.choice([3, 40, 200])), int(rng.random() < 0.2)) for i in range(1_000)] + [(2_000, "", 0), (2_001, "", 1)]
+    index = toxicity.Index(examples, {"unseen": 1}, 5_000)
+    vectors = []
+    for _, body, _ in examples:
+        rows, weight = index.encode(index.count(body))
+        vectors.append(dict(zip(rows.tolist(), weight.tolist())))
+    place = {i: p for p, i in enumerate(index.ids)}
+    queries = [text(i % 4, 60) + " unseenword" for i in range(200)] + ["", "unseenword"]
+    near = index.nearest_of([index.encode(index.count(q)) for q in queries])
+    for query, found in zip(queries, near):
+        rows, weight = index.encode(index.count(query))
+        cosines = [(sum(w * v.get(r, 0.0) for r, w in zip(rows.tolist(), weight.tolist())), place[examples[i][0]]) for i, v in enumerate(vectors)]
+        best = sorted((c for c in cosines if c[0] > 0), key=lambda c: (-c[0], c[1]))[: toxicity.NEIGHBOURS]
+        assert len(found) == len(best) and all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(found, best))
+    assert near[-1] == near[-2] == []
+    # Blocks of the other tongues are never scored.
+    assert index.scored < 0.5 * index.n_blocks * len(queries)
+
+
+def test_texts_without_words_get_the_overall_share_calibrated():
+    examples = made(2, 300, 0.2) + [(1000 + i, None or "", 1) for i in range(20)]
+    index = toxicity.Index(examples)
+    assert {s for s, _ in index.scores(["", " 12 !", "xqzwv"])} == {index.empty_share}
+    assert index.empty_share < toxicity.THRESHOLD
