@@ -150,102 +150,125 @@ def issue_keywords(issues: DataFrame, max_keywords: int = 20) -> DataFrame:
 # of the text's maximal runs. Ranking therefore works on the distinct runs of each file.
 _RUN = "[a-z0-9_]{3,}"
 _GRAM_MIN, _GRAM_MAX = 3, 5
+# The gram filter has at least so many bits for each bit that is set, and never more than 2**_MOST_BITS (1 MB).
+_BITS_PER_KEY, _LEAST_BITS, _MOST_BITS = 8, 10, 23
 
 
-def file_runs(files: DataFrame) -> DataFrame:
-    """Distinct runs of each file's path and content, once per file and place."""
+class GramFilter:
+    """Bloom filter of what keywords begin with, per repository, as a constant of the plan.
 
-    def runs(text: Column, in_path: bool) -> Column:
-        found = F.array_distinct(X.extract_all(F.lower(text), _RUN, 0))
-        return F.transform(
-            found, lambda r: F.struct(r.alias("run"), F.lit(in_path).alias("in_path"))
+    Holds the repositories with keywords, and of each keyword its first three characters and its
+    first five (all of it, if shorter). It may let through what no keyword begins with, which
+    costs rows in the join that follows, but keeps nothing back. Its size is bounded for any
+    fleet; beyond some 10**5 keywords it lets more through. Runs one job, which brings at most
+    131,072 numbers to the driver.
+    """
+
+    def __init__(self, keywords: DataFrame):
+        repository = self._repository()
+        keys = F.array(
+            repository,
+            self._start_key(F.substring("keyword", 1, _GRAM_MIN), repository),
+            self._gram_key(F.substring("keyword", 1, _GRAM_MAX), repository),
+        )
+        places = F.flatten(F.transform(keys, lambda k: F.array(*self._places(k, _MOST_BITS))))
+        words = keywords.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")
+        )
+        rows = words.collect()
+        n = sum(bin(r["bits"] & (1 << 64) - 1).count("1") for r in rows)
+        self.bits = min(max((n * _BITS_PER_KEY).bit_length(), _LEAST_BITS), _MOST_BITS)
+        # Places are low bits of a hash, so that the filter folds onto itself.
+        folded = [0] * (1 << (self.bits - 6))
+        for r in rows:
+            folded[r["word"] % len(folded)] |= r["bits"]
+        self.literal = F.from_json(F.lit(str(folded)), "array<bigint>")
+
+    @staticmethod
+    def _repository() -> Column:
+        return F.xxhash64("repo_id")
+
+    @staticmethod
+    def _start_key(start: Column, repository: Column) -> Column:
+        return F.xxhash64(start).bitwiseXOR(repository)
+
+    @staticmethod
+    def _gram_key(gram: Column, repository: Column) -> Column:
+        return F.bitwise_not(F.xxhash64(gram).bitwiseXOR(repository))
+
+    @staticmethod
+    def _places(key: Column, bits: int) -> list[Column]:
+        mask = (1 << bits) - 1
+        return [key.bitwiseAND(mask), F.shiftright(key, 32).bitwiseAND(mask)]
+
+    def _holds(self, key: Column) -> Column:
+        def bit(place: Column) -> Column:
+            return F.getbit(F.get(self.literal, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
+
+        first, second = self._places(key, self.bits)
+        return bit(first) & bit(second)
+
+    def asked(self) -> Column:
+        """Whether the row's repository has keywords."""
+        return self._holds(self._repository())
+
+    def grams(self, run: Column, repository: Column) -> Column:
+        """The beginnings of keywords of the row's repository that occur in a run."""
+        begins = F.filter(
+            F.sequence(F.lit(1), F.length(run) - (_GRAM_MIN - 1)),
+            lambda i: self._holds(self._start_key(F.substr(run, i, F.lit(_GRAM_MIN)), repository)),
         )
+        spelled = F.flatten(F.transform(
+            begins, lambda i: F.array(*[F.substr(run, i, F.lit(n)) for n in range(_GRAM_MIN, _GRAM_MAX + 1)])
+        ))
+        return F.filter(F.array_distinct(spelled), lambda g: self._holds(self._gram_key(g, repository)))
 
-    path = F.replace("path", F.lit("\\"), F.lit("/"))
-    both = F.concat(runs(path, True), runs(F.col("content"), False))
-    return files.select("repo_id", "path", F.explode(both).alias("r")).select(
-        "repo_id", "path", "r.run", "r.in_path"
-    )
 
+def keyword_candidates(files: DataFrame, grams: GramFilter) -> DataFrame:
+    """(repo_id, path, in_path, run, gram): the runs of each file in which a keyword may begin.
 
-def _run_grams(run: Column) -> Column:
-    """Every substring of gram length: where a keyword could start."""
-    per_length = [
-        F.when(
-            F.length(run) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substr(run, i, F.lit(n))
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(_GRAM_MIN, _GRAM_MAX + 1)
-    ]
-    return F.array_distinct(F.concat(*per_length))
+    One pass over contents, inside the row. Files of repositories without keywords aren't cut up.
+    """
+
+    def candidates(text: Column, in_path: bool, repository: Column) -> Column:
+        runs = F.array_distinct(X.extract_all(F.lower(text), _RUN, 0))
+        return F.flatten(F.transform(runs, lambda r: F.transform(
+            grams.grams(r, repository), lambda g: F.struct(F.lit(in_path).alias("in_path"), r.alias("run"), g.alias("gram"))
+        )))
+
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    content = F.coalesce("content", F.lit(""))
+    found = X.let(GramFilter._repository(), lambda r: F.concat(candidates(path, True, r), candidates(content, False, r)))
+    return files.select("repo_id", "path", F.inline(F.when(grams.asked(), found)))
 
 
-def keyword_runs(runs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Which run contains which keyword, per repository, on distinct runs and keywords.
+def file_hits(files: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(repo_id, path, hits): the keywords of its repository that occur in each file, and where.
 
-    Equi-join on the keyword's first characters (all of it up to five), then the exact
-    containment test for longer keywords. Grams no keyword starts like are left out before
-    the shuffle, against the keywords' first three characters: a letter and two of 37
-    characters, so at most 35,594 of them in any fleet, which bounds the broadcast.
+    Candidates are joined to keywords on their first characters, then tested for all of them. The
+    hits of a file, (keyword, in_path) in order, are one array, as its text bounds them.
+    `keywords` should be cheap to read.
     """
     vocabulary = keywords.select("repo_id", "keyword").distinct()
-    starts = vocabulary.select(F.substring("keyword", 1, _GRAM_MIN).alias("start")).distinct()
-    spelled = (
-        runs.select("repo_id", "run")
-        .distinct()
-        .select("repo_id", "run", F.explode(_run_grams(F.col("run"))).alias("gram"))
-        .withColumn("start", F.substring("gram", 1, _GRAM_MIN))
-        .join(F.broadcast(starts), "start", "left_semi")
-        .drop("start")
-    )
     keyed = vocabulary.withColumn("gram", F.substring("keyword", 1, _GRAM_MAX))
     return (
-        spelled.join(keyed, ["repo_id", "gram"])
+        keyword_candidates(files, GramFilter(keywords))
+        .join(keyed, ["repo_id", "gram"])
         .where(F.contains("run", "keyword"))
-        .select("repo_id", "run", "keyword")
+        .groupBy("repo_id", "path")
+        .agg(F.array_sort(F.collect_set(F.struct("keyword", "in_path"))).alias("hits"))
     )
 
 
-def file_postings(files: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(repo_id, path, keyword, in_path, in_content) for keywords of the file's repository.
+def representative_files(hits: DataFrame, max_results: int) -> DataFrame:
+    """Files without the surplus of those that match exactly the same keywords.
 
-    Contents never leave the task that reads them; their distinct runs are shuffled. Files
-    are not first joined to the repositories that have issues, as that would shuffle contents.
+    Two files with equal hits score equally for every issue of their repository, so beyond the
+    first `max_results` by path a group of copies can never be listed. The result is unchanged
+    and a large group of copies no longer meets every issue.
     """
-    runs = file_runs(files)
-    return (
-        runs.join(keyword_runs(runs, keywords), ["repo_id", "run"])
-        .groupBy("repo_id", "path", "keyword")
-        .agg(
-            F.max("in_path").alias("in_path"),
-            F.max(~F.col("in_path")).alias("in_content"),
-        )
-    )
-
-
-def representative_postings(postings: DataFrame, max_results: int) -> DataFrame:
-    """Postings without the surplus of files that match exactly the same keywords.
-
-    Two files with equal postings score equally for every issue of their repository, so
-    beyond the first `max_results` by path a group of copies can never be listed. The
-    result is unchanged and a large group of copies no longer meets every issue. Postings
-    are compared by their number and two 64-bit digests.
-    """
-    places = ("keyword", "in_path", "in_content")
-    signature = postings.groupBy("repo_id", "path").agg(
-        F.bit_xor(F.xxhash64(*places)).alias("s1"),
-        F.bit_xor(F.xxhash64(F.lit(1), *places)).alias("s2"),
-        F.count("*").alias("s3"),
-    )
-    w = Window.partitionBy("repo_id", "s1", "s2", "s3").orderBy("path")
-    kept = (
-        signature.withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= max_results)
-        .select("repo_id", "path")
-    )
-    return postings.join(kept, ["repo_id", "path"], "left_semi")
+    w = Window.partitionBy("repo_id", "hits").orderBy("path")
+    return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_results).drop("_n")
 
 
 def score_files(keywords: DataFrame, files: DataFrame) -> DataFrame:
@@ -255,8 +278,9 @@ def score_files(keywords: DataFrame, files: DataFrame) -> DataFrame:
     matched keywords travel as arrays of keyword ranks. This is the whole score
     table; `top_files_per_issue` finds the best files without building it.
     """
-    postings = file_postings(exclude_vendored(files), keywords)
-    pairs = keywords.drop("frequency").join(_terms(postings), ["repo_id", "keyword"])
+    keywords = cut_lineage(keywords)
+    hits = file_hits(exclude_vendored(files), keywords)
+    pairs = keywords.drop("frequency").join(_terms(hits), ["repo_id", "keyword"])
     return _summed(pairs.select(*_contribution()))
 
 
@@ -268,15 +292,9 @@ PAIR = ["repo_id", "number", "path"]
 TERM = ["repo_id", "keyword", "in_path"]
 
 
-def _terms(postings: DataFrame) -> DataFrame:
+def _terms(hits: DataFrame) -> DataFrame:
     """One row per file, keyword and place, with the points a hit there is worth."""
-    in_path = F.when(F.col("in_path"), F.struct(F.lit(True).alias("in_path"), F.lit(2).alias("points")))
-    in_text = F.when(F.col("in_content"), F.struct(F.lit(False).alias("in_path"), F.lit(1).alias("points")))
-    return (
-        postings.select("repo_id", "path", "keyword", F.explode(F.array(in_path, in_text)).alias("t"))
-        .where("t IS NOT NULL")
-        .select("repo_id", "path", "keyword", "t.in_path", "t.points")
-    )
+    return hits.select("repo_id", "path", F.inline("hits")).withColumn("points", F.when(F.col("in_path"), 2).otherwise(1))
 
 
 def _summed(contributions: DataFrame) -> DataFrame:
@@ -309,7 +327,7 @@ def _last_place(top: DataFrame, limit: int) -> DataFrame:
 
 
 def best_files(
-    keywords: DataFrame, postings: DataFrame, limit: int, heavy_term: int = HEAVY_TERM
+    keywords: DataFrame, hits: DataFrame, limit: int, heavy_term: int = HEAVY_TERM
 ) -> DataFrame:
     """The best `limit` files per issue, without pairing issues with heavy posting lists.
 
@@ -321,14 +339,19 @@ def best_files(
     3. For the remaining issues, the best files by heavy hits alone are found once per
        distinct set of heavy terms and offered to the issues with that set. Further ones
        cannot be listed: all of those before them score at least as much.
+
+    Without any heavy term, the light ones are all terms and 2 and 3 have no rows.
     """
-    terms = _terms(postings)
+    terms = _terms(hits)
     heavy = cut_lineage(
         terms.groupBy(*TERM)
         .agg(F.count("*").alias("files"), F.max("points").alias("points"))
         .where(F.col("files") > heavy_term)
         .drop("files")
     )
+    if heavy.isEmpty():
+        pairs = keywords.drop("frequency").join(terms, ["repo_id", "keyword"])
+        return _top(_summed(pairs.select(*_contribution())), ISSUE, limit)
     asked_heavy = keywords.drop("frequency").join(heavy, ["repo_id", "keyword"])
     place = F.when(F.col("in_path"), "/path").otherwise("/content")
     bounds = asked_heavy.groupBy(*ISSUE).agg(
@@ -389,13 +412,13 @@ def top_files_per_issue(
 ) -> DataFrame:
     """Best files per issue by score, then path, with the reason.
 
-    Runs jobs when called: keywords and postings are read by many steps, so their lineage is
-    cut. The plan is the same at every size.
+    Runs jobs when called: keywords and hits are read by many steps, so their lineage is cut.
+    Contents are read once, and only files of repositories with issues leave a row.
     """
     _check_limit("max_results", max_results)
     keywords = cut_lineage(keywords)
-    postings = file_postings(exclude_vendored(files), keywords)
-    kept = cut_lineage(representative_postings(postings, max_results))
+    hits = file_hits(exclude_vendored(files), keywords)
+    kept = cut_lineage(representative_files(hits, max_results))
     best = best_files(keywords, kept, max_results, heavy_term)
     words = keywords.groupBy(*ISSUE).agg(
         F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("words")

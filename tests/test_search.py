@@ -143,3 +143,35 @@ def test_rare_letters_and_long_runs(spark, make_files):
     raw = spark.createDataFrame([("r", 1, "needle", None)], "repo_id string, number bigint, title string, body string")
     top = S.top_files_per_issue(S.issue_keywords(raw), files)
     assert rows(top, "path") == [("a.txt",), ("b.txt",)]
+
+
+def test_one_content_scan_and_no_rows_for_repositories_without_issues(spark, make_files, tmp_path):
+    make_files(
+        ("asked", "src/token.py", "reauthorize the user"), ("asked", "b.py", ""), ("silent", "token.py", "token user authorize" * 50)
+    ).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    raw = spark.createDataFrame([("asked", 1, "authorize token", "users")], "repo_id string, number bigint, title string, body string")
+    keywords = S.issue_keywords(raw)
+    candidates = S.keyword_candidates(files, S.GramFilter(keywords))
+    assert {r.repo_id for r in candidates.collect()} == {"asked"}
+    hits = S.file_hits(files, keywords)
+    assert [(r.path, [tuple(h) for h in r.hits]) for r in hits.collect()] == [
+        ("src/token.py", [("authorize", False), ("token", True)])
+    ]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content#") and plan.count("/files") + plan.count("Relation [repo_id") == 1
+
+
+def test_gram_filter_keeps_nothing_back_at_any_size(spark, make_files, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcxyz_09") for _ in range(rng.randint(3, 9))) for _ in range(400)})
+    words = [w for w in words if w[0].isalpha()]
+    rows_ = [(f"r{i % 7}", i, i, w, 1) for i, w in enumerate(words)]
+    keywords = spark.createDataFrame(rows_, "repo_id string, number bigint, rank int, keyword string, frequency bigint")
+    files = make_files(*[(f"r{r}", "f", " ".join(f"z{w}0" for w in words)) for r in range(7)])
+    expected = {(f"r{i % 7}", w) for i, w in enumerate(words)}
+    for most in (23, 10, 6):
+        monkeypatch.setattr(S, "_MOST_BITS", most)
+        monkeypatch.setattr(S, "_LEAST_BITS", min(most, 10))
+        found = S.file_hits(files, keywords).select("repo_id", "hits.keyword").collect()
+        assert expected <= {(r.repo_id, k) for r in found for k in r.keyword}
