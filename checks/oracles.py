@@ -751,4 +751,5 @@ ORACLES["read_knowledge_docs"] = ORACLES["knowledge_technologies"]
 ORACLES["write_facts"] = """
 SELECT 'pkg' || p_partkey AS repo_id, CASE p_type WHEN 'PROMO' THEN p_name ELSE p_brand END AS name, p_type AS version
 FROM part WHERE p_type <> 'PROMO' OR p_size > 10"""
+ORACLES["compact_facts"] = ORACLES["write_facts"]
 ORACLES["incremental_dependencies"] = ORACLES["extract_dependencies"]

@@ -178,9 +178,8 @@ def read_knowledge_docs(spark, sf):
     )
 
 
-@query
-def write_facts(spark, sf):
-    """Facts of all parts, then replaced for those of one type (some have none left), read back."""
+def _written_facts(spark, sf):
+    """A fact table of all parts, then replaced for those of one type (some have none left)."""
     path = staging_folder(spark, "facts")
     part = K.table(spark, sf, "part")
     facts = part.selectExpr("concat('pkg', p_partkey) AS repo_id", "p_brand AS name", "p_type AS version")
@@ -189,6 +188,20 @@ def write_facts(spark, sf):
         "concat('pkg', p_partkey) AS repo_id", "p_name AS name", "p_type AS version", "p_size"
     )
     writers.write_facts(promo.where("p_size > 10").drop("p_size"), path, promo.select("repo_id"), buckets=16)
+    return path
+
+
+@query
+def write_facts(spark, sf):
+    return writers.read_facts(spark, _written_facts(spark, sf), buckets=16)
+
+
+@query
+def compact_facts(spark, sf):
+    """The same after its batches have become one."""
+    path = _written_facts(spark, sf)
+    writers.compact_facts(spark, path, buckets=16)
+    writers.vacuum_facts(spark, path)
     return writers.read_facts(spark, path, buckets=16)
 
 

@@ -127,6 +127,67 @@ def test_write_facts_replaces_only_named_repositories(spark, tmp_path):
     assert rows(W.read_facts(spark, path, ["b", "q"], buckets=2), "repo_id", "name") == [("b", "w")]
 
 
+def fact_files(path):
+    """Names of the files of each batch."""
+    out = {}
+    for folder, _, names in os.walk(path):
+        if "/facts/batch=" in folder:
+            batch = folder.split("batch=")[1].split("/")[0]
+            out.setdefault(batch, set()).update(f"{folder}/{n}" for n in names if n.endswith(".parquet"))
+    return out
+
+
+def test_a_batch_writes_its_repositories_only_and_a_killed_writer_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "deps")
+
+    def facts(*pairs):
+        return spark.createDataFrame([(r, n, None, "npm", "package.json") for r, n in pairs], S.DEPENDENCIES)
+
+    many = [(f"r{i}", f"x{i}") for i in range(50)]
+    W.write_facts(facts(*many), path, buckets=2)
+    before = fact_files(path)
+    W.write_facts(facts(("r7", "new")), path, buckets=2)
+    after = fact_files(path)
+    assert all(after[b] == names for b, names in before.items())
+    (batch,) = after.keys() - before.keys()
+    written = spark.read.parquet(*after[batch]).where("repo_id IS NOT NULL")
+    assert rows(written, "repo_id", "name") == [("r7", "new")]
+    # Facts are written, repositories are not: the batch doesn't count.
+    expected = rows(W.read_facts(spark, path, buckets=2))
+    half = f"{path}/facts/batch=000000000003-killed"
+    W.write_facts(facts(("r7", "lost"), ("r8", "lost")), str(tmp_path / "other"), buckets=2)
+    os.rename(next(f"{tmp_path}/other/facts/{n}" for n in os.listdir(tmp_path / "other" / "facts")), half)
+    assert rows(W.read_facts(spark, path, buckets=2)) == expected
+    # The next writer is not disturbed by it, and vacuum takes it away.
+    W.write_facts(facts(("r8", "again")), path, buckets=2)
+    found = rows(W.read_facts(spark, path, ["r7", "r8"], buckets=2), "repo_id", "name")
+    assert found == [("r7", "new"), ("r8", "again")]
+    assert W.vacuum_facts(spark, path) == ["000000000003-killed"]
+
+
+def test_compaction_makes_one_batch_and_keeps_readers_and_later_writers_right(spark, tmp_path):
+    path = str(tmp_path / "deps")
+
+    def facts(*pairs):
+        return spark.createDataFrame([(r, n, None, "npm", "package.json") for r, n in pairs], S.DEPENDENCIES)
+
+    gone = spark.createDataFrame([("a",)], "repo_id string")
+    W.write_facts(facts(), path, gone, buckets=2)
+    assert W.read_facts(spark, path, buckets=2).count() == 0
+    for step in range(3):
+        W.write_facts(facts(("a", f"a{step}"), ("b", f"b{step}")), path, buckets=2)
+    W.write_facts(facts(), path, gone, buckets=2)
+    began = W.read_facts(spark, path, buckets=2)
+    W.compact_facts(spark, path, buckets=2)
+    assert len(W.fact_batches(spark, path)) == 1
+    plan = W.read_facts(spark, path, buckets=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert rows(W.read_facts(spark, path, buckets=2), "repo_id", "name") == rows(began, "repo_id", "name") == [("b", "b2")]
+    assert len(W.vacuum_facts(spark, path)) == 5 and W.vacuum_facts(spark, path) == []
+    W.write_facts(facts(("a", "back")), path, buckets=2)
+    assert rows(W.read_facts(spark, path, buckets=2), "repo_id", "name") == [("a", "back"), ("b", "b2")]
+
+
 def test_land_files_allows_pruning(spark, make_files, tmp_path):
     path = str(tmp_path / "files")
     W.land_files(make_files(*PYTHON_REPO, *NODE_REPO), path, partitions=3)
