@@ -99,50 +99,95 @@ def _model(
     )
 
 
-def _body(text: Column, opening: str, closing: str) -> Column:
-    """Text up to the bracket that closes one opened just before it, null when none does."""
-    pieces = F.split(text, rf"(?<=[\{opening}\{closing}])")
-
-    def step(state: Column, piece: Column) -> Column:
-        turn = F.when(piece.endswith(opening), 1).when(piece.endswith(closing), -1).otherwise(0)
-        further = F.struct(
-            (state["depth"] + turn).alias("depth"),
-            (state["length"] + F.length(piece)).alias("length"),
-        )
-        return F.when(state["depth"] == 0, state).otherwise(further)
+# Values that are summed one after the other by appending to an array; longer arrays are cut.
+_RUNNING = 64
+
+
+def _running_sums(values: Column) -> Column:
+    """Sums up to each value of an array of integers, in pieces, so that no long array is copied for each value."""
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
-    length = F.aggregate(pieces, start, step, lambda s: F.when(s["depth"] == 0, s["length"] - 1))
-    return F.substr(text, F.lit(1), length)
+    def appended(part: Column, start: Column) -> Column:
+        def step(state: Column, value: Column) -> Column:
+            total = state["total"] + value
+            return F.struct(F.concat(state["sums"], F.array(total)).alias("sums"), total.alias("total"))
+
+        nothing = F.struct(F.array().cast("array<int>").alias("sums"), start.alias("total"))
+        return F.aggregate(part, nothing, step, lambda s: s["sums"])
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda total, v: total + v))
+        return X.let(
+            appended(totals, F.lit(0)),
+            lambda ends: F.flatten(F.transform(parts, lambda p, k: appended(p, F.coalesce(F.get(ends, k - 1), F.lit(0))))),
+        )
 
+    def cut(whole: Column) -> Column:
+        last = F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / _RUNNING).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(whole, k * _RUNNING + 1, _RUNNING))
 
-def _total_length(texts: Column) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda total, text: total + F.length(text))
+    return X.let(X.let(values, cut), summed)
 
 
 def _blocks(text: Column, header: str, opening: str = "(", closing: str = ")") -> Column:
     """array<struct(name, body)> of the headers, which end with an opening bracket.
 
-    A body mostly ends before the next header, so only the text up to there is folded; the
-    whole rest is folded only for a body that holds a header itself or is never closed. Bodies
-    that are never closed are left out.
+    The text is cut after each bracket and the depth there is summed once. Where brackets and
+    headers are sorted by depth, then place, a header is followed by the bracket that closes it,
+    the first one that leads back to the depth before it. Bodies that are never closed are left out.
     """
 
     def bodies(cut: Column) -> Column:
-        def one(head: Column, i: Column) -> Column:
-            heads, after = F.slice(cut["heads"], F.lit(1), i + 1), F.slice(cut["after"], F.lit(1), i + 1)
-            rest = F.substr(text, _total_length(heads) + _total_length(after) + 1)
+        turn = lambda p: F.when(p.endswith(opening), 1).when(p.endswith(closing), -1).otherwise(0)
+        measured = F.struct(
+            _running_sums(F.transform(cut["pieces"], F.length)).alias("ends"),
+            _running_sums(F.transform(cut["pieces"], turn)).alias("depths"),
+            _running_sums(F.transform(cut["heads"], lambda h, i: F.length(F.get(cut["after"], i)) + F.length(h))).alias("heads"),
+        )
+        return X.let(measured, lambda sums: X.let(levels(cut, sums), lambda found: closed(cut, found)))
+
+    def levels(cut: Column, sums: Column) -> Column:
+        """(depth, piece, head): headers at the depth before them, closing brackets (head -1) at the depth after."""
+        entry = lambda depth, piece, head: F.struct(depth.alias("depth"), piece.alias("piece"), head.alias("head"))
+        mark = lambda at, head, piece: F.struct(at.alias("at"), head.alias("head"), piece.alias("piece"))
+        # A header ends where the piece with its bracket does, so it stands right after that piece.
+        marks = F.array_sort(F.concat(
+            F.transform(sums["ends"], lambda at, i: mark(at, F.lit(-1), i)),
+            F.transform(sums["heads"], lambda at, i: mark(at, i, F.lit(-1))),
+        ))
+        headers = X.let(marks, lambda m: F.transform(
+            F.filter(
+                F.transform(m, lambda x, k: F.struct(x["head"].alias("head"), F.get(m, k - 1)["piece"].alias("piece"))),
+                lambda x: x["head"] >= 0,
+            ),
+            lambda x: entry(F.get(sums["depths"], x["piece"]) - 1, x["piece"], x["head"]),
+        ))
+        closings = F.filter(
+            F.transform(sums["depths"], lambda depth, i: entry(depth, i, F.lit(-1))),
+            lambda e: F.get(cut["pieces"], e["piece"]).endswith(closing),
+        )
+        return F.array_sort(F.concat(headers, closings))
+
+    def closed(cut: Column, found: Column) -> Column:
+        def one(level: Column, k: Column) -> Column:
+            after = F.get(found, k + 1)
+            inside = F.array_join(F.slice(cut["pieces"], level["piece"] + 2, after["piece"] - level["piece"]), "")
+            ends = (level["head"] >= 0) & (after["head"] == -1) & (after["depth"] == level["depth"])
             return F.struct(
-                F.regexp_extract(head, header, 1).alias("name"),
-                F.coalesce(
-                    _body(F.get(cut["after"], i + 1), opening, closing), _body(rest, opening, closing)
-                ).alias("body"),
+                level["head"].alias("head"),
+                F.when(ends, F.substr(inside, F.lit(1), F.length(inside) - 1)).alias("body"),
             )
 
-        return F.filter(F.transform(cut["heads"], one), lambda b: b["body"].isNotNull())
+        kept = F.filter(F.transform(found, one), lambda b: b["body"].isNotNull())
+        return F.transform(F.array_sort(kept), lambda b: F.struct(
+            F.regexp_extract(F.get(cut["heads"], b["head"]), header, 1).alias("name"), b["body"].alias("body")
+        ))
 
-    found = X.extract_all(text, header, 0)
-    return X.let(F.struct(found.alias("heads"), F.split(text, header).alias("after")), bodies)
+    heads = X.extract_all(text, header, 0)
+    cut = F.struct(
+        heads.alias("heads"), F.split(text, header).alias("after"), F.split(text, rf"(?<=[\{opening}\{closing}])").alias("pieces")
+    )
+    none = F.array().cast("array<struct<name: string, body: string>>")
+    return F.when(F.size(heads) > 0, X.let(cut, bodies)).otherwise(none)
 
 
 def _split_reference(reference: Column) -> tuple[Column, Column]:

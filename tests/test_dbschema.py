@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from conftest import rows
 from texts import DB_REPO, DJANGO, NEGATIVE_REPO, PRISMA, SQL, SQLALCHEMY
 
@@ -129,3 +133,42 @@ def test_any_nesting(make_files):
     found = D.schema_tables(D.schema_models(files)).selectExpr("repo_id", "name", "size(columns) n")
     expected = {("r", f"t{n}", 2) for n in depths} | {("r", f"m{n}", 2) for n in depths}
     assert {tuple(r) for r in found.collect()} == expected | {("r", "deep", 40), ("o", "o", 2), ("o", "i", 1)}
+
+
+def bodies_of(text, header, opening="(", closing=")"):
+    """Names and bodies by counting brackets from each header on."""
+    out = []
+    for m in re.finditer(header, text):
+        depth, at = 1, m.end()
+        while at < len(text) and depth:
+            depth += {opening: 1, closing: -1}.get(text[at], 0)
+            at += 1
+        if not depth:
+            out.append((m[1], text[m.end() : at - 1]))
+    return out
+
+
+def test_bodies_equal_counting_from_each_header(spark):
+    rng = random.Random(9)
+    parts = ["T(", "T (", "(", ")", "))", "x", "é漢", "\n", "a, b", "T(x)", ""]
+    texts = ["", "T(", "T()", "T(T(T(a)b)c", ")))T(a)", "T(" * 9 + ")" * 4]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    got = {r.id: [tuple(b) for b in r.b] for r in df.select("id", D._blocks(df.text, r"(T) ?\(").alias("b")).collect()}
+    assert got == {i: bodies_of(t, r"(T) ?\(") for i, t in enumerate(texts)}
+
+
+def test_time_of_many_headers_is_linear(spark, make_files):
+    """5,000 tables, and as many headers of which none is closed, against 1,250."""
+
+    def took(n, closed):
+        text = "\n".join(f"CREATE TABLE t{i} (\n  id INT,\n  v VARCHAR(20)\n{');' if closed else ''}" for i in range(n))
+        models = D.schema_models(make_files(("r", "schema.sql", text)))
+        start = time.time()
+        found = models.count()
+        assert found == (n if closed else 0)
+        return time.time() - start
+
+    for closed in (True, False):
+        took(50, closed)
+        assert took(5_000, closed) < 8 * took(1_250, closed) + 2
