@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ _LOWER[65:91] += 32
 # Texts are worked through in chunks of about this many bytes (a longer text is a chunk of its own), so
 # that the arrays over bytes stay small whatever a batch holds.
 CHUNK_BYTES = 1_000_000
+# Two words of 2,048 letters can be made whose polynomials modulo 2**64 are equal for every odd base; shorter ones differ.
+LONG_WORD_BYTES = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -89,7 +93,8 @@ def words_of(body: np.ndarray, offsets: np.ndarray, members: np.ndarray):
     """Words of some texts, A-Z lower-cased: (text index, start, end, 64-bit hash) of each, in order.
 
     A word is a longest run of bytes in `members`, within one text. Its hash is a polynomial in its
-    bytes, taken from prefix sums, then mixed with its length.
+    bytes, taken from prefix sums, then mixed with its length. Long words, of which different ones can be
+    made to meet in any such polynomial, are hashed one by one.
     """
     lower = _LOWER[body]
     # One byte outside every class between texts.
@@ -106,6 +111,8 @@ def words_of(body: np.ndarray, offsets: np.ndarray, members: np.ndarray):
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(lower)), out=sums[1:])
     back = _powers(_INVERSE, len(lower) + 1)
     hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD_BYTES).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(lower[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return text, starts, ends, hashes
 
 

@@ -15,6 +15,7 @@ from re import _constants as sre
 from re import _parser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,35 +249,26 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     )
 
 
+def redacted(text: str | None, spans, mask: str) -> str | None:
+    """One text with every stretch covered by spans, which are sorted by start, replaced."""
+    if text is None or not len(spans):
+        return text
+    out, end = [], 0
+    for span in spans:
+        # A span that starts inside an earlier one, or where it ends, adds only what lies beyond.
+        if span["start"] > end or not out:
+            out += [text[end : span["start"]], mask]
+        end = max(end, span["end"])
+    return "".join([*out, text[end:]])
+
+
 def redact(text, spans, mask: str = "[SECRET]"):
-    """`text` with every stretch covered by spans replaced by `mask`; `spans` sorted by start."""
-    # Ends so far, by index: a span that starts inside an earlier one adds only what lies beyond.
-    bounds = F.aggregate(
-        spans,
-        F.lit(None).cast("array<struct<start: long, end: long>>"),
-        lambda acc, s: F.when(acc.isNull(), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(
-            F.when(
-                s["start"] <= F.element_at(acc, -1)["end"],
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(
-                        F.element_at(acc, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-                    )),
-                ),
-            ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-        ),
-    )
-    pieces = F.transform(
-        bounds,
-        lambda s, i: F.substring(
-            text,
-            (F.when(i == 0, F.lit(0)).otherwise(F.get(bounds, i - 1)["end"]) + 1).cast("int"),
-            (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(bounds, i - 1)["end"])).cast("int"),
-        ),
-    )
-    tail = F.substring(text, (F.element_at(bounds, -1)["end"] + 1).cast("int"), F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, mask), F.lit(mask), tail))
+    """`text` with every stretch covered by spans replaced by `mask`; `spans` sorted by start. Linear in text and spans."""
+
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([redacted(t, s, mask) for t, s in zip(texts, found)], dtype=object)
+
+    return F.pandas_udf(run, "string")(text, spans)
 
 
 def digest(spans):

@@ -19,6 +19,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +140,11 @@ def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index over labelled examples, and the calibration of their votes.
 
-    A vector holds every word of its text, and so does its norm. `frequency` has the numbers of documents of the examples' terms, `n_docs`
-    that of all documents. Without it, the examples are the documents.
+    A vector holds every word of its text, and so does its norm. `numbers` is asked once for the examples' terms and gives their
+    numbers of documents and that of all documents. Without it, the examples are the documents.
     """
 
-    def __init__(self, examples: list[tuple[int, str, int]], frequency: dict[str, int] | None = None, n_docs: int = 0):
+    def __init__(self, examples: list[tuple[int, str, int]], numbers: Callable[[list[str]], tuple[dict[str, int], int]] | None = None):
         self.factors = telling_terms([(text, label) for _, text, label in examples])
         self.stems = frozenset(t for t in self.factors if t.endswith("*"))
         self.heads = heads_of(self.stems)
@@ -151,8 +152,7 @@ class Index:
         shared: Counter = Counter()
         for c in counts:
             shared.update(c.keys())
-        if frequency is None:
-            frequency, n_docs = shared, len(examples)
+        frequency, n_docs = numbers(list(shared)) if numbers else (shared, len(examples))
         self.terms = {t: i for i, t in enumerate(shared)}
         idf = np.array([math.log((1 + n_docs) / (1 + max(1, frequency.get(t, 0)))) + 1 for t in shared])
         alone = np.array([n == 1 for n in shared.values()], bool)
@@ -389,9 +389,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, keep
     all). Repeated rows are scored each; a null doc_id stays null; other columns are not looked at. Whole texts are read.
     """
     examples = labelled_examples(labelled, labels)
-    index = Index(examples)
-    if examples:
-        index = Index(examples, *document_frequencies(labelled, list(index.terms)))
+    index = Index(examples, lambda terms: document_frequencies(labelled, terms)) if examples else Index([])
     shared = docs.sparkSession.sparkContext.broadcast(vars(index))
     names = ["doc_id", "text", *keep]
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in names[1:]])

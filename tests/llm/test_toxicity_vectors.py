@@ -68,7 +68,7 @@ def test_nearest_are_exact_and_most_blocks_are_not_scored():
     tongues = [[sentence(rng, 1) + end for _ in range(300)] for end in ("", "en", "os", "ly")]
     text = lambda t, n: " ".join(rng.choice(tongues[t]) for _ in range(n))
     examples = [(i, text(i % 4, rng.choice([3, 40, 200])), int(rng.random() < 0.2)) for i in range(1_000)] + [(2_000, "", 0), (2_001, "", 1)]
-    index = toxicity.Index(examples, {"unseen": 1}, 5_000)
+    index = toxicity.Index(examples, lambda terms: ({t: 7 for t in terms}, 5_000))
     vectors = []
     for _, body, _ in examples:
         rows, weight = index.encode(index.count(body))
