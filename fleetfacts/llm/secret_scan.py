@@ -17,6 +17,7 @@ from re import _parser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ class Scanner:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan_batches(rules):
+def _scan_batches(rules, mask):
     def run(batches):
         scanner = Scanner(rules)
         kinds = [rule.kind for rule in rules]
@@ -227,17 +228,24 @@ def _scan_batches(rules):
                 part = offsets[start : end + 1]
                 found = scanner.scan(body[part[0] : part[-1]], part - part[0])
                 spans += [[{"kind": kinds[r], "start": s, "end": e} for s, r, e in row] for row in found]
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(spans, _SPANS)], names=[*batch.schema.names, "spans"]
-            )
+            columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(spans, _SPANS)]
+            names = [*batch.schema.names, "spans"]
+            if mask is not None:
+                texts = batch.column(1)
+                hit = [i for i, found in enumerate(spans) if found]
+                clean = pa.array([redacted(texts[i].as_py(), spans[i], mask) for i in hit], texts.type)
+                columns.append(pc.replace_with_mask(texts, pa.array([bool(found) for found in spans], pa.bool_()), clean) if hit else texts)
+                names.append("clean")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keep: tuple[str, ...] = (), mask: str | None = None
+) -> DataFrame:
     """doc_id, text and the columns in `keep` of every row, and `spans`: kind, start, end in code points, by start and
-    order of rules.
+    order of rules. With `mask`, also `clean`: the text with every stretch covered by spans replaced by it.
 
     A null or empty text has no spans; a null doc_id stays null; repeated rows are scanned each on its own; other
     columns are not looked at. Texts are scanned whole. Nothing is shuffled.
@@ -245,7 +253,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *keep)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in picked.dtypes)
     return picked.mapInArrow(
-        _scan_batches(tuple(rules)), schema + ", spans array<struct<kind: string, start: long, end: long>>"
+        _scan_batches(tuple(rules), mask),
+        schema + ", spans array<struct<kind: string, start: long, end: long>>" + (", clean string" if mask is not None else ""),
     )
 
 

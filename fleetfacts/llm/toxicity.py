@@ -50,7 +50,9 @@ ORDER_DIMENSIONS = 256
 # Pseudo-votes of the overall share: a document without any neighbour gets just that.
 PRIOR_VOTES = 0.5
 BATCH_TEXTS = 128
-CACHE_ENTRIES = 100_000
+# Entries of inverted lists that are summed at once; a bound on a worker's memory.
+BATCH_ENTRIES = 250_000
+CACHE_ENTRIES = 20_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _STEMS = (5, 6, 7)
@@ -212,8 +214,14 @@ class Index:
     def nearest_of(self, vectors: list, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each vector the k largest (cosine, place), ties by place, exactly; fewer if fewer share a term. `leave` has a place to pass over."""
         out, self.scored = [], 0
-        for low in range(0, len(vectors), BATCH_TEXTS):
-            out += self._nearest_batch(vectors[low : low + BATCH_TEXTS], k, leave[low : low + BATCH_TEXTS] if leave else None)
+        entries = np.cumsum([int((self.start[rows + 1] - self.start[rows]).sum()) for rows, _ in vectors])
+        low = 0
+        while low < len(vectors):
+            # Texts whose lists have about so many entries together, at least one text.
+            limit = (entries[low - 1] if low else 0) + BATCH_ENTRIES
+            high = min(max(int(np.searchsorted(entries, limit, side="right")), low + 1), low + BATCH_TEXTS)
+            out += self._nearest_batch(vectors[low:high], k, leave[low:high] if leave else None)
+            low = high
         return out
 
     def _nearest_batch(self, vectors, k, leave):

@@ -28,8 +28,10 @@ def test_no_key_material_is_left_after_redact(spark):
     ]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = secret_scan.find_secrets(rows).select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("clean"))
+    at_once = {r["doc_id"]: r["clean"] for r in secret_scan.find_secrets(rows, mask="[SECRET]").collect()}
     for row in found.collect():
         clean = row["clean"]
+        assert at_once[row["doc_id"]] == clean
         assert "PRIVATE KEY" not in clean and clean.startswith("before") and "[SECRET]" in clean
         source = texts[row["doc_id"]]
         assert clean.endswith("after it") or not source.endswith("after it")
