@@ -1,7 +1,8 @@
 """From raw documents to token ids: toxicity, near copies, benchmark passages, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but the last return the columns
-of documents. Rows with a null or empty text pass every filter; stages say how they treat nulls and repeats.
+of documents. Rows with a null or empty text pass the filters (of toxicity, as long as the overall share of toxic examples, calibrated, is below
+its threshold); rows that share a doc_id are kept or dropped together by near_dedup. Stages say how they treat nulls and repeats.
 """
 
 from __future__ import annotations
@@ -41,9 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by [SECRET] and n_chars counted anew where there were any."""
-    found = secret_scan.find_secrets(docs, keep=_REST)
-    clean = found.withColumn("clean", secret_scan.redact(F.col("text"), F.col("spans")))
-    return clean.select(
+    found = secret_scan.find_secrets(docs, keep=_REST, mask="[SECRET]")
+    return found.select(
         "doc_id", F.col("clean").alias("text"), "lang", "source",
         F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
