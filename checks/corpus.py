@@ -62,6 +62,41 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _file_writer(folder: str):
+    """A task's writing of (repo_id, path, content) as files; a repeated task writes the same files again."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        if folder.startswith("file:") or "://" not in folder:
+            system, root = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        else:
+            system, root = fs.FileSystem.from_uri(folder)
+        made, n = set(), 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                target = f"{root}/{row['repo_id']}/{row['path']}"
+                above = os.path.dirname(target)
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                with system.open_output_stream(target, compression=None) as stream:
+                    stream.write(row["content"].encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return run
+
+
+def write_checkouts(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """Write the documents as checkouts below `folder`, one repository per source; the number of files."""
+    files = document_files(spark, sf_dir).select("repo_id", "path", F.coalesce("content", F.lit("")).alias("content"))
+    return files.mapInArrow(_file_writer(folder), "files BIGINT").agg(F.sum("files")).first()[0]
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host; some below directories that are left out of analysis."""
     return table(spark, sf_dir, "pages").selectExpr(

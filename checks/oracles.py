@@ -41,6 +41,10 @@ ORACLES["decode_strict"] = ORACLES["decode_ignore"] + " WHERE doc_id % 4 <> 0"
 ORACLES["undecodable_files"] = """
 SELECT source AS repo_id, CAST(doc_id AS VARCHAR) AS path, 'content is not valid UTF-8' AS reason
 FROM documents WHERE doc_id % 4 = 0"""
+ORACLES["read_repo_files"] = f"""
+SELECT repo_id, path, CAST(strlen(coalesce(content, '')) AS BIGINT) AS size_bytes,
+  sha256(coalesce(content, '')) AS content_sha256
+FROM {SEEN_DOCS}"""
 ORACLES["exclude_vendored"] = (
     f"SELECT repo_id, path FROM {PAGES} WHERE page_id % 5 > 1 AND page_id % 7 <> 0"
 )

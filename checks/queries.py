@@ -233,6 +233,15 @@ def incremental_dependencies(spark, sf):
 # --- filters and scalar functions ----------------------------------------------------
 
 
+@query
+def read_repo_files(spark, sf):
+    """The documents, written as checkouts and read back."""
+    folder = staging_folder(spark, "checkouts")
+    K.write_checkouts(spark, sf, folder)
+    raw = readers.read_repo_files(spark, folder)
+    return raw.select("repo_id", "path", "size_bytes", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query
 def exclude_vendored(spark, sf):
     return inventory.exclude_vendored(K.page_files(spark, sf)).select("repo_id", "path")

@@ -1,4 +1,4 @@
-"""Readers for files, issues, project documents, session events and test logs."""
+"""Readers for landed files, issues, project documents, session events and test logs."""
 
 from __future__ import annotations
 
@@ -7,33 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetfacts import constants as C
 from fleetfacts import schemas as S
-from fleetfacts.operators.inventory import exclude_vendored
-
-
-def _qualified(spark: SparkSession, root: str) -> str:
-    """A folder's path with scheme and authority, as its file system lists it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return system.makeQualified(path).toString()
-
-
-def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
-    """Checkouts below `root`, one directory per repository, as raw files.
-
-    Paths are relative to the repository: what a listed path has beyond the root as its file
-    system names it. For a large fleet land the files once as Parquet (`land_files`): listing
-    very many small files is the slow part.
-    """
-    base = _qualified(spark, root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
-    files = raw.select(
-        F.substring_index(below, "/", 1).alias("repo_id"),
-        F.regexp_replace(below, "^[^/]*/", "").alias("path"),
-        "content",
-        F.col("length").alias("size_bytes"),
-    )
-    return exclude_vendored(files, match_filename=False)
+from fleetfacts.sources.checkouts import list_repo_files, read_repo_files  # noqa: F401
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

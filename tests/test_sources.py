@@ -3,12 +3,14 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from texts import DB_REPO, NODE_REPO, PYTHON_REPO
 
 from fleetfacts import schemas as S
 from fleetfacts.operators import inventory as V
 from fleetfacts.plans.analyze import analyze_files, write_analysis
 from fleetfacts.plans.contribute import plan_contributions
+from fleetfacts.sources import checkouts as C
 from fleetfacts.sources import readers as R
 from fleetfacts.sources import writers as W
 from fleetfacts.streaming.incremental import start_incremental
@@ -33,6 +35,57 @@ def test_read_repo_files(spark, tmp_path):
     assert rows(V.decode_content(raw), "content") == [("",), ("x\ny",)]
 
 
+def test_listing_enters_no_vendored_directory_and_follows_no_link(spark, tmp_path):
+    root = tmp_path / "build" / "checkouts"
+    repo = root / "one"
+    (repo / ".git").mkdir(parents=True)
+    os.mkfifo(repo / ".git" / "config")  # Opening this would never return.
+    (repo / ".git" / "HEAD").write_text("x")
+    for path, text in {"inside.py": "# inside", "a/b/c.py": "c", "a/dist/d.py": "d", "a/dist.py": "e", "empty": ""}.items():
+        (repo / path).parent.mkdir(parents=True, exist_ok=True)
+        (repo / path).write_text(text)
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "secret.py").write_text("secret")
+    os.symlink(outside / "secret.py", repo / "escaped.py")
+    os.symlink(outside, repo / "escaped")
+    os.symlink(repo / "inside.py", repo / "again.py")
+    os.symlink(repo, repo / "a" / "loop")
+    os.symlink(outside / "absent", repo / "broken")
+    with open(os.fsencode(repo) + b"/\xff.py", "wb") as out:
+        out.write(b"odd")
+    os.symlink(repo, root / "linked")  # A repository may be a link.
+    (root / "beside.py").write_text("of no repository")
+    expected = [("a/b/c.py", "c"), ("a/dist.py", "e"), ("empty", ""), ("inside.py", "# inside"), ("\ufffd.py", "odd")]
+    expected = sorted((r, p, len(t), t.encode()) for r in ("linked", "one") for p, t in expected)
+    dotted = f"{root}/../checkouts"
+    for form in (str(root), dotted):
+        found = R.read_repo_files(spark, form).select("repo_id", "path", "size_bytes", F.col("content").cast("string"))
+        assert sorted((r, p, n, t.encode()) for r, p, n, t in rows(found)) == expected
+
+
+def test_listing_in_rounds_and_large_or_lost_files(spark, tmp_path):
+    root = tmp_path / "checkouts"
+    expected = []
+    for i in range(60):
+        path = f"d{i % 3}/e{i % 5}/f{i % 2}/{i}.txt"
+        target = root / f"repo{i % 4}" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("x" * i)
+        expected.append((f"repo{i % 4}", path, i))
+    for most in (1, 7, 10_000):
+        listed = R.list_repo_files(spark, str(root), walk_entries=most)
+        assert rows(listed, "repo_id", "path", "size_bytes") == sorted(expected, key=lambda t: tuple(map(str, t)))
+    (root / "repo0" / "d0/e0/f0/0.txt").unlink()
+    read = {p: (n, c) for _, p, n, c in rows(C.read_listed(listed, str(root), max_bytes=50), "repo_id", "path", "size_bytes", "content")}
+    assert len(read) == 60 and read["d0/e0/f0/0.txt"] == (0, None)
+    assert [n for n, c in read.values() if c is None and n > 50] and all(c is None for n, c in read.values() if n > 50)
+    assert all(bytes(c) == b"x" * n for n, c in read.values() if 0 < n <= 50)
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert R.read_repo_files(spark, str(empty)).count() == 0
+
+
 def test_read_issues(spark, tmp_path):
     path = write_lines(
         tmp_path / "issues.json",
