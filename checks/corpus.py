@@ -97,6 +97,20 @@ def write_checkouts(spark: SparkSession, sf_dir: str, folder: str) -> int:
     return files.mapInArrow(_file_writer(folder), "files BIGINT").agg(F.sum("files")).first()[0]
 
 
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, repo_id, needle): every fourth run of three words of each benchmark text, asked of all or of one repository."""
+    starts = "sequence(1, greatest(size(words) - 2, 1), 4)"
+    return (
+        table(spark, sf_dir, "benchmark").selectExpr("item_id", "split(text, '[ \\n]+') AS words")
+        .selectExpr("item_id", "words", f"explode({starts}) AS p")
+        .selectExpr(
+            "CAST(item_id * 10000 + p AS INT) AS query_id",
+            "if(item_id % 3 = 0, null, concat('src', item_id % 10)) AS repo_id",
+            "array_join(slice(words, p, 3), ' ') AS needle",
+        )
+    )
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host; some below directories that are left out of analysis."""
     return table(spark, sf_dir, "pages").selectExpr(

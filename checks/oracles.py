@@ -388,12 +388,19 @@ NEEDLES = (
 )
 
 
-def _matches(files: str) -> str:
+PHRASES = """(
+  SELECT CAST(item_id * 10000 + p AS INTEGER) AS query_id, CASE WHEN item_id % 3 <> 0 THEN 'src' || (item_id % 10) END AS repo,
+    lower(array_to_string(words[p:p + 2], ' ')) AS needle
+  FROM (SELECT item_id, words, unnest(generate_series(1, greatest(len(words) - 2, 1), 4)) AS p
+    FROM (SELECT item_id, string_split_regex(text, '[ \\n]+') AS words FROM benchmark))) q"""
+
+
+def _matches(files: str, queries: str = NEEDLES) -> str:
     return f"""(
   SELECT repo_id, query_id, path, line, text FROM (
     SELECT repo_id, path, unnest(parts) AS text, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line
     FROM (SELECT repo_id, path, string_split(content, chr(10)) AS parts FROM {files})) l
-  JOIN {NEEDLES} ON (repo IS NULL OR repo = repo_id) AND contains(lower(text), needle))"""
+  JOIN {queries} ON (repo IS NULL OR repo = repo_id) AND contains(lower(text), needle))"""
 
 
 def _limited(files: str, n: int) -> str:
@@ -404,6 +411,8 @@ def _limited(files: str, n: int) -> str:
 
 ORACLES["code_search"] = f"""
 SELECT *, count(*) OVER (PARTITION BY repo_id, query_id) >= 50 AS truncated FROM {_limited(SEEN_DOCS, 50)}"""
+ORACLES["search_queries"] = f"SELECT * FROM {_matches(SEEN_DOCS, PHRASES)}"
+ORACLES["search_queries_first_matches"] = ORACLES["code_search"]
 ORACLES["code_search_all"] = f"""
 SELECT repo_id, query_id, path, count(*) AS matches, min(line) AS first_line
 FROM {_matches(SEEN_DOCS)} GROUP BY repo_id, query_id, path"""

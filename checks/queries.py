@@ -16,6 +16,7 @@ from fleetfacts.operators import (
     imports,
     inventory,
     issues,
+    needles,
     overview,
     planning,
     search,
@@ -574,6 +575,18 @@ def code_search_first_matches(spark, sf):
     return search.code_search(K.document_files(spark, sf), NEEDLES[:2], max_matches=5)
 
 
+@query
+def search_queries(spark, sf):
+    """Three-word phrases of all benchmark texts, asked of all documents or of those of one source."""
+    return needles.search_queries(K.document_files(spark, sf), K.search_queries(spark, sf)).drop("truncated")
+
+
+@query
+def search_queries_first_matches(spark, sf):
+    asked = spark.createDataFrame(NEEDLES, "query_id INT, repo_id STRING, needle STRING")
+    return needles.search_queries(K.document_files(spark, sf), asked, max_matches=50)
+
+
 @query
 def extract_keywords(spark, sf):
     turns = K.table(spark, sf, "conversations")

@@ -21,6 +21,21 @@ def search_scope(files: DataFrame) -> DataFrame:
     return exclude_vendored(files, match_filename=False)
 
 
+def first_matches(matches: DataFrame, max_matches: int | None) -> DataFrame:
+    """All matches, or the first ones per repository and query by (path, line)."""
+    _check_limit("max_matches", max_matches)
+    if max_matches is None:
+        return matches.withColumn("truncated", F.lit(False))
+    group = Window.partitionBy("repo_id", "query_id")
+    kept = matches.withColumn(
+        "_n", F.row_number().over(group.orderBy("path", "line"))
+    ).where(F.col("_n") <= max_matches)
+    truncated = F.count("*").over(group) >= max_matches
+    return kept.withColumn("truncated", truncated).select(
+        "repo_id", "query_id", "path", "line", "text", "truncated"
+    )
+
+
 def code_search(
     files: DataFrame,
     queries: list[tuple[int, str | None, str]],
@@ -29,7 +44,7 @@ def code_search(
     """Lines containing each needle, ignoring case.
 
     `queries` is (query_id, repo_id or None for all, needle): a list of literals, so it is
-    part of the plan instead of a joined table. A file is opened up into lines once, and only
+    part of the plan instead of a joined table (`needles.search_queries` takes a table). A file is opened up into lines once, and only
     if some needle occurs in it; its lines are tried for those needles. Only matching lines
     leave the expression. All matches are returned unless `max_matches`
     asks for the first ones per repository and query by (path, line); up to
@@ -37,7 +52,6 @@ def code_search(
     """
     if not queries:
         raise ValueError("at least one query is expected")
-    _check_limit("max_matches", max_matches)
     literals = F.array(
         *[
             F.struct(
@@ -71,16 +85,7 @@ def code_search(
         .select("repo_id", "path", "line", "text", F.explode("found").alias("q"))
         .select("repo_id", "q.query_id", "path", "line", "text")
     )
-    if max_matches is None:
-        return matches.withColumn("truncated", F.lit(False))
-    group = Window.partitionBy("repo_id", "query_id")
-    kept = matches.withColumn(
-        "_n", F.row_number().over(group.orderBy("path", "line"))
-    ).where(F.col("_n") <= max_matches)
-    truncated = F.count("*").over(group) >= max_matches
-    return kept.withColumn("truncated", truncated).select(
-        "repo_id", "query_id", "path", "line", "text", "truncated"
-    )
+    return first_matches(matches, max_matches)
 
 
 # --- keywords ------------------------------------------------------------------------

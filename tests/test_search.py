@@ -3,6 +3,7 @@ import random
 from conftest import rows
 
 from fleetfacts import constants as C
+from fleetfacts.operators import needles as N
 from fleetfacts.operators import search as S
 
 
@@ -33,6 +34,47 @@ def test_code_search_truncates(make_files):
     assert limited.count() == 61
 
 
+def _all_lines(files, queries):
+    """Every line tried for every needle."""
+    return sorted(
+        (repo, query_id, path, i + 1, line)
+        for repo, path, text in files
+        for i, line in enumerate(text.removesuffix("\n").split("\n"))
+        for query_id, asked, needle in queries
+        if needle is not None and asked in (None, repo) and needle.lower() in line.lower()
+    )
+
+
+def test_search_queries_equal_every_line_tried(spark, make_files, monkeypatch):
+    draw = random.Random(5)
+    alphabet = "abAB é\u0416.\n"
+    texts = [("r" + str(i % 3), f"{i}.py", "".join(draw.choice(alphabet) for _ in range(draw.choice([0, 1, 5, 60, 400])))) for i in range(60)]
+    texts += [("r0", "long.py", "x" * 5_000 + "abcabcabcd" + "y" * 5_000 + "\n"), ("r1", "ends.py", "ab\n\n")]
+    needles = ["", "a", "é", "ж", "ab", "AB ", "abab", "aB b. a", "abcabcabcd", "xxxxxxxxxa", "zzzz", "a\nb", None]
+    needles += ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 12))) for _ in range(150)]
+    asked = [(i, draw.choice([None, "r0", "r1", "r9"]), n) for i, n in enumerate(needles)] + [(900, None, "ab"), (900, "r0", "ab")]
+    asked.append((901, None, ""))
+    queries = spark.createDataFrame(asked, "query_id int, repo_id string, needle string")
+    expected = _all_lines(texts, asked)
+    assert len(expected) > 1_000
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(N, "_BLOCK", block)
+        found = N.search_queries(make_files(*texts), queries)
+        assert sorted(tuple(r)[:5] for r in found.collect()) == expected
+
+
+def test_search_queries_hold_as_many_needles_as_there_are(spark, make_files):
+    files = make_files(*[("r", f"{i}.py", f"begin\nkey_{i:06d} and_{i:06d}\nend") for i in range(300)], ("r", "dist/a.py", "key_000001"))
+    queries = spark.range(100_000).selectExpr("CAST(id AS INT) AS query_id", "CAST(null AS STRING) AS repo_id", "format_string('KEY_%06d', id) AS needle")
+    found = N.search_queries(files, queries)
+    assert len(found._jdf.queryExecution().logical().toString()) < 20_000
+    assert rows(found, "query_id", "path", "line") == sorted([(i, f"{i}.py", 2) for i in range(300)], key=lambda t: tuple(map(str, t)))
+    first = N.search_queries(files, queries.limit(5).selectExpr("query_id", "repo_id", "'d' AS needle"), max_matches=3)
+    assert first.count() == 15 and all(r.truncated for r in first.collect())
+    for empty in (N.search_queries(files, queries.where("false")), N.search_queries(files.where("false"), queries)):
+        assert empty.count() == 0
+
+
 def keywords_of(text, limit=20):
     """The rule, restated: words by frequency, then first position."""
     words, word = [], ""
