@@ -2,8 +2,9 @@
 
 Method: patterns of high recall propose spans, which may overlap. Validated base spans are always kept. The other candidates are
 scored by gradient-boosted trees over small integer features of format (digits, separators, letters) and context (words
-and characters around); those above a calibrated threshold are added. The trees learn to tell candidates that hold
-a validated span from the rest. Features are small integers, so the training set is a table of counts per combination of
+and characters around); those above a threshold calibrated for their generator are added. The trees learn to tell examples from the
+rest: candidates that, once their writing is normalised (`[at]`, `[dot]`, missing country code), are an address or a number of the
+usual form, whether or not a base pattern finds anything in them. Features are small integers, so the training set is a table of counts per combination of
 features: it is counted over all documents, is bounded by the features' ranges whatever the data, and the trees are
 fitted to it on the driver. Trees become column expressions.
 """
@@ -171,35 +172,90 @@ def _base_spans(kind: str) -> Column:
     )
 
 
+# What a candidate must be once its writing is normalised to be an example of personal data: an address whose name ends in
+# letters, or a national number of area and two groups (with `+` it is of the base kind) or of three, two and four digits.
+PLAIN_ADDRESS = r"^[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,}+$"
+PLAIN_NUMBER = r"^(?:(?=.*[^0-9])\(?[0-9]{2,5}\)?[ .-]{0,2}[0-9]{3,4}[ .-]?[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+
+
+def _example(kind: str, value: Column) -> Column:
+    """Whether a candidate is an example of personal data, whatever the base patterns find in it."""
+    if kind == "number_like":
+        national = value.rlike(PLAIN_NUMBER) & F.length(digits_of(value)).between(9, 11)
+        return national | (F.startswith(value, F.lit("+")) & valid("phone", value))
+    plain = F.regexp_replace(F.regexp_replace(value, r"(?i) ?[\[(]at[\])] ?", "@"), r"(?i) ?[\[(]dot[\])] ?", ".")
+    return F.regexp_replace(plain, r"[.!?]+$", "").rlike(PLAIN_ADDRESS)
+
+
 def _candidates(kind: str) -> Column:
     rank = KINDS.index(kind)
     return F.transform(
         kind,
         lambda c: F.struct(
             c["start"].alias("start"), F.lit(rank).alias("rank"), c["end"].alias("end"),
-            features(rank - len(BASE_KINDS), c).alias("f"),
-            F.exists("base", lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"])).alias("holds"),
-            F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])).alias("covered"),
+            features(rank - len(BASE_KINDS), c).alias("f"), _example(kind, c["value"]).alias("holds"),
         ),
     )
 
 
+def running(values: Column, widest, start: int) -> Column:
+    """The greatest (or least) value up to each place; block by block, so that long arrays cost no square."""
+    ints = lambda: F.array().cast("array<int>")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    )
+    scanned = F.transform(blocks, lambda block: F.aggregate(
+        block, ints(), lambda acc, v: F.concat(acc, F.array(widest(v, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(start)))))
+    ))
+    last = lambda block: F.element_at(block, -1)
+    above = F.aggregate(
+        scanned, F.struct(F.lit(start).alias("at"), ints().alias("all")),
+        lambda acc, block: F.struct(widest(acc["at"], last(block)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+    merged = F.flatten(F.zip_with(scanned, above, lambda block, before: F.transform(block, lambda v: widest(v, before))))
+    return F.when(F.size(values) > 0, merged).otherwise(ints())
+
+
+_EVENT = "array<struct<start: int, candidate: boolean, end: int, rank: int, f: struct<{}>, holds: boolean>>"
+
+
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (rank, start, end of validated spans) and candidates (rank, start, end, f, holds) of every row.
+    """doc_id, base (rank, start, end of validated spans) and candidates (rank, start, end, f, holds, covered) of every row.
 
-    `holds` says whether a base span lies in the candidate. A null text is empty and has none.
+    `holds` says whether the candidate, its writing normalised, is an example of personal data; `covered`, whether a base span
+    touches it. Spans and candidates are put in order once and swept from both ends. A null text is empty and has none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     patterns = {**BASE_PATTERNS, **CANDIDATE_PATTERNS}
     rows = rows.select("doc_id", *[matches(F.col("text"), patterns[name], GATES[name]).alias(name) for name in KINDS])
     rows = rows.select("doc_id", *[placed(F.col(name)).alias(name) for name in KINDS])
-    rows = rows.withColumn("base", F.array_sort(F.concat(*map(_base_spans, BASE_KINDS))))
-    candidates = F.concat(*map(_candidates, CANDIDATE_PATTERNS))
-    return rows.select("doc_id", "base", candidates.alias("candidates"))
+    base = F.array_sort(F.concat(*map(_base_spans, BASE_KINDS)))
+    rows = rows.select("doc_id", base.alias("base"), F.concat(*map(_candidates, CANDIDATE_PATTERNS)).alias("candidates"))
+    event = _EVENT.format(", ".join(f"{name}: int" for name in FEATURES))
+    spans = F.transform("base", lambda b: F.struct(
+        b["start"], F.lit(False), b["end"], b["rank"], F.lit(None).cast(f"struct<{', '.join(f'{n}: int' for n in FEATURES)}>"), F.lit(None).cast("boolean"),
+    )).cast(event)
+    tried = F.transform("candidates", lambda c: F.struct(c["start"], F.lit(True), c["end"], c["rank"], c["f"], c["holds"])).cast(event)
+    rows = rows.select("doc_id", "base", F.array_sort(F.concat(spans, tried)).alias("events"))
+    least = (1 << 31) - 1
+    ends = F.transform("events", lambda e: F.when(e["candidate"], 0).otherwise(e["end"]))
+    starts = F.transform(F.reverse("events"), lambda e: F.when(e["candidate"], least).otherwise(e["start"]))
+    rows = rows.select("doc_id", "base", "events", ends.alias("ends"), starts.alias("starts"))
+    rows = rows.select(
+        "doc_id", "base", "events", running(F.col("ends"), F.greatest, 0).alias("reach"),
+        F.reverse(running(F.col("starts"), F.least, least)).alias("next"),
+    )
+    around = F.zip_with("reach", "next", lambda reach, following: F.struct(reach.alias("reach"), following.alias("next")))
+    swept = F.zip_with("events", around, lambda e, a: F.struct(
+        e["start"].alias("start"), e["rank"].alias("rank"), e["end"].alias("end"), e["f"].alias("f"), e["holds"].alias("holds"),
+        ((a["reach"] > e["start"]) | (a["next"] < e["end"])).alias("covered"), e["candidate"].alias("candidate"),
+    ))
+    return rows.select("doc_id", "base", F.filter(swept, lambda c: c["candidate"]).alias("candidates"))
 
 
 ROUNDS, DEPTH, RATE = 24, 2, 0.3
-# Added spans must come from scores at which this share of the training candidates holds a validated span.
+# Added spans must come from scores at which this share of the generator's candidates are examples.
 PRECISION = 0.95
 
 
@@ -235,11 +291,7 @@ def _value(tree, x) -> float:
 
 
 def fit(cells: list[tuple[tuple[int, ...], int, int]]):
-    """(offset, trees, threshold) from cells (features, candidates that hold a span, others).
-
-    The threshold is the lowest score from which on, upwards, PRECISION of the candidates hold one; infinite if
-    there is none.
-    """
+    """(offset, trees, threshold) from cells (features, candidates that are examples, others); the threshold is that of all cells."""
     held, others = sum(c[1] for c in cells), sum(c[2] for c in cells)
     if not held:
         return 0.0, [], math.inf
@@ -253,15 +305,29 @@ def fit(cells: list[tuple[tuple[int, ...], int, int]]):
         tree = _grow(rows, DEPTH)
         trees.append(tree)
         scores = [s + _value(tree, c[0]) for s, c in zip(scores, cells)]
+    return offset, trees, threshold_of(cells, scores)
+
+
+def threshold_of(cells, scores: list[float]) -> float:
+    """The lowest score from which on, upwards, PRECISION of the candidates are examples; infinite if there is none."""
     threshold, yes, total = math.inf, 0, 0
     order = sorted(range(len(cells)), key=lambda i: -scores[i])
     for place, i in enumerate(order):
         yes += cells[i][1]
         total += cells[i][1] + cells[i][2]
         last = place + 1 == len(order) or scores[order[place + 1]] < scores[i]
-        if last and yes >= PRECISION * total:
+        if last and yes and yes >= PRECISION * total:
             threshold = scores[i]
-    return offset, trees, threshold
+    return threshold
+
+
+def thresholds(cells, offset: float, trees: list) -> list[float]:
+    """A threshold for each generator, calibrated on its own candidates."""
+    out = []
+    for generator in range(FEATURES["generator"]):
+        own = [c for c in cells if c[0][0] == generator]
+        out.append(threshold_of(own, [offset + sum(_value(t, c[0]) for t in trees) for c in own]))
+    return out
 
 
 def tree_column(tree, f: Column) -> Column:
@@ -274,9 +340,9 @@ def tree_column(tree, f: Column) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (start, rank in KINDS, end; sorted) of every row; `spans` holds the base and added ones.
 
-    Added spans are candidates above the threshold that no base span touches. Null and empty texts have no spans; a
+    Added spans are candidates from their generator's threshold on that no base span touches. Null and empty texts have no spans; a
     null doc_id stays null; repeated rows are searched each; columns other than doc_id and text are not looked at.
-    Whole texts are searched, in time linear in their length. The candidates are a written table, read twice.
+    Whole texts are searched; the time grows faster than linearly with the number of spans in one text. The candidates are a written table, read twice.
     """
     found = cut_lineage(find_candidates(docs), "candidates")
     counted = (
@@ -284,11 +350,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         .agg(F.count_if("c.holds").alias("yes"), F.count_if(~F.col("c.holds")).alias("no"))
     )
     cells = sorted((tuple(row[name] for name in FEATURES), row["yes"], row["no"]) for row in counted.collect())
-    offset, trees, threshold = fit(cells)
+    offset, trees, _ = fit(cells)
     added = F.array().cast("array<struct<start: int, rank: int, end: int>>")
-    if math.isfinite(threshold):
+    least = thresholds(cells, offset, trees)
+    if any(map(math.isfinite, least)):
         score = lambda c: reduce(lambda a, t: a + tree_column(t, c["f"]), trees, F.lit(offset))
-        kept = F.filter("candidates", lambda c: ~c["covered"] & (score(c) >= threshold - 1e-9))
+        asked = F.array(*[F.lit(t - 1e-9) for t in least])
+        kept = F.filter("candidates", lambda c: ~c["covered"] & (score(c) >= F.get(asked, c["f"]["generator"])))
         added = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
