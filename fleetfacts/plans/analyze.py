@@ -11,24 +11,31 @@ from fleetfacts.sources.writers import BUCKETS, write_facts
 SCHEMA_TABLES = {"schema_tables", "schema_columns", "schema_relationships"}
 
 
-def analyze_files(files: DataFrame, models: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Lazy fact tables of a decoded file table.
+def analyze_files(
+    files: DataFrame, models: DataFrame | None = None, tables: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """Lazy fact tables of a decoded file table, all or the named ones.
 
     Each is its own branch of the same scan; filters and columns differ per branch, so they
     are pushed to the scan separately and nothing is cached. `models` are the parsed schema
-    models of the files, where they are already there.
+    models of the files, where they are already there. The plan of the parsers is large, so it
+    is built only for tables that need it.
     """
-    models = dbschema.schema_models(files) if models is None else models
-    tables = dbschema.schema_tables(models)
-    return {
-        "file_inventory": inventory.file_inventory(files),
-        "technologies": technologies.detect_technologies(files),
-        "dependencies": dependencies.extract_dependencies(files),
-        "import_edges": imports.import_edges(files),
-        "schema_tables": tables.drop("columns"),
-        "schema_columns": dbschema.schema_columns(tables),
-        "schema_relationships": dbschema.schema_relationships(models),
+    facts = {
+        "file_inventory": lambda: inventory.file_inventory(files),
+        "technologies": lambda: technologies.detect_technologies(files),
+        "dependencies": lambda: dependencies.extract_dependencies(files),
+        "import_edges": lambda: imports.import_edges(files),
     }
+    if tables is None or SCHEMA_TABLES & set(tables):
+        models = dbschema.schema_models(files) if models is None else models
+        found = dbschema.schema_tables(models)
+        facts |= {
+            "schema_tables": lambda: found.drop("columns"),
+            "schema_columns": lambda: dbschema.schema_columns(found),
+            "schema_relationships": lambda: dbschema.schema_relationships(models),
+        }
+    return {name: fact() for name, fact in facts.items() if tables is None or name in tables}
 
 
 def write_analysis(
@@ -46,6 +53,5 @@ def write_analysis(
     models = None
     if tables is None or SCHEMA_TABLES & set(tables):
         models = cut_lineage(dbschema.schema_models(files), "models")
-    for name, facts in analyze_files(files, models).items():
-        if tables is None or name in tables:
-            write_facts(facts, f"{out_dir.rstrip('/')}/{name}", repos, buckets)
+    for name, facts in analyze_files(files, models, tables).items():
+        write_facts(facts, f"{out_dir.rstrip('/')}/{name}", repos, buckets)

@@ -182,5 +182,7 @@ def read_facts(
     facts = asked(_read_part(spark, path, "facts", batches))
     if len(batches) > 1:
         newest = asked(_read_part(spark, path, "repos", batches)).groupBy("repo_id").agg(F.max("batch").alias("batch"))
+        # One row a repository, which is a small broadcast for named repositories only.
+        newest = newest if repo_ids is not None else newest.hint("merge")
         facts = facts.join(newest, ["repo_id", "batch"], "left_semi")
     return facts.drop("batch", bucket)

@@ -18,12 +18,18 @@ from fleetfacts.plans.staging import cut_lineage
 from fleetfacts.sources.writers import BUCKETS, bucket_column, repo_bucket
 
 
+# Above so many touched repositories they are joined by a shuffle: a table of short names looks small when
+# written, but one that is broadcast lies unpacked in the driver's memory.
+MANY_REPOS = 50_000
+
+
 def current_files(landed: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """The newest row of each file (of some repositories), without files whose newest row deletes them.
 
     `landed` is read from Parquet with the columns of LANDED_FILES. The highest version is the
     newest, a missing one being the lowest; among equal versions the row landed last. The choice
-    is made on keys, so no content is read for rows that have been replaced.
+    is made on keys, so no content is read for rows that have been replaced. The chosen places, one
+    per file, are joined by a shuffle at any number, never through the driver.
     """
     rows = landed.select(
         "repo_id",
@@ -35,9 +41,10 @@ def current_files(landed: DataFrame, repos: DataFrame | None = None) -> DataFram
         F.struct("version", F.col("_metadata.file_modification_time").alias("at")).alias("age"),
     )
     if repos is not None:
-        rows = rows.join(repos, "repo_id", "left_semi")
+        many = repos.limit(MANY_REPOS + 1).count() > MANY_REPOS
+        rows = rows.join(repos.hint("merge") if many else repos, "repo_id", "left_semi")
     newest = rows.groupBy("repo_id", "path").agg(F.max_by("place", F.struct("age", "place")).alias("place"))
-    kept = rows.join(newest.select("place"), "place").where("NOT deleted")
+    kept = rows.join(newest.select("place").hint("merge"), "place").where("NOT deleted")
     return kept.select("repo_id", "path", "content", "size_bytes")
 
 
