@@ -134,7 +134,7 @@ def knowledge_rejects(spark, sf):
 @query
 def read_issues(spark, sf):
     path = staging_folder(spark, "issues")
-    K.order_issues(spark, sf).write.json(path)
+    K.order_issues(spark, sf).write.json(path, compression="gzip")
     opened = issues.drop_pull_requests(readers.read_issues(spark, path))
     return opened.select("repo_id", "number", "comments", "html_url")
 
@@ -142,7 +142,7 @@ def read_issues(spark, sf):
 @query
 def read_test_logs(spark, sf):
     path = staging_folder(spark, "logs")
-    K.test_logs(spark, sf).write.json(path)
+    K.test_logs(spark, sf).write.json(path, compression="gzip")
     return readers.read_test_logs(spark, path).withColumn("output", F.length("output"))
 
 
@@ -154,7 +154,7 @@ def issue_rejects(spark, sf):
     repo = F.when(key % 17 != 0, F.col("repo_id"))
     text = K.order_issues(spark, sf).withColumn("repo_id", repo).select("number", F.to_json(F.struct("*")).alias("json"))
     cut = F.when(key % 13 == 0, F.substring("json", 1, 40)).otherwise(F.col("json"))
-    text.select(cut.alias("json")).write.text(path)
+    text.select(cut.alias("json")).write.text(path, compression="gzip")
     return readers.read_rejects(spark, path, "issues").groupBy("reason").agg(F.count("*").alias("records"))
 
 
@@ -163,7 +163,7 @@ def read_session_events(spark, sf):
     path = staging_folder(spark, "events")
     exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     events = K.session_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.option("timestampFormat", exact).json(path)
+    events.write.option("timestampFormat", exact).json(path, compression="gzip")
     events = readers.read_session_events(spark, path)
     return events.select(
         "session_id", "event", F.unix_micros("ts").alias("micros"), F.array_join("changed_files", "|").alias("changed_files")
@@ -173,7 +173,7 @@ def read_session_events(spark, sf):
 @query
 def read_knowledge_docs(spark, sf):
     path = staging_folder(spark, "docs")
-    _knowledge_text(spark, sf).write.text(path)
+    _knowledge_text(spark, sf).write.text(path, compression="gzip")
     return readers.knowledge_tables(readers.read_knowledge_docs(spark, path))["technologies"].select(
         "repo_id", "name", "source", "confidence"
     )
