@@ -42,10 +42,18 @@ def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def contains_word(text: Column, word: str) -> Column:
+    """As `contains`, for long texts: a pattern that is a literal skips by its length."""
+    return text.rlike("".join(c if c.isalnum() or c == " " else "\\" + c for c in word))
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
+    """Some word occurs. Words that hold another of them cannot change that and are left out."""
+    words = list(dict.fromkeys(words))
     found = F.lit(False)
     for word in words:
-        found = found | text.contains(word)
+        if not any(other != word and other in word for other in words):
+            found = found | contains_word(text, word)
     return found
 
 

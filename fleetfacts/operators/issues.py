@@ -80,14 +80,14 @@ def issue_reasons(
 def complex_topics(low_body: Column) -> Column:
     """Words of complex topics in a lower-case body, in reporting order."""
     return F.array_compact(
-        F.array(*[F.when(low_body.contains(w), F.lit(w)) for w in C.COMPLEX_BODY_WORDS])
+        F.array(*[F.when(X.contains_word(low_body, w), F.lit(w)) for w in C.COMPLEX_BODY_WORDS])
     )
 
 
 def _many_file_references(body: Column) -> Column:
     """More than 15 `name.ext` references. Each needs a dot, so bodies with few dots skip the
     pattern."""
-    dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
+    dots = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("."), F.lit("")))
     return (dots > 15) & (F.regexp_count(body, F.lit(r"(?U)\b\w+\.\w{1,5}\b")) > 15)
 
 
@@ -97,7 +97,7 @@ def issue_concerns(
     """Signs that an issue is risky, in fixed order. `labels` are lower-case."""
     complex_labels = F.filter(labels, lambda l: l.isin(C.COMPLEX_LABELS))
     rules = F.array(
-        F.when(X.strip(body) == "", "No description provided — scope is unclear."),
+        F.when(F.ltrim(body, F.lit(X.WHITESPACE)) == "", "No description provided — scope is unclear."),
         F.when(
             F.size(complex_labels) > 0,
             F.concat(
