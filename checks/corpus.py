@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 REPOS = 20
 
 
+# Rows that one task takes at most, so that the number of tasks grows with a table.
+TASK_ROWS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores when its file has fewer splits than those."""
+    """A given table, spread when its rows lie in fewer splits than there are cores or in large ones.
+
+    A split without the start of a row group is empty, so rows are counted, from the files' footers.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"))
+    filled, largest, rows = splits.agg(F.count("*"), F.max("n"), F.sum("n")).first()
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if filled >= cores and largest <= TASK_ROWS:
+        return df
+    return df.repartition(max(cores, -(-(rows or 0) // TASK_ROWS)))
 
 
 def _files(df: DataFrame, repo: str, *files: tuple[str, str, str]) -> DataFrame:
