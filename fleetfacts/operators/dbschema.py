@@ -32,14 +32,15 @@ _SQL_FOREIGN_KEY = r"""(?iU)FOREIGN\s+KEY\s*\(\s*[`"]?(\w+)[`"]?\s*\)\s+""" + _R
 _SA_GATE = r"(?U)from\s+sqlalchemy|import\s+sqlalchemy|declarative_base|DeclarativeBase|mapped_column"
 _SA_CLASS = r"(?dU)^class\s+(\w+)\s*\(.*(?:Base|db\.Model|DeclarativeBase|Model).*\)\s*:"
 _SA_TABLENAME = r"""(?U)__tablename__\s*=\s*['"](\w+)['"]"""
-_SA_COLUMN = r"(?sU)(\w+)\s*(?::\s*Mapped\[.*?\])?\s*=\s*(?:mapped_column|Column)\s*\("
+# A name starts where a word does and is taken whole, so that no part of a word is tried again.
+_SA_COLUMN = r"(?sU)(?<!\w)(\w++)\s*+(?::\s*Mapped\[.*?\])?\s*=\s*(?:mapped_column|Column)\s*\("
 _SA_FOREIGN_KEY = r"""(?U)ForeignKey\s*\(\s*['"]([^'"]+)['"]\s*\)"""
-_SA_RELATIONSHIP = r"""(?U)(\w+)\s*=\s*relationship\s*\(\s*['"](\w+)['"]"""
+_SA_RELATIONSHIP = r"""(?U)(?<!\w)(\w++)\s*+=\s*relationship\s*\(\s*['"](\w+)['"]"""
 
 _DJ_GATE = r"(?U)from\s+django\.db\s+import\s+models"
 _DJ_CLASS = r"(?U)^class\s+(\w+)\s*\(\s*(?:models\.Model|Model)\s*\)\s*:"
 _DJ_TABLE = r"""(?U)db_table\s*=\s*['"](\w+)['"]"""
-_DJ_FIELD = r"(?U)(\w+)\s*=\s*models\.(\w+)\s*\(([^)]*)\)"
+_DJ_FIELD = r"(?U)(?<!\w)(\w++)\s*+=\s*models\.(\w+)\s*\(([^)]*)\)"
 
 _PRISMA_MODEL = r"(?dmU)^model\s+(\w+)\s*\{"
 _PRISMA_FIELD = r"(?dmU)^[^\S\n]+(\w+)[^\S\n]+(\w+)(\??)[^\S\n]*(.*)$"
