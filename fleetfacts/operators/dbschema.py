@@ -29,7 +29,8 @@ _REFERENCE = r"""REFERENCES\s+[`"]?(\w+)[`"]?\s*\(\s*[`"]?(\w+)[`"]?\s*\)"""
 _SQL_REFERENCE = "(?iU)" + _REFERENCE
 _SQL_FOREIGN_KEY = r"""(?iU)FOREIGN\s+KEY\s*\(\s*[`"]?(\w+)[`"]?\s*\)\s+""" + _REFERENCE
 
-_SA_GATE = r"(?U)from\s+sqlalchemy|import\s+sqlalchemy|declarative_base|DeclarativeBase|mapped_column"
+_SA_IMPORT = r"(?U)(?:from|import)\s+sqlalchemy"
+_SA_NAMES = ["declarative_base", "DeclarativeBase", "mapped_column"]
 _SA_CLASS = r"(?dU)^class\s+(\w+)\s*\(.*(?:Base|db\.Model|DeclarativeBase|Model).*\)\s*:"
 _SA_TABLENAME = r"""(?U)__tablename__\s*=\s*['"](\w+)['"]"""
 # A name starts where a word does and is taken whole, so that no part of a word is tried again.
@@ -37,7 +38,7 @@ _SA_COLUMN = r"(?sU)(?<!\w)(\w++)\s*+(?::\s*Mapped\[.*?\])?\s*=\s*(?:mapped_colu
 _SA_FOREIGN_KEY = r"""(?U)ForeignKey\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 _SA_RELATIONSHIP = r"""(?U)(?<!\w)(\w++)\s*+=\s*relationship\s*\(\s*['"](\w+)['"]"""
 
-_DJ_GATE = r"(?U)from\s+django\.db\s+import\s+models"
+_DJ_IMPORT = r"(?U)from\s+django\.db\s+import\s+models"
 _DJ_CLASS = r"(?U)^class\s+(\w+)\s*\(\s*(?:models\.Model|Model)\s*\)\s*:"
 _DJ_TABLE = r"""(?U)db_table\s*=\s*['"](\w+)['"]"""
 _DJ_FIELD = r"(?U)(?<!\w)(\w++)\s*+=\s*models\.(\w+)\s*\(([^)]*)\)"
@@ -486,6 +487,15 @@ def prisma_models(content: Column) -> Column:
 # --- per repository ------------------------------------------------------------------
 
 
+def _uses_sqlalchemy(content: Column) -> Column:
+    imported = X.contains_word(content, "sqlalchemy") & content.rlike(_SA_IMPORT)
+    return imported | X.contains_any(content, _SA_NAMES)
+
+
+def _uses_django(content: Column) -> Column:
+    return X.contains_word(content, "django.db") & content.rlike(_DJ_IMPORT)
+
+
 def schema_candidates(files: DataFrame) -> DataFrame:
     """Files worth parsing, with the parsers that apply. A file may pass both Python gates."""
     is_sql = X.has_extension(F.col("path"), ".sql")
@@ -497,8 +507,8 @@ def schema_candidates(files: DataFrame) -> DataFrame:
         "content",
         is_sql.alias("is_sql"),
         is_prisma.alias("is_prisma"),
-        (is_python & F.col("content").rlike(_SA_GATE)).alias("is_sqlalchemy"),
-        (is_python & F.col("content").rlike(_DJ_GATE)).alias("is_django"),
+        (is_python & _uses_sqlalchemy(F.col("content"))).alias("is_sqlalchemy"),
+        (is_python & _uses_django(F.col("content"))).alias("is_django"),
     )
     return gated.where("is_sql OR is_prisma OR is_sqlalchemy OR is_django")
 

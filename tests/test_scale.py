@@ -91,3 +91,20 @@ def test_places_and_repositories_are_not_broadcast(spark, tmp_path, monkeypatch)
         writers.write_facts(facts, f"{tmp_path}/facts", buckets=4)
     found = writers.read_facts(spark, f"{tmp_path}/facts", buckets=4)
     assert found.count() == 500 and "Broadcast" not in _plan(found)
+
+
+def test_gates_of_python_sources(spark):
+    """A literal is looked for before the pattern; texts that hold only one of the two do not pass."""
+    texts = {
+        "from  sqlalchemy import x": (True, False),
+        "import\u00a0sqlalchemy": (True, False),
+        "sqlalchemy": (False, False),
+        "x = mapped_column()": (True, False),
+        "from django.db import\tmodels": (False, True),
+        "django.db": (False, False),
+        "from djangoxdb import models": (False, False),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    t = F.col("t")
+    found = df.select(dbschema._uses_sqlalchemy(t), dbschema._uses_django(t)).collect()
+    assert [tuple(r) for r in found] == list(texts.values())
