@@ -264,6 +264,8 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 8 = 0 AS table_level",
         "concat('t', o_custkey) AS name",
         "concat('t', o_custkey + 1) AS owner",
+        "concat('T', o_custkey) AS class",
+        "concat('T', o_custkey + 1) AS owner_class",
     )
     sql = (
         "concat('-- CREATE TABLE follows\\ncreate table if not exists \"', name, '\" (\\n  id INTEGER NOT NULL PRIMARY KEY,\\n  amount ',"
@@ -274,25 +276,25 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ',\\n  CHECK ((amount > (0)))\\n);\\nSELECT 1;\\n')"
     )
     sqlalchemy = (
-        "concat('from sqlalchemy import Column\\n\\nclass ', initcap(name), '(Base):\\n    __tablename__ = \"', name,"
+        "concat('from sqlalchemy import Column\\n\\nclass ', class, '(Base):\\n    __tablename__ = \"', name,"
         " '\"\\n\\n    id = Column(Integer, primary_key=True)\\n# note\\n    amount = Column(',"
         " CASE st WHEN 'F' THEN 'Numeric(10, 2)' WHEN 'O' THEN 'Integer' ELSE 'String(20)' END,"
         " if(uniq, ', unique=True', ''), ', default=0, nullable=', if(required, 'False', 'True'), ')\\n',"
         " if(owned, concat('    owner_id = Column(Integer, ForeignKey(\"', owner, '.id\"))\\n'), ''),"
-        " '    owner = relationship(\"', initcap(owner), '\")\\n\\nlater = Column(Integer)\\n')"
+        " '    owner = relationship(\"', owner_class, '\")\\n\\nlater = Column(Integer)\\n')"
     )
     django = (
-        "concat('from django.db import models\\n\\nclass ', initcap(name), '(models.Model):\\n    id = models.AutoField(primary_key=True)\\n    amount = models.',"
+        "concat('from django.db import models\\n\\nclass ', class, '(models.Model):\\n    id = models.AutoField(primary_key=True)\\n    amount = models.',"
         " CASE st WHEN 'F' THEN 'DecimalField' WHEN 'O' THEN 'IntegerField' ELSE 'CharField' END, '(max_length=20',"
         " if(required, '', ', null=True'), if(uniq, ', unique=True', ''), ')\\n',"
-        " if(owned, concat('    owner_id = models.ForeignKey(', initcap(owner), ', null=True)\\n'), ''),"
+        " if(owned, concat('    owner_id = models.ForeignKey(', owner_class, ', null=True)\\n'), ''),"
         " '    tags = models.ManyToManyField(\"Tag\")\\n\\nlater = models.CharField()\\n')"
     )
     prisma = (
-        "concat('model ', initcap(name), ' {\\n  id Int @id @default(autoincrement())\\n  amount ',"
+        "concat('model ', class, ' {\\n  id Int @id @default(autoincrement())\\n  amount ',"
         " CASE st WHEN 'F' THEN 'Decimal' WHEN 'O' THEN 'Int' ELSE 'String' END, if(required, '', '?'),"
         " if(uniq, ' @unique', ''), ' @default(0)\\n',"
-        " if(owned, concat('  owner_id Int?\\n  owner ', initcap(owner), '? @relation(fields: [owner_id], references: [id])\\n'), ''),"
+        " if(owned, concat('  owner_id Int?\\n  owner ', owner_class, '? @relation(fields: [owner_id], references: [id])\\n'), ''),"
         " '  items Item[]\\n}\\n')"
     )
     content = (

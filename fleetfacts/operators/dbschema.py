@@ -130,9 +130,38 @@ def _running_sums(values: Column) -> Column:
     return X.let(X.let(values, cut), summed)
 
 
+# Brackets within brackets that one pattern follows; deeper ones are followed by their running depth.
+_NESTED = 4
+
+
 def _blocks(text: Column, header: str, opening: str = "(", closing: str = ")") -> Column:
     """array<struct(name, body)> of the headers, which end with an opening bracket.
 
+    Usually one pattern takes each header with its body. Where some header is not closed, nested too
+    deep or within another's body, the running depth of the whole text decides.
+    """
+    inside = rf"[^\{opening}\{closing}]++"
+    balanced = rf"(?:{inside})?+"
+    for _ in range(_NESTED):
+        balanced = rf"(?:{inside}|\{opening}{balanced}\{closing})*+"
+    block = rf"{header}((?:{balanced}\{closing})?+)"
+    taken = F.struct(
+        X.extract_all(text, block, 1).alias("names"), X.extract_all(text, block, 2).alias("bodies")
+    )
+
+    def bodies(found: Column) -> Column:
+        usual = F.forall(found["bodies"], lambda b: (b != "") & ~b.rlike(header))
+        pairs = F.transform(found["bodies"], lambda b, i: F.struct(
+            F.get(found["names"], i).alias("name"), F.substr(b, F.lit(1), F.length(b) - 1).alias("body")
+        ))
+        return F.when(usual, pairs).otherwise(_blocks_by_depth(text, header, opening, closing))
+
+    return X.let(taken, bodies)
+
+
+def _blocks_by_depth(text: Column, header: str, opening: str, closing: str) -> Column:
+    """The blocks of any text.
+
     The text is cut after each bracket and the depth there is summed once. Where brackets and
     headers are sorted by depth, then place, a header is followed by the bracket that closes it,
     the first one that leads back to the depth before it. Bodies that are never closed are left out.

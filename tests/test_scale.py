@@ -8,6 +8,7 @@ from checks import corpus as K
 from checks import queries as Q
 from fleetfacts.functions import text as X
 from fleetfacts.operators import dbschema
+from fleetfacts.operators import imports as I
 from fleetfacts.sources import writers
 from fleetfacts.streaming import incremental
 
@@ -108,3 +109,16 @@ def test_gates_of_python_sources(spark):
     t = F.col("t")
     found = df.select(dbschema._uses_sqlalchemy(t), dbschema._uses_django(t)).collect()
     assert [tuple(r) for r in found] == list(texts.values())
+
+
+def test_blocks_by_pattern_are_those_by_depth(spark):
+    head = "CREATE TABLE a ("
+    texts = [
+        head + "x)", head + "(x) ((y)))" + head + "z)", head + "x", head + head + "y))", head + "x" + head + "y)",
+        head + "(" * 9 + "x" + ")" * 10, head + ")", ")(" + head + "x) (", "(((" + head + "x)", "none", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    both = dbschema._blocks(F.col("t"), dbschema._SQL_TABLE), dbschema._blocks_by_depth(F.col("t"), dbschema._SQL_TABLE, "(", ")")
+    assert df.where(~both[0].eqNullSafe(both[1])).count() == 0
+    sizes = [r[0] for r in df.select(F.size(both[0])).collect()]
+    assert sizes[:6] == [1, 2, 0, 2, 1, 1]
