@@ -19,6 +19,9 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Characters that `.` does not match in a pattern.
+LINE_ENDS = "\n\r\x85\u2028\u2029"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it many times in `body`."""
@@ -107,8 +110,16 @@ def _dir_pattern(match_filename: bool) -> str:
 
 
 def is_vendored(path: Column, match_filename: bool = True) -> Column:
-    """Some part of the path is a vendored or build directory."""
-    return path.rlike(_dir_pattern(match_filename))
+    """Some part of the path is a vendored or build directory.
+
+    Most paths hold none of the names, so names are looked for before the pattern.
+    """
+    named = F.lit(False)
+    for name in C.VENDORED_DIRS:
+        # A name that ends with another one occurs only where that one does.
+        if not any(other != name and other in name for other in C.VENDORED_DIRS):
+            named = named | path.contains(name)
+    return named & path.rlike(_dir_pattern(match_filename))
 
 
 def file_name(path: Column) -> Column:
@@ -129,6 +140,19 @@ def has_extension(path: Column, *extensions: str) -> Column:
     return found
 
 
+def extension_place(path: Column, extensions: list[str]) -> Column:
+    """Place of `file_extension(path)` in a list, from 1; 0 when it is none of them."""
+    place = F.lit(0)
+    for k, ext in enumerate(extensions, 1):
+        place = F.when(has_extension(path, ext), k).otherwise(place)
+    # The pattern of `file_extension` does not reach over line ends, which hardly any path holds.
+    broken = F.lit(False)
+    for end in LINE_ENDS:
+        broken = broken | path.contains(end)
+    listed = F.array_position(string_array(extensions), file_extension(path)).cast("int")
+    return F.when(broken, listed).otherwise(place)
+
+
 def is_important(path: Column) -> Column:
     return file_name(path).isin(C.IMPORTANT_FILENAMES) | path.startswith(C.WORKFLOW_PREFIX)
 

@@ -15,8 +15,9 @@ from fleetfacts import constants as C
 from fleetfacts.functions import text as X
 from fleetfacts.operators.inventory import exclude_vendored
 
-_PY_IMPORT = r"(?dmU)^import\s+(\S+)"
-_PY_FROM = r"(?dmU)^from\s+(\S+)\s+import"
+# A statement starts a line. The word comes first, so that a search for it skips by its length.
+_PY_IMPORT = r"(?dmU)import(?<![^\n]import)\s+(\S+)"
+_PY_FROM = r"(?dmU)from(?<![^\n]from)\s+(\S+)\s+import"
 _TS_IMPORT = r"""(?dU)import\s+.*?\s+from\s+['"]([^'"]+)['"]"""
 
 
@@ -27,8 +28,7 @@ def python_imports(files: DataFrame) -> DataFrame:
         F.concat(X.extract_all(content, _PY_IMPORT), X.extract_all(content, _PY_FROM))
     )
     return (
-        exclude_vendored(files)
-        .where(X.has_extension(F.col("path"), ".py"))
+        exclude_vendored(files.where(X.has_extension(F.col("path"), ".py")))
         .select("repo_id", "path", F.explode(modules).alias("module"))
     )
 
@@ -37,8 +37,7 @@ def ts_imports(files: DataFrame) -> DataFrame:
     """Distinct `import … from '…'` targets per TypeScript or JavaScript file."""
     targets = F.array_distinct(X.extract_all(F.col("content"), _TS_IMPORT))
     return (
-        exclude_vendored(files)
-        .where(X.has_extension(F.col("path"), *C.SCRIPT_EXTENSIONS))
+        exclude_vendored(files.where(X.has_extension(F.col("path"), *C.SCRIPT_EXTENSIONS)))
         .select("repo_id", "path", F.explode(targets).alias("target"))
     )
 
@@ -82,7 +81,7 @@ def python_module_index(files: DataFrame) -> DataFrame:
         F.when(in_src, _key(below_src(stem), 2)),
         F.when(in_src & package & (folder != "src"), _key(below_src(folder), 3)),
     ]
-    return _ranked(exclude_vendored(files).where(path.endswith(".py")), keys)
+    return _ranked(exclude_vendored(files.where(path.endswith(".py"))), keys)
 
 
 def _python_path(key: Column, rank: Column) -> Column:
@@ -99,20 +98,18 @@ def ts_target_index(files: DataFrame) -> DataFrame:
     Rank 0 is the exact path; then each extension has a rank for the file (odd) before one
     for the directory's index file (even). A bare directory resolves to its index file.
     """
-    path, name, at = F.col("path"), F.col("name"), F.col("at")
-    extension = X.file_extension(path)
+    path, at = F.col("path"), F.col("at")
     placed = exclude_vendored(files).select(
-        "repo_id",
-        "path",
-        X.file_name(path).alias("name"),
-        extension.alias("extension"),
-        F.array_position(X.string_array(C.SCRIPT_EXTENSIONS), extension).alias("at"),
+        "repo_id", "path", X.extension_place(path, C.SCRIPT_EXTENSIONS).alias("at")
     )
-    stem = F.substr(path, F.lit(1), F.length(path) - F.length("extension"))
+    extension = F.element_at(X.string_array(C.SCRIPT_EXTENSIONS), at)
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length(extension))
+    index = F.concat(F.lit("/index"), extension)
+    is_index = F.concat(F.lit("/"), path).endswith(index)
     keys = [
         _key(path, 0),
         F.when(at > 0, _key(stem, 2 * at - 1)),
-        F.when((at > 0) & (name == F.concat(F.lit("index"), "extension")), _key(X.parent_dir(path), 2 * at)),
+        F.when((at > 0) & is_index, _key(X.parent_dir(path), 2 * at)),
     ]
     return _ranked(placed, keys)
 
@@ -148,9 +145,11 @@ def resolve_ts_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     target = F.col("target")
     relative = target.startswith("./") | target.startswith("../")
     placed = imports.where(relative).withColumn("directory", X.parent_dir(F.col("path")))
-    keyed = placed.withColumn("import_key", X.resolve_relative(F.col("directory"), target))
+    # Resolved below an explode, so that the condition on the key does not resolve a second time.
+    resolved = placed.withColumn("key", X.resolve_relative(F.col("directory"), target))
+    keyed = resolved.select("repo_id", "path", F.explode(F.array("key")).alias("import_key"))
     return _resolve(
-        keyed,
+        keyed.where(F.col("import_key") != X.OUTSIDE),
         ts_target_index(files),
         _ts_path(F.col("import_key"), F.col("rank")),
     )

@@ -111,6 +111,30 @@ def test_gates_of_python_sources(spark):
     assert [tuple(r) for r in found] == list(texts.values())
 
 
+def test_import_passes_test_cheap_things_first(spark, make_files):
+    """Extensions before directory patterns; no extension pattern per file; outside targets are not joined."""
+    files = make_files(("r", "web/a.ts", "import a from '../../x';\nimport b from './b';"), ("r", "web/b.ts", ""))
+    plan = _plan(I.python_imports(files))
+    assert plan.index("EndsWith(path") < plan.index("RLIKE(path")
+    broken = [("a.ts",), ("x\ny.ts",), ("y.ts\n",), (".ts",), ("d/.ts",), ("..tsx",), ("a.b.js",), ("a.py",), ("",), (None,)]
+    paths = spark.createDataFrame(broken, "path STRING")
+    place = X.extension_place(F.col("path"), [".ts", ".tsx", ".js"])
+    listed = F.array_position(X.string_array([".ts", ".tsx", ".js"]), X.file_extension(F.col("path")))
+    assert paths.where("path IS NOT NULL").where(place != listed).count() == 0
+    edges = I.resolve_ts_imports(I.ts_imports(files), files)
+    assert "NOT (import_key" in _plan(edges)
+    assert [tuple(r) for r in edges.collect()] == [("r", "web/a.ts", "web/b.ts")]
+
+
+def test_statements_start_a_line(spark):
+    text = "import a\nximport b\n import c\nfrom d import e\n# from f import g\nimport\nh\n\U0001f600import i\nfrom import import"
+    found = spark.range(1).select(
+        X.extract_all(F.lit(text), I._PY_IMPORT).alias("i"), X.extract_all(F.lit(text), I._PY_FROM).alias("f")
+    ).first()
+    assert (found.i, found.f) == (["a", "h"], ["d", "import"])
+    assert all(p.removeprefix("(?dmU)").startswith(w) for p, w in ((I._PY_IMPORT, "import"), (I._PY_FROM, "from")))
+
+
 def test_blocks_by_pattern_are_those_by_depth(spark):
     head = "CREATE TABLE a ("
     texts = [
