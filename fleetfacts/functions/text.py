@@ -179,15 +179,23 @@ def _fold_segments(path: Column) -> Column:
     return F.array_join(folded, "/")
 
 
-def resolve_relative(directory: Column, target: Column) -> Column:
+def relative_lead(target: Column) -> Column:
+    """The steps `./` and `../` a relative target begins with."""
+    return F.regexp_extract(target, r"^(?:\./)*(?:\.\./)*", 0)
+
+
+def resolve_relative(directory: Column, target: Column, lead: Column | None = None) -> Column:
     """A relative target seen from a directory; OUTSIDE when it leaves the root.
 
     The usual target, `./` or some `../` before plain segments, is resolved by string
-    functions; any other is folded segment by segment.
+    functions; any other is folded segment by segment. `lead`, as a column that has been
+    computed before, spares matching it wherever it is read.
     """
-    ups = (F.length(F.regexp_extract(target, r"^(?:\./)*((?:\.\./)*)", 1)) / 3).cast("int")
-    rest = F.regexp_replace(target, r"^(?:\./)*(?:\.\./)*", "")
-    depth = F.when(directory == "", 0).otherwise(F.size(F.split(directory, "/")))
+    lead = relative_lead(target) if lead is None else lead
+    ups = ((F.length(lead) - F.length(F.replace(lead, F.lit("../"), F.lit("")))) / 3).cast("int")
+    rest = F.substr(target, F.length(lead) + 1)
+    slashes = F.length(directory) - F.length(F.replace(directory, F.lit("/"), F.lit("")))
+    depth = F.when(directory == "", 0).otherwise(slashes + 1)
     base = F.call_function("substring_index", directory, F.lit("/"), depth - ups)
     quick = (
         F.when(ups > depth, F.lit(None).cast("string"))

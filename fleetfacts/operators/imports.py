@@ -4,6 +4,12 @@ A target exists or not independently of who imports it, so the file table is tur
 index of importable names and every import is one equi-join against it. Imports are joined
 as they are (one row each), instead of one row per candidate path; the skew of a widely
 imported module is on the import side of an inner join, which AQE splits.
+
+Most files are imported by nobody and most imports name no file of their repository, so two
+filters keep those rows out of the join's shuffles. The index holds names of directories that
+some import points into, and only imports that may name a file of that index are joined. A
+filter may let through more, which costs rows in the join, but keeps nothing back. For the first
+one the imports are extracted twice instead of being stored.
 """
 
 from __future__ import annotations
@@ -21,6 +27,12 @@ _PY_FROM = r"(?dmU)from(?<![^\n]from)\s+(\S+)\s+import"
 _TS_IMPORT = r"""(?dU)import\s+.*?\s+from\s+['"]([^'"]+)['"]"""
 
 
+# 64-bit words of a filter, a power of two: at most 8 MB of bits for any number of keys, broadcast as rows of one word.
+_FILTER_WORDS = 1 << 20
+# Joins test for nulls where they begin; as all passes do, they share the files' shuffle.
+_KEYED = "repo_id IS NOT NULL AND import_key IS NOT NULL"
+
+
 def python_imports(files: DataFrame) -> DataFrame:
     """Distinct top-level imported modules per Python file."""
     content = F.col("content")
@@ -42,26 +54,55 @@ def ts_imports(files: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(files: DataFrame, keys: list[Column]) -> DataFrame:
-    """Best rank per importable name.
+def _place(*key: Column) -> tuple[Column, Column]:
+    """A key's word in a filter and its two bits in the word."""
+    hashed = F.xxhash64(*key)
 
-    A name and a rank spell the file's path, so only the smallest rank is aggregated (a hash
-    aggregate over an integer) and no path is shuffled.
-    """
+    def bit(shift: int) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(hashed, shift).bitwiseAND(63).cast("int"))
+
+    return hashed.bitwiseAND(_FILTER_WORDS - 1), bit(32).bitwiseOR(bit(40))
+
+
+def _filter(rows: DataFrame, *key: Column) -> DataFrame:
+    """Bloom filter of the rows' keys: words that hold any and their bits."""
+    word, bits = _place(*key)
+    return rows.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("held"))
+
+
+def _passing(rows: DataFrame, held: DataFrame, *key: Column) -> DataFrame:
+    """Rows whose key may be in a filter."""
+    word, bits = _place(*key)
+    placed = rows.select("*", word.alias("word"), bits.alias("bits"))
+    found = placed.join(F.broadcast(held), "word").where(F.col("held").bitwiseAND(F.col("bits")) == F.col("bits"))
+    return found.select(*rows.columns)
+
+
+def _names(files: DataFrame, keys: list[Column]) -> DataFrame:
+    """(repo_id, import_key, rank) of every name of every file."""
     return (
         files.select("repo_id", F.explode(F.array(*keys)).alias("k"))
         .where("k IS NOT NULL")
-        .groupBy("repo_id", F.col("k.import_key").alias("import_key"))
-        .agg(F.min("k.rank").alias("rank"))
+        .select("repo_id", "k.import_key", "k.rank")
+        .where(_KEYED)
     )
 
 
+def _index(names: DataFrame) -> DataFrame:
+    """Best rank per importable name.
+
+    A name and a rank spell the file's path, so only the smallest rank is aggregated (a hash
+    aggregate over an integer) and no path is shuffled.
+    """
+    return names.groupBy("repo_id", "import_key").agg(F.min("rank").alias("rank"))
+
+
 def _key(key: Column, rank: Column | int) -> Column:
     rank = rank if isinstance(rank, Column) else F.lit(rank)
     return F.struct(key.alias("import_key"), rank.cast("int").alias("rank"))
 
 
-def python_module_index(files: DataFrame) -> DataFrame:
+def python_module_names(files: DataFrame) -> DataFrame:
     """Names under which a Python file can be imported: from the root and from `src`.
 
     Ranks in order of preference: m.py, m/__init__.py, src/m.py, src/m/__init__.py.
@@ -81,7 +122,7 @@ def python_module_index(files: DataFrame) -> DataFrame:
         F.when(in_src, _key(below_src(stem), 2)),
         F.when(in_src & package & (folder != "src"), _key(below_src(folder), 3)),
     ]
-    return _ranked(exclude_vendored(files.where(path.endswith(".py"))), keys)
+    return _names(exclude_vendored(files.where(path.endswith(".py"))), keys)
 
 
 def _python_path(key: Column, rank: Column) -> Column:
@@ -92,7 +133,7 @@ def _python_path(key: Column, rank: Column) -> Column:
     )
 
 
-def ts_target_index(files: DataFrame) -> DataFrame:
+def ts_target_names(files: DataFrame) -> DataFrame:
     """Paths under which a file can be imported: itself, without extension, as an index.
 
     Rank 0 is the exact path; then each extension has a rank for the file (odd) before one
@@ -111,7 +152,7 @@ def ts_target_index(files: DataFrame) -> DataFrame:
         F.when(at > 0, _key(stem, 2 * at - 1)),
         F.when((at > 0) & is_index, _key(X.parent_dir(path), 2 * at)),
     ]
-    return _ranked(placed, keys)
+    return _names(placed, keys)
 
 
 def _ts_path(key: Column, rank: Column) -> Column:
@@ -124,9 +165,16 @@ def _ts_path(key: Column, rank: Column) -> Column:
     )
 
 
-def _resolve(imports: DataFrame, index: DataFrame, target: Column) -> DataFrame:
+def _resolve(imports: DataFrame, names: DataFrame, target: Column) -> DataFrame:
+    imports = imports.where(_KEYED)
+    key = [F.col("repo_id"), F.col("import_key")]
+    directory = [F.col("repo_id"), X.parent_dir(F.col("import_key"))]
+    index = _index(_passing(names, _filter(imports, *directory), *directory))
+    # Reads the rank, so that this and the join share one plan of the index, hence its shuffle.
+    known = _filter(index.where("rank >= 0"), *key)
     return (
-        imports.join(index, ["repo_id", "import_key"])
+        _passing(imports, known, *key)
+        .join(index, ["repo_id", "import_key"])
         .select("repo_id", F.col("path").alias("from_component"), target.alias("to_component"))
         .where("from_component <> to_component")
     )
@@ -136,7 +184,7 @@ def resolve_python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Edges to the file each module names; unresolved imports and self-edges drop out."""
     keyed = imports.withColumn("import_key", F.replace("module", F.lit("."), F.lit("/")))
     return _resolve(
-        keyed, python_module_index(files), _python_path(F.col("import_key"), F.col("rank"))
+        keyed, python_module_names(files), _python_path(F.col("import_key"), F.col("rank"))
     )
 
 
@@ -144,13 +192,16 @@ def resolve_ts_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Edges of relative imports that stay inside the repository."""
     target = F.col("target")
     relative = target.startswith("./") | target.startswith("../")
-    placed = imports.where(relative).withColumn("directory", X.parent_dir(F.col("path")))
+    placed = imports.where(relative).withColumns(
+        {"directory": X.parent_dir(F.col("path")), "lead": X.relative_lead(target)}
+    )
     # Resolved below an explode, so that the condition on the key does not resolve a second time.
-    resolved = placed.withColumn("key", X.resolve_relative(F.col("directory"), target))
+    resolved = placed.withColumn("key", X.resolve_relative(F.col("directory"), target, F.col("lead")))
     keyed = resolved.select("repo_id", "path", F.explode(F.array("key")).alias("import_key"))
+    inside = F.col("import_key") != X.OUTSIDE
     return _resolve(
-        keyed.where(F.col("import_key") != X.OUTSIDE),
-        ts_target_index(files),
+        keyed.where(inside),
+        ts_target_names(files).where(inside),
         _ts_path(F.col("import_key"), F.col("rank")),
     )
 

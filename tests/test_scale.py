@@ -146,3 +146,76 @@ def test_blocks_by_pattern_are_those_by_depth(spark):
     assert df.where(~both[0].eqNullSafe(both[1])).count() == 0
     sizes = [r[0] for r in df.select(F.size(both[0])).collect()]
     assert sizes[:6] == [1, 2, 0, 2, 1, 1]
+
+
+def _shuffled(plan):
+    """Rows written to shuffles by an executed plan, without those read again."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    if kind == "ReusedExchangeExec":
+        return 0
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def _importing_files(make_files, n):
+    """n files of either language that nobody imports; of four imports of each, one names a file."""
+    modules = "import os\nimport lib.none{0}\nimport lib.p{1}\nfrom .x import y\n"
+    targets = "import a from '../lib/none{0}';\nimport b from '../lib/q{1}';\nimport c from 'react';\nimport d from './../svc/x/../s{0}';\n"
+    return make_files(
+        *((f"r{k % 3}", f"app/o{k}.py", modules.format(k, k % 2)) for k in range(n)),
+        *((f"r{k % 3}", f"web/o{k}.ts", targets.format(k, k % 2)) for k in range(n)),
+        *((f"r{k}", f"lib/{name}", "") for k in range(3) for name in ("p0.py", "p1/__init__.py", "q0.js", "q1/index.tsx")),
+    )
+
+
+def test_unresolved_imports_and_unimported_files_are_not_shuffled(spark, make_files):
+    """Before, each of n pairs of files wrote seven imports and four names to the join's shuffles."""
+    n = 300
+    files = _importing_files(make_files, n)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for key in keys:
+            spark.conf.set(key, "-1")
+        edges = I.import_edges(files)
+        found = edges.collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    ends = {0: ("lib/p0.py", "lib/q0.js"), 1: ("lib/p1/__init__.py", "lib/q1/index.tsx")}
+    expected = [(f"r{k % 3}", f"{d}/o{k}.{e}", to) for k in range(n) for d, e, to in zip(("app", "web"), ("py", "ts"), ends[k % 2])]
+    assert sorted(tuple(r)[:3] for r in found) == sorted(expected)
+    # One import a file; the rest is filters and the index.
+    assert _shuffled(edges._jdf.queryExecution().executedPlan()) < 3 * n
+
+
+def test_a_full_filter_keeps_nothing_back(make_files, monkeypatch):
+    files = _importing_files(make_files, 60).unionByName(
+        make_files(("r0", "lib/p0.py", "import lib.p1"), ("r0", "lib/p0.py", "import lib.p1")).selectExpr(
+            "repo_id", "path", "content", "size_bytes"
+        )
+    )
+    nulls = files.limit(6).selectExpr(
+        "if(path LIKE '%0.py', null, repo_id) AS repo_id", "if(path LIKE '%1.py', null, path) AS path",
+        "if(path LIKE '%2.py', null, content) AS content", "size_bytes",
+    )
+    edges = [sorted(map(tuple, I.import_edges(files.unionByName(nulls)).collect()))]
+    monkeypatch.setattr(I, "_FILTER_WORDS", 1)
+    edges.append(sorted(map(tuple, I.import_edges(files.unionByName(nulls)).collect())))
+    assert edges[0] == edges[1] and len(edges[0]) > 120
+
+
+def test_index_of_names_is_made_once(make_files):
+    """The filter of known names and the join read one shuffle."""
+    files = _importing_files(make_files, 20)
+    for resolved in (
+        I.resolve_ts_imports(I.ts_imports(files), files),
+        I.resolve_python_imports(I.python_imports(files), files),
+    ):
+        resolved.collect()
+        plan = _plan(resolved)
+        final = plan[: plan.index("Initial Plan")]
+        assert "ReusedExchange" in final and final.count("partial_min(rank") == 1
